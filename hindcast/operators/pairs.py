@@ -88,8 +88,8 @@ def third_place(df: DataFrame, group, key: str, p: str) -> DataFrame:
     ends = two.select(*group, F.explode(F.array(F.col(f"{key}_1"), F.col(f"{key}_2"))).alias(key), "__c")
     mine = ends.groupBy(*group, key).agg(F.sum("__c").alias("__mine"))
     out = df.select(*group, key, p).join(mine, [*group, key], "left")
-    out = totals(out, group, __all=F.sum("__mine") / 2)
-    value = F.col(p) * (F.col("__all") - F.col("__mine"))
+    out = totals(out, group, __all=F.sum("__mine"))
+    value = F.col(p) * (F.col("__all") / 2 - F.col("__mine"))
     return out.select(*group, key, p, F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0)).alias("p_third"))
 
 
