@@ -1,15 +1,15 @@
-"""Calendar windows: sums over the d days before a row, same day excluded.
+"""Calendar windows and group-wise histories: sums over earlier days or groups.
 
-Rows are first collapsed to one row per (key, day) with map-side partial sums,
-so a key contributes at most one row per calendar day to the ordered part,
-however many rows it has.
+Keys that fit a task are handled in place with one exchange.  Keys that do not are
+collapsed to one row per (key, day) or (key, group) with map-side partial sums
+before anything is ordered.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.hot import sized_broadcast
+from ..plans.hot import hot_keys
 from .history import history
 
 FIRST = Window.unboundedPreceding
@@ -31,18 +31,43 @@ def attach(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     return df.alias("l").join(side.alias("r"), cond, "left").select("l.*", *extra)
 
 
+def _whole_numbers(df: DataFrame, measures: dict[str, Column]) -> bool:
+    """Integer sums can be subtracted without rounding."""
+    fields = df.select(*[c.alias(n) for n, c in measures.items()]).schema.fields
+    return all(f.dataType.typeName() in ("byte", "short", "integer", "long") for f in fields)
+
+
 def trailing_days(df: DataFrame, keys, day: str, measures: dict[str, Column], days: list[int | None]) -> DataFrame:
     """Add ``<measure>_<d>d`` (or ``<measure>_all`` for d=None) for every window length.
 
     A row exactly d days back is inside; rows of the same day are not.
+
+    Integer measures take one exchange: the sum over d days is the difference of two
+    growing sums (up to yesterday, up to d+1 days ago), which costs one step per row
+    however dense the window is.  Other measures, and keys too big for a task, are
+    collapsed per day first.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    tags = {d: "all" if d is None else f"{d}d" for d in days}
+    exact = all(d is None for d in days) or _whole_numbers(df, measures)
+    if not exact or hot_keys(df, keys) is not None:
+        return _trailing_collapsed(df, keys, day, measures, tags)
+    w = Window.partitionBy(*keys).orderBy(day_number(day))
+    upto = lambda c, back: F.coalesce(F.sum(c).over(w.rangeBetween(FIRST, -back)), F.lit(0))
+    sums = []
+    for d, tag in tags.items():
+        for n, c in measures.items():
+            value = upto(c, 1) if d is None else upto(c, 1) - upto(c, d + 1)
+            sums.append(value.alias(f"{n}_{tag}"))
+    return df.select("*", *sums)
+
+
+def _trailing_collapsed(df: DataFrame, keys, day, measures, tags) -> DataFrame:
     daily = collapse(df, [*keys, day], measures)
     w = Window.partitionBy(*keys).orderBy(day_number(day))
     sums = []
-    for d in days:
+    for d, tag in tags.items():
         frame = w.rangeBetween(FIRST if d is None else -d, -1)
-        tag = "all" if d is None else f"{d}d"
         sums += [F.coalesce(F.sum(n).over(frame), F.lit(0)).alias(f"{n}_{tag}") for n in measures]
     return attach(df, daily.select(*keys, day, *sums), [*keys, day])
 
@@ -76,6 +101,12 @@ def before_group(df: DataFrame, keys, group: str, day: str, measures: dict[str,
     if grain == "day":
         out = trailing_days(df, keys, day, measures, [None])
         return out.withColumnsRenamed({f"{n}_all": f"{n}_before" for n in measures})
+    if hot_keys(df, keys) is None and _whole_numbers(df, measures):
+        # Running sum including the whole current group, less that group: one exchange.
+        w = Window.partitionBy(*keys).orderBy(day, group)
+        peers = Window.partitionBy(*keys, day, group)
+        through = lambda c: F.sum(c).over(w.rangeBetween(FIRST, Window.currentRow))
+        return df.select("*", *[(through(c) - F.sum(c).over(peers)).alias(f"{n}_before") for n, c in measures.items()])
     from .history import past
 
     cells = collapse(df, [*keys, group, day], measures)
