@@ -247,7 +247,7 @@ _JC = "coalesce(person_a <> lag(person_a) OVER o, FALSE)"
 register("jockey_strategy", sql("jf", _JS, {"is_jockey_change": f"CAST({_JC} AS INTEGER)", "is_jockey_return": f"CAST(coalesce({_JC} AND person_a = lag(person_a, 2) OVER o, FALSE) AS INTEGER)", "is_top_jockey_switch": f"CAST({_JC} AND form >= 0.15 AS INTEGER)"},
     {"jockey_form": "form", "jockey_rate_diff": "coalesce(form - lag(form) OVER o, 0)"}))
 
-_RD = [glob(gs="first_3f", gn="1"), f"rd AS (SELECT runs.*, coalesce(avg(first_3f) OVER ({H} {UP}), gs / nullif(gn, 0)) AS x, coalesce(lag({LEAD}) OVER ({H}), 0) AS front FROM runs JOIN glb USING (day_no))",
+_RD = [glob(gs="first_3f", gn="1"), f"rd AS (SELECT runs.*, round(coalesce(avg(first_3f) OVER ({H} {UP}), gs / nullif(gn, 0)), 9) AS x, coalesce(lag({LEAD}) OVER ({H}), 0) AS front FROM runs JOIN glb USING (day_no))",
        "rd2 AS (SELECT *, sum(front) OVER (PARTITION BY group_id) AS fc, avg(x) OVER (PARTITION BY group_id) AS lv, coalesce(stddev_samp(x) OVER (PARTITION BY group_id), 1) AS sd FROM rd)"]
 register("race_dynamics", sql("rd2", _RD, {"front_runner_count": "CAST(fc AS BIGINT)", "is_sole_leader": "CAST(fc = 1 AND front = 1 AS INTEGER)", "is_high_pace_warn": "CAST(fc >= 3 AS INTEGER)"}, {"race_pace_level_3f": "lv", "relative_3f_score": "(lv - x) / nullif(sd, 0)"}))
 

@@ -395,7 +395,7 @@ def race_dynamics(df):
     """Expected first-section time of every row; rows without history take the level of all earlier days."""
     df = _entity(df, __x=past("mean", "first_3f"), __front=lag(_is_lead(), default=0))
     df = global_before(df, "day", {"__gs": F.col("first_3f"), "__gn": F.lit(1)})
-    df = df.withColumn("__x", F.coalesce("__x", F.try_divide("__gs_before", "__gn_before")))
+    df = df.withColumn("__x", F.round(F.coalesce("__x", F.try_divide("__gs_before", "__gn_before")), 9))
     df = totals(df, "group_id", front_runner_count=F.sum("__front"), race_pace_level_3f=F.avg("__x"), __sd=F.stddev_samp("__x"))
     sd = F.coalesce("__sd", F.lit(1.0))
     out = (
