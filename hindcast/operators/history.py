@@ -282,17 +282,23 @@ def _halo(heavy, keys, part, order, sizes, depth, columns) -> DataFrame:
     """
     back = Window.partitionBy(*part).orderBy(*[o.desc_nulls_last() for o in order])
     tails = heavy.withColumn("__r", F.row_number().over(back)).filter(F.col("__r") <= depth)
-    tails = tails.join(sizes.drop("__before"), part).drop("__seg")
+    tails = _null_safe(tails, sizes.drop("__before"), part).drop("__seg")
     tails = tails.withColumn("__j", F.explode(F.sequence(F.lit(1), F.lit(depth + 1) - F.col("__r"))))
     tails = tails.withColumn("__i", (F.col("__i") + F.col("__j")).cast("int"))
     nxt = sizes.select(*keys, "__seg", "__i", "__before")
     return (
-        tails.join(nxt, [*keys, "__i"])
+        _null_safe(tails, nxt, [*keys, "__i"])
         .filter(F.col("__r") + F.col("__before") - F.col("__upto") <= depth)
         .select(*columns, "__seg", F.lit(True).alias("__halo"))
     )
 
 
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join in which NULL keys match each other."""
+    cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in on]
+    return left.alias("l").join(right.alias("r"), cond).select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in on])
+
+
 def _join_carry(rows, heavy, keys, part, order, carried, sizes) -> DataFrame:
     if carried:
         stamp = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
@@ -320,11 +326,8 @@ def _join_carry(rows, heavy, keys, part, order, carried, sizes) -> DataFrame:
                 carry.append(F.sum(v * n + F.try_divide(t * t, n)).over(before).alias(f"{name}__cq"))
             if s.agg in ("min", "max", "first", "last"):
                 carry.append(_aggregate(s.agg, e).over(before).alias(f"{name}__ce"))
-        sizes = sizes.join(partial.select(*part, *carry), part)
-    return rows.alias("l").join(
-        sizes.alias("r"),
-        [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in part],
-    ).select("l.*", *[F.col(f"r.{c}") for c in sizes.columns if c not in part])
+        sizes = _null_safe(sizes, partial.select(*part, *carry), part)
+    return _null_safe(rows, sizes, part)
 
 
 def _combine(name: str, s: Spec) -> Column:
