@@ -11,7 +11,7 @@ from ..operators.history import history, past
 from ..operators.relative import rank, softmax, totals
 from ..plans.registry import query
 from ..sources.tables import entries, oracle, table, with_price
-from .histories import K, KEY, TOP3, WIN, _pick
+from .histories import K, KEY, top3, win, _pick
 
 MODEL = """model AS (SELECT *, exp((qty - mx) / 10.0) / sum(exp((qty - mx) / 10.0)) OVER (PARTITION BY group_id) AS p_model, CAST(outcome = 1 AS INTEGER) AS y,
  CASE WHEN outcome = 1 THEN 1 ELSE 0 END AS win FROM (SELECT *, max(qty) OVER (PARTITION BY group_id) AS mx FROM priced))"""
@@ -20,7 +20,7 @@ MODEL = """model AS (SELECT *, exp((qty - mx) / 10.0) / sum(exp((qty - mx) / 10.
 def model(spark, sf):
     """Entries with a market probability, a model probability and the win label."""
     df = softmax(with_price(entries(spark, sf)), "group_id", "qty", "p_model", temperature=10.0)
-    return df.withColumn("y", WIN)
+    return df.withColumn("y", win())
 
 
 def msql(body, *ctes):
@@ -34,9 +34,9 @@ def a01(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum(q).alias("total"), F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_samp(q), 6).alias("std"), F.min(q).alias("lo"), F.max(q).alias("hi"))
 
 
-@query("a02_a03_daily_conditional_counts", oracle("SELECT person_a, flag, day, count(*) AS n, CAST(count(*) FILTER (outcome = 1) AS BIGINT) AS wins, CAST(count(*) FILTER (outcome <= 3) AS BIGINT) AS top3 FROM entries GROUP BY ALL"))
+@query("a02_a03_daily_conditional_counts", oracle("SELECT person_a, flag, day, count(*) AS n, CAST(count(*) FILTER (outcome = 1) AS BIGINT) AS wins, CAST(count(*) FILTER (outcome <= 3) AS BIGINT) AS top3 FROM entries GROUP BY ALL"), dates=('day',))
 def a02(spark, sf):
-    return collapse(entries(spark, sf), ["person_a", "flag", "day"], {"n": F.lit(1), "wins": WIN, "top3": TOP3})
+    return collapse(entries(spark, sf), ["person_a", "flag", "day"], {"n": F.lit(1), "wins": win(), "top3": top3()})
 
 
 @query("a04_distinct_counts", oracle("SELECT flag, count(DISTINCT group_id) AS groups, count(DISTINCT entity) AS entities FROM entries GROUP BY flag"))
@@ -94,7 +94,7 @@ A11 = """SELECT CAST(o_orderdate AS DATE) AS day, o_orderpriority AS venue, MAX(
 FROM orders GROUP BY CAST(o_orderdate AS DATE), o_orderpriority ORDER BY day DESC, venue LIMIT 40"""
 
 
-@query("a11_conditional_max_sql", A11)
+@query("a11_conditional_max_sql", A11, dates=('day',))
 def a11(spark, sf):
     return spark.sql(A11.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders"))
 
@@ -124,7 +124,7 @@ def a13(spark, sf):
     return t.select("band", "n", "groups", F.round("mean_price", 4).alias("mean_price"), *[F.round(c, 6).alias(c) for c in six])
 
 
-@query("a14_monthly_rollup", oracle("""SELECT CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS bets, round(sum(CASE WHEN outcome = 1 THEN qty ELSE 0 END) / count(*), 6) AS roi FROM entries GROUP BY 1"""))
+@query("a14_monthly_rollup", oracle("""SELECT CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS bets, round(sum(CASE WHEN outcome = 1 THEN qty ELSE 0 END) / count(*), 6) AS roi FROM entries GROUP BY 1"""), dates=('month',))
 def a14(spark, sf):
     return entries(spark, sf).groupBy(F.trunc("day", "month").alias("month")).agg(
         F.count(F.lit(1)).alias("bets"), F.round(F.sum(F.when(F.col("outcome") == 1, F.col("qty")).otherwise(0)) / F.count(F.lit(1)), 6).alias("roi"))
@@ -160,7 +160,7 @@ def a16(spark, sf):
  SELECT flag, y, rank() OVER (PARTITION BY flag ORDER BY qty) + (count(*) OVER (PARTITION BY flag, qty) - 1) / 2.0 AS r, sum(y) OVER (PARTITION BY flag) AS p, count(*) OVER (PARTITION BY flag) AS n
  FROM (SELECT flag, qty, CAST(outcome = 1 AS INTEGER) AS y FROM entries)) GROUP BY flag, p, n"""))
 def a17(spark, sf):
-    df = M.auc(entries(spark, sf).withColumn("y", WIN), "qty", "y", ["flag"])
+    df = M.auc(entries(spark, sf).withColumn("y", win()), "qty", "y", ["flag"])
     return df.select("flag", F.round("auc", 6).alias("auc"))
 
 
@@ -212,10 +212,10 @@ def a26(spark, sf):
     return g.agg(F.round(F.min(o) * 1000, 5).alias("lo"), F.round(F.avg(o) * 1000, 5).alias("mean"), F.round(F.max(o) * 1000, 5).alias("hi"), F.count_if(o > 0.01).alias("extreme"))
 
 
-@query("a26_extreme_groups", oracle("""SELECT group_id, list(cents ORDER BY cents)[1:3] AS top3 FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY cents) AS r, sum(1 / price) OVER (PARTITION BY group_id) AS o FROM priced0) WHERE r <= 3 AND o > 0.01 GROUP BY group_id""", priced=True))
+@query("a26_extreme_groups", oracle("""SELECT group_id, string_agg(CAST(cents AS VARCHAR), ',' ORDER BY cents) AS top3 FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY cents) AS r, sum(1 / price) OVER (PARTITION BY group_id) AS o FROM priced0) WHERE r <= 3 AND o > 0.01 GROUP BY group_id""", priced=True))
 def a26b(spark, sf):
     df = rank(with_price(entries(spark, sf)).filter("overround > 0.01"), "group_id", "r", F.col("cents"), "first", ["line", "entity", "person_a"])
-    return df.filter("r <= 3").groupBy("group_id").agg(F.array_sort(F.collect_list("cents")).alias("top3"))
+    return df.filter("r <= 3").groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("cents")), lambda x: x.cast("string")), ",").alias("top3"))
 
 
 FEATURES = ["qty", "disc", "tax", "cents", "line"]
@@ -274,8 +274,8 @@ def a33(spark, sf):
     """State of the old days plus the counts of the new days equals the state of all days."""
     df = entries(spark, sf)
     cut = "DATE '2000-01-01'"
-    old = collapse(df.filter(f"day < {cut}"), ["entity"], {"n0": F.lit(1), "w0": WIN})
-    new = collapse(df.filter(f"day >= {cut}"), ["entity"], {"n1": F.lit(1), "w1": WIN})
+    old = collapse(df.filter(f"day < {cut}"), ["entity"], {"n0": F.lit(1), "w0": win()})
+    new = collapse(df.filter(f"day >= {cut}"), ["entity"], {"n1": F.lit(1), "w1": win()})
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return old.join(new, "entity", "full").select("entity", (z("n0") + z("n1")).alias("n"), (z("w0") + z("w1")).alias("wins"))
 
@@ -292,7 +292,7 @@ def a41(spark, sf):
  SELECT {K}, sum(y) OVER (PARTITION BY entity) AS s, count(*) OVER (PARTITION BY entity) AS n, sum(y) OVER (PARTITION BY entity, group_id % 5) AS os, count(*) OVER (PARTITION BY entity, group_id % 5) AS oc, avg(y) OVER () AS g
  FROM (SELECT *, CAST(outcome = 1 AS INTEGER) AS y FROM entries))"""))
 def a44(spark, sf):
-    df = entries(spark, sf).withColumn("y", WIN)
+    df = entries(spark, sf).withColumn("y", win())
     plain = M.target_encoding(df, "entity", "y", 20).withColumnRenamed("entity_te", "te")
     fold = M.target_encoding(plain, "entity", "y", 20, folds=F.col("group_id") % 5)
     return _pick(fold, te=F.round("te", 6), te_fold=F.round("entity_te", 6))

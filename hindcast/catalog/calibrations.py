@@ -36,7 +36,7 @@ def a34(spark, sf):
     return out.select("t", "s", "bets", "stake", F.round("payout", 4).alias("payout"), F.round("roi", 6).alias("roi"))
 
 
-@query("a35_t04_best_configurations", msql("""SELECT t, bets, round(roi, 6) AS roi, round(worst, 6) AS worst FROM (SELECT t, sum(n) AS bets, sum(p) / sum(s) AS roi, min(p / s) AS worst, min(n) AS least FROM (
+@query("a35_t04_best_configurations", msql("""SELECT t, bets, round(roi, 6) AS roi, round(worst, 6) AS worst FROM (SELECT t, CAST(sum(n) AS BIGINT) AS bets, sum(p) / sum(s) AS roi, min(p / s) AS worst, min(n) AS least FROM (
  SELECT t, year(day) AS y, count(*) AS n, sum(payout) AS p, sum(stake) AS s FROM bets, (SELECT t / 20.0 AS t FROM range(0, 12) a(t)) WHERE p_model >= t GROUP BY ALL) GROUP BY t) WHERE least >= 50 ORDER BY roi DESC, t LIMIT 3""", BETS))
 def a35(spark, sf):
     """Configurations whose every year has enough bets, ranked by return."""
@@ -118,7 +118,7 @@ def a42(spark, sf):
     return out.select("flag", F.round("roi", 6).alias("roi"), F.row_number().over(w).alias("place"))
 
 
-@query("x05_batch_scoring", msql(f"SELECT {K}, round(0.3 * qty + 0.7 * disc, 6) AS score FROM model"))
+@query("x05_batch_scoring", msql(f"SELECT {K}, round(CAST(0.3 * qty + 0.7 * disc AS DOUBLE), 6) AS score FROM model"))
 def x05(spark, sf):
     """Any vectorised predictor over Arrow batches."""
     df = model(spark, sf).select(*KEY, "qty", "disc")

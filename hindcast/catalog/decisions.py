@@ -90,16 +90,17 @@ def d16p(spark, sf):
     return t.select("group_id", *[F.col(f"r_{i}").alias(f"r{i}") for i in (1, 2, 3)])
 
 
-@query("d17_formation_tickets", ssql("""SELECT DISTINCT a.group_id, list_sort([a.r, b.r, c.r]) AS selection FROM scored a JOIN scored b ON a.group_id = b.group_id JOIN scored c ON a.group_id = c.group_id
+@query("d17_formation_tickets", ssql("""SELECT DISTINCT a.group_id, array_to_string(list_sort([a.r, b.r, c.r]), '-') AS selection FROM scored a JOIN scored b ON a.group_id = b.group_id JOIN scored c ON a.group_id = c.group_id
  WHERE a.r IN (1, 2) AND b.r IN (1, 2, 3) AND c.r IN (2, 3, 4, 5) AND a.r <> b.r AND a.r <> c.r AND b.r <> c.r"""))
 def d17(spark, sf):
-    return P.formation(scored(spark, sf), "group_id", "r", "r", [[1, 2], [1, 2, 3], [2, 3, 4, 5]], ordered=False)
+    t = P.formation(scored(spark, sf), "group_id", "r", "r", [[1, 2], [1, 2, 3], [2, 3, 4, 5]], ordered=False)
+    return t.select("group_id", S.combination("selection", ordered=False).alias("selection"))
 
 
 @query("d18_rule_cascade_with_caps", ssql(f"""
 SELECT group_id, day, strategy, amount, CAST(spent + amount <= 3000 AS INTEGER) AS bought FROM (SELECT *, CAST(coalesce(sum(amount) OVER (PARTITION BY day ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent FROM (
  SELECT group_id, day, CASE WHEN p >= 0.8 AND ev >= 0.8 THEN 'high' WHEN p >= 0.5 AND ev >= 0.5 THEN 'balanced' WHEN p >= 0.4 THEN 'frequent' END AS strategy,
-  CASE WHEN p >= 0.8 AND ev >= 0.8 THEN 1000 WHEN p >= 0.5 AND ev >= 0.5 THEN 500 WHEN p >= 0.4 THEN 100 ELSE 0 END AS amount FROM evs WHERE r = 1))"""))
+  CASE WHEN p >= 0.8 AND ev >= 0.8 THEN 1000 WHEN p >= 0.5 AND ev >= 0.5 THEN 500 WHEN p >= 0.4 THEN 100 ELSE 0 END AS amount FROM evs WHERE r = 1))"""), dates=('day',))
 def d18(spark, sf):
     """Priority rules exclude each other; groups of a day are bought in order under the day cap."""
     df = scored(spark, sf).filter("r = 1")
@@ -158,7 +159,7 @@ def d23(spark, sf):
     return out.select("year", "bets", "stake", "payout", "profit", F.round("roi", 6).alias("roi"), F.round("hit_rate", 6).alias("hit_rate"))
 
 
-@query("d24_period_aggregation", ssql("SELECT CAST(date_trunc('month', day) AS DATE) AS month, count(DISTINCT day) AS days, CAST(sum(stake) AS BIGINT) AS stake, CAST(sum(payout) AS BIGINT) AS payout FROM ledger WHERE day >= DATE '2000-01-01' GROUP BY 1", SETTLE))
+@query("d24_period_aggregation", ssql("SELECT CAST(date_trunc('month', day) AS DATE) AS month, count(DISTINCT day) AS days, CAST(sum(stake) AS BIGINT) AS stake, CAST(sum(payout) AS BIGINT) AS payout FROM ledger WHERE day >= DATE '2000-01-01' GROUP BY 1", SETTLE), dates=('month',))
 def d24(spark, sf):
     df = ledger(spark, sf).filter("day >= DATE '2000-01-01'")
     return df.groupBy(F.trunc("day", "month").alias("month")).agg(F.countDistinct("day").alias("days"), F.sum("stake").alias("stake"), F.sum("payout").alias("payout"))
@@ -168,7 +169,8 @@ def d24(spark, sf):
 def d26(spark, sf):
     """Probabilities shuffled inside the group for 20 seeds at once; the return should collapse."""
     df = model(spark, sf).select(*KEY, "p_model", "y", F.when(F.col("y") == 1, F.col("qty") * 20).otherwise(0).alias("pay"))
-    df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("seed"))
+    # Shuffled once by group; the 20 seeds are fanned out behind the exchange.
+    df = df.repartition("group_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("seed"))
     mixed = D.shuffled_within(df, ["group_id", "seed"], ["line", "entity", "person_a"], "p_model", F.col("seed"))
     best = rank(mixed, ["group_id", "seed"], "r", -F.col("p_model"), "first", TIES).filter("r = 1")
     per = best.groupBy("seed").agg((F.sum("pay") / (F.count(F.lit(1)) * 100)).alias("roi"))

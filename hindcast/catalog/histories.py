@@ -33,8 +33,12 @@ def _pick(df: DataFrame, **cols) -> DataFrame:
     return df.select(*KEY, *[c.alias(n) for n, c in cols.items()])
 
 
-WIN = (F.col("outcome") == 1).cast("int")
-TOP3 = (F.col("outcome") <= 3).cast("int")
+def win():
+    return (F.col("outcome") == 1).cast("int")
+
+
+def top3():
+    return (F.col("outcome") <= 3).cast("int")
 
 
 @query("w00_slice_top3_by_person_form", oracle(f"""
@@ -46,7 +50,7 @@ SELECT {K}, runs, wins, win_rate, pos FROM (
 WHERE pos <= 3"""))
 def w00(spark, sf):
     """Flagship: 365-day win rate of the person, then the best three rows of every group."""
-    df = trailing_days(entries(spark, sf), "person_a", "day", {"runs": F.lit(1), "wins": WIN}, [365])
+    df = trailing_days(entries(spark, sf), "person_a", "day", {"runs": F.lit(1), "wins": win()}, [365])
     df = _pick(df, runs=F.col("runs_365d"), wins=F.col("wins_365d"))
     df = df.withColumn("win_rate", F.coalesce(F.round(F.try_divide("wins", "runs"), 6), F.lit(0.0)))
     w = Window.partitionBy("group_id").orderBy(F.col("win_rate").desc(), "line", "entity", "person_a")
@@ -137,7 +141,7 @@ def w08(spark, sf):
 @query("w09_cumulative_minus_current", oracle(f"""
 SELECT {K}, CAST(coalesce(sum(CAST(outcome = 1 AS INTEGER)) OVER {PAST}, 0) AS BIGINT) AS wins, count(*) OVER {PAST} AS n FROM entries"""))
 def w09(spark, sf):
-    return history(entries(spark, sf), "entity", ENTITY, wins=past("sum", WIN, default=0), n=past("count")).select(*KEY, "wins", "n")
+    return history(entries(spark, sf), "entity", ENTITY, wins=past("sum", win(), default=0), n=past("count")).select(*KEY, "wins", "n")
 
 
 def _rates(df, tag):
@@ -154,21 +158,22 @@ def _rate_sql(key, d):
             f" round(count(*) FILTER (outcome <= 3) OVER {w} / nullif(count(*) OVER {w}, 0), 6) AS top3_{d}d")
 
 
-FORM = {"n": F.lit(1), "win": WIN, "top3": TOP3}
+def form():
+    return {"n": F.lit(1), "win": win(), "top3": top3()}
 
 
 @query("w10_days365_rates", oracle(f"""
 SELECT {K}, {_rate_sql('person_a', 365)}, round(CAST(sum(outcome) OVER {DAYS('person_a', 365)} AS BIGINT) / nullif(count(*) OVER {DAYS('person_a', 365)}, 0), 6) AS avg_365d
 FROM entries"""))
 def w10(spark, sf):
-    df = trailing_days(entries(spark, sf), "person_a", "day", {**FORM, "sum": F.col("outcome")}, [365])
+    df = trailing_days(entries(spark, sf), "person_a", "day", {**form(), "sum": F.col("outcome")}, [365])
     return _pick(df, **_rates(df, "365d"), avg_365d=F.round(F.try_divide("sum_365d", "n_365d"), 6))
 
 
 @query("w11_days180_365_both_persons", oracle(f"""
 SELECT {K}, {_rate_sql('person_a', 180)}, {_rate_sql('person_a', 365)} FROM entries"""))
 def w11(spark, sf):
-    df = trailing_days(entries(spark, sf), "person_a", "day", FORM, [180, 365])
+    df = trailing_days(entries(spark, sf), "person_a", "day", form(), [180, 365])
     return _pick(df, **_rates(df, "180d"), **_rates(df, "365d"))
 
 
@@ -176,14 +181,14 @@ def w11(spark, sf):
 SELECT {K}, {_rate_sql('person_a', 30)}, {_rate_sql('person_a', 60)},
  count(*) OVER {DAYS('person_b', 30)} AS b_n_30d, count(*) OVER {DAYS('person_b', 60)} AS b_n_60d FROM entries"""))
 def w12(spark, sf):
-    df = trailing_days(entries(spark, sf), "person_a", "day", FORM, [30, 60])
+    df = trailing_days(entries(spark, sf), "person_a", "day", form(), [30, 60])
     df = trailing_days(df, "person_b", "day", {"b_n": F.lit(1)}, [30, 60])
     return _pick(df, **_rates(df, "30d"), **_rates(df, "60d"), b_n_30d=F.col("b_n_30d"), b_n_60d=F.col("b_n_60d"))
 
 
 @query("w13_days365_by_class", oracle(f"SELECT {K}, {_rate_sql('entity, flag', 365)} FROM entries"))
 def w13(spark, sf):
-    df = trailing_days(entries(spark, sf), ["entity", "flag"], "day", FORM, [365])
+    df = trailing_days(entries(spark, sf), ["entity", "flag"], "day", form(), [365])
     return _pick(df, **_rates(df, "365d"))
 
 
@@ -195,13 +200,13 @@ def _group_sql(key):
 
 @query("w14_before_group", oracle(f"SELECT {K}, n, wins FROM entries JOIN prior USING (person_a, group_id)", _group_sql("person_a")))
 def w14(spark, sf):
-    df = before_group(entries(spark, sf), "person_a", "group_id", "day", {"n": F.lit(1), "wins": WIN})
+    df = before_group(entries(spark, sf), "person_a", "group_id", "day", {"n": F.lit(1), "wins": win()})
     return _pick(df, n=F.col("n_before"), wins=F.col("wins_before"))
 
 
 @query("w15_before_group_in_context", oracle(f"SELECT {K}, n, wins FROM entries JOIN prior USING (person_a, flag, group_id)", _group_sql("person_a, flag")))
 def w15(spark, sf):
-    df = before_group(entries(spark, sf), ["person_a", "flag"], "group_id", "day", {"n": F.lit(1), "wins": WIN})
+    df = before_group(entries(spark, sf), ["person_a", "flag"], "group_id", "day", {"n": F.lit(1), "wins": win()})
     return _pick(df, n=F.col("n_before"), wins=F.col("wins_before"))
 
 
@@ -212,7 +217,7 @@ BEFORE_DAY = "(PARTITION BY {} ORDER BY day_no RANGE BETWEEN UNBOUNDED PRECEDING
 SELECT {K}, n, round((wins + 10.0 * 0.08) / (n + 10.0), 6) AS rate FROM (SELECT {K}, count(*) OVER {BEFORE_DAY.format('person_a')} AS n,
  count(*) FILTER (outcome = 1) OVER {BEFORE_DAY.format('person_a')} AS wins FROM entries)"""))
 def w16(spark, sf):
-    df = before_group(entries(spark, sf), "person_a", "group_id", "day", {"n": F.lit(1), "wins": WIN}, grain="day")
+    df = before_group(entries(spark, sf), "person_a", "group_id", "day", {"n": F.lit(1), "wins": win()}, grain="day")
     rate = smoothed(F.col("wins_before"), F.col("n_before"), F.lit(0.08), 10)
     return _pick(df, n=F.col("n_before"), rate=F.round(rate, 6))
 
@@ -306,7 +311,6 @@ def w30(spark, sf):
     return _pick(df, heavy_mean=F.round("m", 6))
 
 
-PROFIT = F.when(F.col("outcome") == 1, F.col("qty") * 100).otherwise(F.lit(-100) * (1 + F.col("disc")))
 PROFIT_SQL = "CASE WHEN outcome = 1 THEN qty * 100 ELSE -100 * (1 + disc) END"
 
 
@@ -314,7 +318,7 @@ PROFIT_SQL = "CASE WHEN outcome = 1 THEN qty * 100 ELSE -100 * (1 + disc) END"
 SELECT *, peak - equity AS drawdown FROM (SELECT {K}, equity, greatest(max(equity) OVER (PARTITION BY person_a ORDER BY day_no, group_id, line, entity ROWS UNBOUNDED PRECEDING), 0) AS peak
  FROM (SELECT *, CAST(sum({PROFIT_SQL}) OVER (PARTITION BY person_a ORDER BY day_no, group_id, line, entity ROWS UNBOUNDED PRECEDING) AS BIGINT) AS equity FROM entries))"""))
 def w31(spark, sf):
-    df = entries(spark, sf).withColumn("profit", PROFIT)
+    df = entries(spark, sf).withColumn("profit", F.when(F.col("outcome") == 1, F.col("qty") * 100).otherwise(F.lit(-100) * (1 + F.col("disc"))))
     df = history(df, "person_a", PERSON, before=past("sum", "profit", default=0))
     df = df.withColumn("equity", F.col("before") + F.col("profit"))
     df = history(df, "person_a", PERSON, high=past("max", "equity"))
@@ -334,7 +338,7 @@ def w32(spark, sf):
 SELECT {K}, n, round(wins / nullif(n, 0), 6) AS prior FROM (SELECT {K}, count(*) OVER d AS n, count(*) FILTER (outcome = 1) OVER d AS wins
  FROM entries WINDOW d AS (ORDER BY day_no RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))
 def w33(spark, sf):
-    df = global_before(entries(spark, sf), "day", {"n": F.lit(1), "wins": WIN})
+    df = global_before(entries(spark, sf), "day", {"n": F.lit(1), "wins": win()})
     return _pick(df, n=F.col("n_before"), prior=F.round(F.try_divide("wins_before", "n_before"), 6))
 
 
@@ -389,8 +393,8 @@ SELECT {K}, round((s + 20 * coalesce(gs / nullif(gn, 0), 0.0)) / (n + 20), 6) AS
  count(*) OVER d AS gn, count(*) FILTER (outcome = 1) OVER d AS gs FROM entries WINDOW d AS (ORDER BY day_no RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))
 def w38(spark, sf):
     """Smoothed towards the rate of all earlier days (never the whole table's rate)."""
-    df = trailing_days(entries(spark, sf), "person_a", "day", {"n": F.lit(1), "s": WIN}, [None])
-    df = global_before(df, "day", {"gn": F.lit(1), "gs": WIN})
+    df = trailing_days(entries(spark, sf), "person_a", "day", {"n": F.lit(1), "s": win()}, [None])
+    df = global_before(df, "day", {"gn": F.lit(1), "gs": win()})
     prior = F.coalesce(F.try_divide("gs_before", "gn_before"), F.lit(0.0))
     return _pick(df, rate=F.round(smoothed(F.col("s_all"), F.col("n_all"), prior, 20), 6))
 
@@ -399,7 +403,7 @@ def w38(spark, sf):
 SELECT {K}, round((w + 10 * 0.08) / (n + 10), 6) AS win, round((t + 10 * 0.25) / (n + 10), 6) AS top3 FROM (
  SELECT {K}, count(*) OVER {PAST} AS n, count(*) FILTER (outcome = 1) OVER {PAST} AS w, count(*) FILTER (outcome <= 3) OVER {PAST} AS t FROM entries)"""))
 def w39(spark, sf):
-    df = history(entries(spark, sf), "entity", ENTITY, n=past("count"), w=past("sum", WIN, default=0), t=past("sum", TOP3, default=0))
+    df = history(entries(spark, sf), "entity", ENTITY, n=past("count"), w=past("sum", win(), default=0), t=past("sum", top3(), default=0))
     return _pick(df, win=F.round(smoothed(F.col("w"), F.col("n"), F.lit(0.08), 10), 6), top3=F.round(smoothed(F.col("t"), F.col("n"), F.lit(0.25), 10), 6))
 
 
@@ -413,8 +417,8 @@ SELECT {K}, round((pw + 3 * ra + 2 * rb + 8 * g) / (pn + 13.0), 6) AS rate FROM
 def w40(spark, sf):
     df = entries(spark, sf)
     for keys, t in ((["person_a", "flag"], "p"), (["person_a"], "a"), (["flag"], "b")):
-        df = trailing_days(df, keys, "day", {f"{t}n": F.lit(1), f"{t}w": WIN}, [None])
-    df = global_before(df, "day", {"gn": F.lit(1), "gw": WIN})
+        df = trailing_days(df, keys, "day", {f"{t}n": F.lit(1), f"{t}w": win()}, [None])
+    df = global_before(df, "day", {"gn": F.lit(1), "gw": win()})
     g = F.coalesce(F.try_divide("gw_before", "gn_before"), F.lit(0.0))
     ra, rb = (F.coalesce(F.try_divide(f"{t}w_all", f"{t}n_all"), g) for t in "ab")
     rate = (F.col("pw_all") + 3 * ra + 2 * rb + 8 * g) / (F.col("pn_all") + 13.0)
@@ -425,7 +429,7 @@ def w40(spark, sf):
 SELECT {K}, round(count(*) FILTER (outcome = 1) OVER s / nullif(count(*) OVER s, 0) - count(*) FILTER (outcome = 1) OVER l / nullif(count(*) OVER l, 0), 6) AS momentum
 FROM entries WINDOW s AS {DAYS('person_a', 60)}, l AS {DAYS('person_a', 365)}"""))
 def w41(spark, sf):
-    df = trailing_days(entries(spark, sf), "person_a", "day", {"n": F.lit(1), "w": WIN}, [60, 365])
+    df = trailing_days(entries(spark, sf), "person_a", "day", {"n": F.lit(1), "w": win()}, [60, 365])
     return _pick(df, momentum=F.round(F.try_divide("w_60d", "n_60d") - F.try_divide("w_365d", "n_365d"), 6))
 
 
@@ -445,7 +449,7 @@ def w42(spark, sf):
 @query("w43_reliability", oracle(f"""
 SELECT {K}, round(w / nullif(n, 0) * sqrt(n / (n + 5.0)), 6) AS rate FROM (SELECT {K}, count(*) OVER {PAST} AS n, count(*) FILTER (outcome = 1) OVER {PAST} AS w FROM entries)"""))
 def w43(spark, sf):
-    df = history(entries(spark, sf), "entity", ENTITY, n=past("count"), w=past("sum", WIN, default=0))
+    df = history(entries(spark, sf), "entity", ENTITY, n=past("count"), w=past("sum", win(), default=0))
     return _pick(df, rate=F.round(F.try_divide("w", "n") * F.sqrt(F.col("n") / (F.col("n") + 5.0)), 6))
 
 

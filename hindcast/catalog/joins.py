@@ -12,7 +12,7 @@ from ..plans.hot import sized_broadcast
 from ..plans.registry import query
 from ..sources.tables import entries, oracle, table, with_price
 from .groupwise import CAND, RUN, candidates
-from .histories import ENTITY, K, KEY, WIN, _pick
+from .histories import ENTITY, K, KEY, win, _pick
 
 
 @query("j01_equi_and_dimension_join", """
@@ -31,7 +31,7 @@ def j01(spark, sf):
 WITH tr AS (SELECT event_id, user_id, CAST(ts AS DATE) AS tday, value, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS pref FROM events WHERE event_type IN ('view', 'click')),
 tr1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, tday ORDER BY pref DESC, event_id DESC) AS r FROM tr) WHERE r = 1)
 SELECT p.event_id, CASE WHEN date_diff('day', tday, CAST(p.ts AS DATE)) <= 10 THEN tday END AS tday, CASE WHEN date_diff('day', tday, CAST(p.ts AS DATE)) <= 10 THEN t.value END AS tvalue
-FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN tr1 t ON p.user_id = t.user_id AND CAST(p.ts AS DATE) >= t.tday""")
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN tr1 t ON p.user_id = t.user_id AND CAST(p.ts AS DATE) >= t.tday""", dates=('tday',))
 def j02(spark, sf):
     """Latest training row up to the event day, at most ten days old; same-day ties go to the preferred course."""
     e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
@@ -96,7 +96,7 @@ def j06(spark, sf):
 
 
 @query("j07_lateral_latest", f"""WITH {STARTS} SELECT s.user_id, s.race_day, l.event_id FROM starts s LEFT JOIN LATERAL (
- SELECT event_id FROM events e WHERE e.user_id = s.user_id AND CAST(e.ts AS DATE) = s.race_day AND e.ts < s.start ORDER BY ts DESC, event_id DESC LIMIT 1) l ON TRUE""")
+ SELECT event_id FROM events e WHERE e.user_id = s.user_id AND CAST(e.ts AS DATE) = s.race_day AND e.ts < s.start ORDER BY ts DESC, event_id DESC LIMIT 1) l ON TRUE""", dates=('race_day',))
 def j07(spark, sf):
     """LATERAL ... ORDER BY ts DESC LIMIT 1 as one aggregation instead of a probe per row."""
     e, s = _starts(spark, sf)
@@ -165,7 +165,7 @@ def j23(spark, sf):
     return _pick(df, price=price)
 
 
-SNAP = "snap AS (SELECT group_id, 'win' AS ticket_type, CAST(k AS VARCHAR) AS combination, o * 1.5 AS odds FROM runners WHERE o <= 4)"
+SNAP = "snap AS (SELECT group_id, 'win' AS ticket_type, CAST(k AS VARCHAR) AS combination, CAST(o * 1.5 AS DOUBLE) AS odds FROM runners WHERE o <= 4)"
 
 
 def snapshot_prices(spark, sf):

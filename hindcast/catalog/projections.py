@@ -152,14 +152,14 @@ def p28(spark, sf):
 
 
 @query("p30_p31_targets", oracle(f"""
-SELECT {K}, CASE outcome WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS relevance, CASE outcome WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 WHEN 3 THEN 0.25 ELSE 0.0 END AS graded,
+SELECT {K}, CASE outcome WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS relevance, CAST(CASE outcome WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 WHEN 3 THEN 0.25 ELSE 0.0 END AS DOUBLE) AS graded,
  CASE WHEN outcome = 1 THEN price ELSE 0 END AS realised FROM priced""", priced=True))
 def p30(spark, sf):
     return _pick(with_price(entries(spark, sf)), relevance=S.relevance("outcome"), graded=S.graded_target("outcome"), realised=F.when(F.col("outcome") == 1, F.col("price")).otherwise(0.0))
 
 
 @query("p32_p33_sample_weights", oracle(f"""
-SELECT {K}, round(d / (SELECT avg(exp(-0.001 * greatest(0, date_diff('day', day, DATE '2000-12-31')))) FROM entries), 6) AS decay, y AS by_year, round(1 + ln(1 + qty), 6) AS price_weight FROM (
+SELECT {K}, round(d / (SELECT avg(exp(-0.001 * greatest(0, date_diff('day', day, DATE '2000-12-31')))) FROM entries), 6) AS decay, CAST(y AS DOUBLE) AS by_year, round(1 + ln(1 + qty), 6) AS price_weight FROM (
  SELECT *, exp(-0.001 * greatest(0, date_diff('day', day, DATE '2000-12-31'))) AS d, CASE 2000 - year(day) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.5 ELSE 0.3 END AS y FROM entries)"""))
 def p32(spark, sf):
     df = entries(spark, sf)
@@ -180,7 +180,7 @@ def p35(spark, sf):
     return df.select("group_id", "line", *cols)
 
 
-@query("p36_conform", oracle(f"SELECT CAST(qty AS DOUBLE) AS qty, 0.0 AS absent, CAST(coalesce(CASE WHEN flag <> 'A' THEN disc END, 0) AS DOUBLE) AS disc FROM entries"))
+@query("p36_conform", oracle(f"SELECT CAST(qty AS DOUBLE) AS qty, CAST(0 AS DOUBLE) AS absent, CAST(coalesce(CASE WHEN flag <> 'A' THEN disc END, 0) AS DOUBLE) AS disc FROM entries"))
 def p36(spark, sf):
     df = entries(spark, sf).withColumn("disc", F.when(F.col("flag") != "A", F.col("disc")))
     return clean.conform(df, ["qty", "absent", "disc"])

@@ -53,10 +53,12 @@ def f04(spark, sf):
     e = table(spark, sf, "events").withColumn("txt", F.date_format("ts", "MMddHHmm"))
     e = e.withColumn("start", S.at_clock(F.to_date("ts"), F.lit("1525")))
     e = e.withColumn("tick", S.tick_time_near("start", "txt"))
-    return e.select("event_id", "tick", ((F.unix_timestamp("start") - F.unix_timestamp("tick")) / 60.0).alias("minutes"), "start")
+    minutes = (F.unix_timestamp("start") - F.unix_timestamp("tick")) / 60.0
+    naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return e.select("event_id", naive("tick"), minutes.alias("minutes"), naive("start"))
 
 
-@query("f06_f07_ages_and_periods", oracle(f"SELECT {K}, round(date_diff('day', DATE '1990-03-15', day) / 365.25, 6) AS age, year(day) AS y, month(day) AS m, CAST(date_trunc('month', day) AS DATE) AS bucket FROM entries"))
+@query("f06_f07_ages_and_periods", oracle(f"SELECT {K}, round(date_diff('day', DATE '1990-03-15', day) / 365.25, 6) AS age, year(day) AS y, month(day) AS m, CAST(date_trunc('month', day) AS DATE) AS bucket FROM entries"), dates=('bucket',))
 def f06(spark, sf):
     return _pick(entries(spark, sf), age=F.round(S.age_years(F.lit("1990-03-15").cast("date"), "day"), 6), y=F.year("day"), m=F.month("day"), bucket=F.trunc("day", "month"))
 

@@ -64,20 +64,20 @@ def _old_new(spark, sf):
     return old, new
 
 
-@query("s08_replace_keys", f"SELECT * FROM {OLD} o WHERE o_custkey NOT IN (SELECT o_custkey FROM {NEW}) UNION ALL SELECT * FROM {NEW}")
+@query("s08_replace_keys", f"SELECT * FROM {OLD} o WHERE o_custkey NOT IN (SELECT o_custkey FROM {NEW}) UNION ALL SELECT * FROM {NEW}", dates=('day',))
 def s08(spark, sf):
     old, new = _old_new(spark, sf)
     return asof.replace_keys(old, new, ["o_custkey"])
 
 
-@query("s09_insert_absent", f"SELECT * FROM {OLD} UNION ALL SELECT * FROM {NEW} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {OLD})")
+@query("s09_insert_absent", f"SELECT * FROM {OLD} UNION ALL SELECT * FROM {NEW} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {OLD})", dates=('day',))
 def s09(spark, sf):
     old, new = _old_new(spark, sf)
     return asof.insert_absent(old, new, ["o_orderkey"])
 
 
 @query("s10_incremental_refresh", f"""SELECT o_orderkey, o_orderstatus, o_custkey, day FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY v DESC) AS r FROM (
- SELECT *, 0 AS v FROM {OLD} WHERE day < DATE '2000-05-31' UNION ALL SELECT *, 1 FROM {NEW} WHERE day >= DATE '2000-05-31')) WHERE r = 1""")
+ SELECT *, 0 AS v FROM {OLD} WHERE day < DATE '2000-05-31' UNION ALL SELECT *, 1 FROM {NEW} WHERE day >= DATE '2000-05-31')) WHERE r = 1""", dates=('day',))
 def s10(spark, sf):
     old, new = _old_new(spark, sf)
     cut = F.date_sub(F.lit("2000-06-01").cast("date"), 1)
@@ -129,7 +129,7 @@ def s15(spark, sf):
 
 
 @query("s16_event_dates", oracle("""SELECT (SELECT max(day) FROM entries) AS latest, (SELECT max(day) FROM entries WHERE day < DATE '1998-07-01') AS previous,
- (SELECT min(day) FROM entries WHERE day > DATE '1998-07-01') AS next"""))
+ (SELECT min(day) FROM entries WHERE day > DATE '1998-07-01') AS next"""), dates=('latest', 'previous', 'next'))
 def s16(spark, sf):
     d, x = F.col("o_orderdate").cast("date"), F.lit("1998-07-01").cast("date")
     return table(spark, sf, "orders").agg(
@@ -140,7 +140,7 @@ def s16(spark, sf):
 @query("s17_a24_entity_summary", oracle(f"""
 SELECT entity, n, round(w / n, 6) AS win_rate, round(t / n, 6) AS top3_rate, last_day, round(l5, 6) AS last5 FROM (
  SELECT entity, count(*) AS n, count(*) FILTER (outcome = 1) AS w, count(*) FILTER (outcome <= 3) AS t, max(day) AS last_day FROM entries GROUP BY entity)
- JOIN (SELECT entity, avg(outcome) AS l5 FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day_no DESC, group_id DESC, line DESC, person_a DESC) AS r FROM entries) WHERE r <= 5 GROUP BY entity) USING (entity)"""))
+ JOIN (SELECT entity, avg(outcome) AS l5 FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day_no DESC, group_id DESC, line DESC, person_a DESC) AS r FROM entries) WHERE r <= 5 GROUP BY entity) USING (entity)"""), dates=('last_day',))
 def s17(spark, sf):
     """Serving summary: totals and the last five results as of the newest row."""
     df = entries(spark, sf)
@@ -154,7 +154,7 @@ def s17(spark, sf):
     return out.select("entity", "n", F.round(F.col("w") / F.col("n"), 6).alias("win_rate"), F.round(F.col("t") / F.col("n"), 6).alias("top3_rate"), "last_day", F.round("last5", 6).alias("last5"))
 
 
-@query("t01_sorted_output", oracle(f"SELECT {K}, day FROM entries ORDER BY day, group_id, line, entity, person_a"))
+@query("t01_sorted_output", oracle(f"SELECT {K}, day FROM entries ORDER BY day, group_id, line, entity, person_a"), dates=('day',))
 def t01(spark, sf):
     return entries(spark, sf).select(*KEY, "day").orderBy("day", "group_id", "line", "entity", "person_a")
 
@@ -200,3 +200,32 @@ def u03(spark, sf):
 def u04(spark, sf):
     li = table(spark, sf, "lineitem")
     return li.filter("l_quantity > 45").select("l_orderkey").intersect(li.filter("l_discount > 0.08").select("l_orderkey"))
+
+
+@query("s06_snapshot_sink", oracle("SELECT year(day) AS year, flag AS snapshot_type, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM entries WHERE year(day) BETWEEN 1997 AND 1999 AND flag IN ('A', 'R') GROUP BY ALL"))
+def s06(spark, sf):
+    """Written one directory per (year, type), read back with partition predicates."""
+    from ..sources.io import read_snapshots, write_snapshots
+    from ..streaming.ticks import work_path
+
+    path = work_path(spark, "snapshots")
+    write_snapshots(entries(spark, sf).select(*KEY, "cents", F.year("day").alias("year"), F.col("flag").alias("snapshot_type")), path)
+    df = read_snapshots(spark, path, 1997, 1999, ["A", "R"])
+    return df.groupBy("year", "snapshot_type").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+
+
+@query("s07_report_sinks", "SELECT f AS fmt, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders, (VALUES ('parquet'), ('csv'), ('json')) v(f) GROUP BY f")
+def s07(spark, sf):
+    """The same report through the three sinks and back."""
+    from ..sources.io import write_report
+    from ..streaming.ticks import work_path
+
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    out = None
+    for fmt in ("parquet", "csv", "json"):
+        path = work_path(spark, f"report-{fmt}")
+        write_report(df, path, fmt)
+        back = spark.read.schema(df.schema).option("header", True).format(fmt).load(path)
+        part = back.agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("keys")).select(F.lit(fmt).alias("fmt"), "n", "keys")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -165,9 +165,17 @@ def shuffled_within(df: DataFrame, group: str, key: list[str], col: str, seed: C
     """``col`` permuted inside each group: the i-th row by key receives the value of the
     i-th row by a seeded hash.  ``group`` may include the seed to run many at once."""
     groups = [group] if isinstance(group, str) else list(group)
-    h = F.xxhash64(*key, seed)
-    a = Window.partitionBy(*groups).orderBy(*key)
-    b = Window.partitionBy(*groups).orderBy(h, *key)
-    left = df.withColumn("__i", F.row_number().over(a)).drop(col)
-    right = df.select(*groups, F.col(col), F.row_number().over(b).alias("__i"))
-    return left.join(right, [*groups, "__i"]).drop("__i")
+    rest = [c for c in df.columns if c not in groups and c != col]
+    df = rank(df, groups, "__i", F.xxhash64(*key), "first", key)
+    df = rank(df, groups, "__j", F.xxhash64(*key, seed), "first", key)
+    # Each row offers its place (i) and its value (j); equal numbers meet in one window,
+    # which keeps the partitioning by group: no join.
+    body = F.struct(*rest)
+    offers = F.array(
+        F.struct(F.col("__i").alias("n"), body.alias("row"), F.lit(None).cast(df.schema[col].dataType).alias("v")),
+        F.struct(F.col("__j").alias("n"), F.lit(None).cast(df.select(body.alias("b")).schema["b"].dataType).alias("row"), F.col(col).alias("v")),
+    )
+    df = df.select(*groups, F.explode(offers).alias("o"))
+    w = Window.partitionBy(*groups, "o.n")
+    df = df.select(*groups, "o.row", F.max("o.v").over(w).alias(col))
+    return df.filter("row IS NOT NULL").select(*groups, "row.*", col)

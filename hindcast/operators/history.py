@@ -104,8 +104,8 @@ def _bounded(spec: Spec, w) -> Column:
     return _finish(_aggregate(spec.agg, spec.col, spec.q).over(frame), F.count(spec.col).over(frame), spec)
 
 
-def _fold_ewm(values: Column, here: Column, spec: Spec) -> Column:
-    """Weighted mean of array<struct<pos,x>> (oldest first) as seen from row ``here``."""
+def _fold_ewm(values: Column, spec: Spec) -> Column:
+    """Weighted mean of array<struct<pos,x>>, oldest first."""
     decay = 1.0 - spec.q
     if spec.kind == "ewm":
         # Only ratios of weights matter: measure age from the newest value kept.
@@ -128,27 +128,33 @@ def _fold_ewm(values: Column, here: Column, spec: Spec) -> Column:
 
 
 def _add_ewm(df: DataFrame, keys: list[str], order: list[Column], specs: dict[str, Spec]) -> DataFrame:
-    """Position and known-value index by ``history``; the fold over a range frame of that index."""
+    """Position and known-value index by ``history``; then a fold over a range frame of
+    that index.  Specs over the same column share the frame and its value list."""
+    shared: dict[str, dict[str, Spec]] = {}
     for name, spec in specs.items():
-        df = df.withColumn("__x", spec.col.cast("double"))
+        shared.setdefault(str(spec.col), {})[name] = spec
+    for group in shared.values():
+        depth = max(s.k for s in group.values())
+        df = df.withColumn("__x", next(iter(group.values())).col.cast("double"))
         df = history(df, keys, order, __pos=seq(), __idx=past("count", "__x", default=0))
         value = F.when(F.col("__x").isNotNull(), F.struct(F.col("__pos").alias("pos"), F.col("__x").alias("x")))
         hot = hot_keys(df, keys)
         part = list(keys)
         if hot is not None:
             # Cut by known-value index; each value is copied into the next slice as well.
-            width = max(hot_row_limit(df), 4 * spec.k)
+            width = max(hot_row_limit(df), 4 * depth)
             df = df.withColumn("__slice", F.floor(F.col("__idx") / width)).withColumn("__own", F.lit(True))
-            tail = F.col("__x").isNotNull() & (F.col("__idx") % width >= width - spec.k)
+            tail = F.col("__x").isNotNull() & (F.col("__idx") % width >= width - depth)
             df = df.unionByName(
                 df.filter(tail).withColumn("__slice", F.col("__slice") + 1).withColumn("__own", F.lit(False))
             )
             part.append("__slice")
-        w = Window.partitionBy(*part).orderBy(F.col("__idx")).rangeBetween(-spec.k, -1)
+        w = Window.partitionBy(*part).orderBy(F.col("__idx")).rangeBetween(-depth, -1)
         df = df.withColumn("__vals", F.array_sort(F.collect_list(value).over(w)))
         if hot is not None:
             df = df.filter("__own").drop("__slice", "__own")
-        df = df.withColumn(name, _fold_ewm(F.col("__vals"), F.col("__pos"), spec)).drop("__x", "__pos", "__idx", "__vals")
+        df = df.withColumns({n: _fold_ewm(F.col("__vals"), s) for n, s in group.items()})
+        df = df.drop("__x", "__pos", "__idx", "__vals")
     return df
 
 

@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 @dataclass(frozen=True)
@@ -22,11 +22,19 @@ MODULES = [
 ]
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
+    """Register a query.  ``dates`` are returned as ISO text on both sides."""
+
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"{name} registered twice")
-        QUERIES[name] = Query(fn, sql)
+        run, text = fn, sql
+        if dates:
+            run = lambda spark, sf: fn(spark, sf).withColumns({c: F.col(c).cast("string") for c in dates})
+            if sql:
+                casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
+                text = f"SELECT * REPLACE ({casts}) FROM ({sql})"
+        QUERIES[name] = Query(run, text)
         return fn
 
     return add
@@ -34,9 +42,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     for m in MODULES:
-        try:
-            importlib.import_module(f"hindcast.catalog.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"hindcast.catalog.{m}":
-                raise
+        importlib.import_module(f"hindcast.catalog.{m}")
     return QUERIES
