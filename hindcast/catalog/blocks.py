@@ -282,13 +282,16 @@ register("weight_pattern", sql("runs", dbls={"weight_volatility_5": "coalesce(st
 _REG = "CASE WHEN venue <= 2 THEN 'N' WHEN venue <= 6 THEN 'E' ELSE 'W' END"
 _RP = [glob(gn="1", gt=TOP3), f"""rp0 AS (SELECT runs.*, {rate('gt', 'gn', '0.25')} AS prior, coalesce(day_no - lag(day_no) OVER o, 0) AS gap, coalesce(lag({_REG}) OVER o, {_REG}) || {_REG} AS hop, coalesce(lag(outcome) OVER o, 18) AS po FROM runs JOIN glb USING (day_no) WINDOW o AS ({H})),
  rp1 AS (SELECT *, CAST(gap >= 60 AS INTEGER) AS rest, CASE WHEN gap >= 60 THEN {TOP3} END AS rtop FROM rp0),
- rp2 AS (SELECT *, CASE WHEN lag(rest) OVER o = 1 THEN po - outcome END AS tat, count(rtop) OVER p AS rn, coalesce(sum(rtop) OVER p, 0) AS rt, count(rtop) OVER (o ROWS UNBOUNDED PRECEDING) AS ridx FROM rp1 WINDOW o AS ({H}), p AS ({H} {UP})),
- rp3 AS (SELECT *, first_value(rtop IGNORE NULLS) OVER p AS fx, sum(CASE WHEN ridx > 1 THEN 0.25 * rtop * power(0.75, -ridx) END) OVER p AS ws FROM rp2 WINDOW p AS ({H} {UP}))"""]
+ rp2 AS (SELECT *, CASE WHEN lag(rest) OVER o = 1 THEN po - outcome END AS tat, count(rtop) OVER p AS rn, coalesce(sum(rtop) OVER p, 0) AS rt, row_number() OVER o AS pos, max(CASE WHEN rtop IS NOT NULL THEN pos0 END) OVER p AS lp
+   FROM (SELECT *, row_number() OVER ({H}) AS pos0 FROM rp1) WINDOW o AS ({H}), p AS ({H} {UP})),
+ rp2b AS (SELECT *, CASE WHEN rtop IS NULL OR lp IS NULL THEN 0 ELSE ln(power(0.75, pos - lp) / (power(0.75, pos - lp) + 0.25)) END AS la FROM rp2),
+ rp2c AS (SELECT *, coalesce(sum(la) OVER p, 0) AS ab, coalesce(sum(la) OVER p, 0) + la AS aa FROM rp2b WINDOW p AS ({H} {UP})),
+ rp3 AS (SELECT *, exp(ab) * sum(rtop * CASE WHEN lp IS NULL THEN 1 ELSE 1 - exp(la) END * exp(-aa)) OVER p AS dec FROM rp2c WINDOW p AS ({H} {UP}))"""]
 _VP = rate(f"sum(variant * {TOP3}) OVER p", f"sum({TOP3}) OVER p")
 _BI = "coalesce(avg(gap) FILTER (outcome <= 3) OVER p, 0)"
 register("rest_pattern", sql("rp3", _RP, {"is_long_rest": "CAST(gap >= 180 AS INTEGER)"}, {
     "rest_success_rate": "coalesce(avg(rtop) OVER p, 0)", "rest_success_rate_smoothed": "(rt + 8 * prior) / (rn + 8)",
-    "rest_success_rate_decay": "CASE WHEN rn > 0 THEN power(0.75, rn - 1) * fx + coalesce(power(0.75, rn) * ws, 0) ELSE (rt + 8 * prior) / (rn + 8) END",
+    "rest_success_rate_decay": "coalesce(dec, (rt + 8 * prior) / (rn + 8))",
     "optimal_rest_diff": f"gap - {_BI}", "rest_optimality_score": f"exp(-abs(gap - {_BI}) / (greatest(7.0, coalesce(stddev_samp(gap) FILTER (outcome <= 3) OVER p, 30)) + 1e-6))",
     "tataki_effectiveness": "coalesce(avg(tat) OVER p, 0)", "travel_load": "CASE hop WHEN 'EW' THEN 1.0 WHEN 'WE' THEN 1.0 WHEN 'EN' THEN 0.7 WHEN 'NE' THEN 0.7 WHEN 'WN' THEN 0.8 WHEN 'NW' THEN 0.8 ELSE 0 END",
     "horse_variant_pref": _VP, "horse_variant_match": f"-abs(variant - {_VP})"}))

@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..plans.hot import MAX_SEGMENTS, HotKeys, hot_keys, hot_row_limit, tag_hot
+from ..plans.hot import MAX_SEGMENTS, HotKeys, cut_lineage, hot_keys, hot_row_limit, tag_hot
 
 FIRST = Window.unboundedPreceding
 EPOCH = "1970-01-01"
@@ -61,17 +61,14 @@ def last_k(agg: str, col, k: int, min_n: int = 1, default=None, q: float = 0.5)
 
 def ewm(col, alpha: float) -> Spec:
     """Exponentially weighted mean of all earlier values, weights renormalised
-    (adjust=True) and counted by row position, so a gap still ages the values.
-
-    Weights below 2**-60 of the largest cannot change a double, so the frame is
-    the last ceil(60 / -log2(1-alpha)) known values.
-    """
-    return Spec("ewm", col=_c(col), q=alpha, k=math.ceil(60 / -math.log2(1 - alpha)))
+    (adjust=True) and counted by row position, so a gap still ages the values."""
+    return Spec("ewm", col=_c(col), q=alpha)
 
 
 def ewm_recursive(col, alpha: float) -> Spec:
-    """s = (1-alpha) s + alpha x started at the first value (adjust=False)."""
-    return Spec("ewmr", col=_c(col), q=alpha, k=math.ceil(60 / -math.log2(1 - alpha)))
+    """Recursion s = (w s + alpha x) / (w + alpha) started at the first value
+    (adjust=False), where w = (1-alpha)**(rows since the value before)."""
+    return Spec("ewmr", col=_c(col), q=alpha)
 
 
 def _aggregate(agg: str, x: Column, q: float = 0.5) -> Column:
@@ -104,69 +101,82 @@ def _bounded(spec: Spec, w) -> Column:
     return _finish(_aggregate(spec.agg, spec.col, spec.q).over(frame), F.count(spec.col).over(frame), spec)
 
 
-def _fold_ewm(values: Column, spec: Spec) -> Column:
-    """Weighted mean of array<struct<pos,x>>, oldest first."""
-    decay = 1.0 - spec.q
-    if spec.kind == "ewm":
-        # Only ratios of weights matter: measure age from the newest value kept.
-        newest = F.element_at(values, -1)["pos"]
-        weight = lambda s: F.pow(F.lit(decay), (newest - s["pos"]).cast("double"))
-        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-        acc = F.aggregate(
-            values,
-            zero,
-            lambda s, v: F.struct((s["a"] + weight(v) * v["x"]).alias("a"), (s["b"] + weight(v)).alias("b")),
-        )
-        out = F.try_divide(acc["a"], acc["b"])
-    else:
-        out = F.aggregate(
-            values,
-            F.lit(None).cast("double"),
-            lambda s, v: F.when(s.isNull(), v["x"]).otherwise(F.lit(decay) * s + F.lit(spec.q) * v["x"]),
-        )
-    return F.when(F.size(values) > 0, out)
-
-
-def _add_ewm(df: DataFrame, keys: list[str], order: list[Column], specs: dict[str, Spec]) -> DataFrame:
-    """Position and known-value index by ``history``; then a fold over a range frame of
-    that index.  Specs over the same column share the frame and its value list."""
-    shared: dict[str, dict[str, Spec]] = {}
+#: Natural-log span of one block of decayed sums; exp(BLOCK) must fit a double.
+BLOCK = 200.0
+
+
+def _add_ewm(df: DataFrame, keys: list[str], order: list[Column], specs: dict[str, Spec], hot: HotKeys | None) -> DataFrame:
+    """Decayed sums in one step per row.
+
+    Every known value i has a cumulative log decay A_i; a weighted sum as of the last
+    known value is sum(c_i * exp(A_last - A_i)), a running sum of c_i * exp(-A_i) times
+    exp(A_last).  To stay inside a double the running sum restarts whenever A has
+    fallen by BLOCK; of the earlier blocks only the last one with values can still
+    matter (the others weigh less than exp(-BLOCK))."""
     for name, spec in specs.items():
-        shared.setdefault(str(spec.col), {})[name] = spec
-    for group in shared.values():
-        depth = max(s.k for s in group.values())
-        df = df.withColumn("__x", next(iter(group.values())).col.cast("double"))
-        df = history(df, keys, order, __pos=seq(), __idx=past("count", "__x", default=0))
-        value = F.when(F.col("__x").isNotNull(), F.struct(F.col("__pos").alias("pos"), F.col("__x").alias("x")))
-        hot = hot_keys(df, keys)
-        part = list(keys)
-        if hot is not None:
-            # Cut by known-value index; each value is copied into the next slice as well.
-            width = max(hot_row_limit(df), 4 * depth)
-            df = df.withColumn("__slice", F.floor(F.col("__idx") / width)).withColumn("__own", F.lit(True))
-            tail = F.col("__x").isNotNull() & (F.col("__idx") % width >= width - depth)
-            df = df.unionByName(
-                df.filter(tail).withColumn("__slice", F.col("__slice") + 1).withColumn("__own", F.lit(False))
-            )
-            part.append("__slice")
-        w = Window.partitionBy(*part).orderBy(F.col("__idx")).rangeBetween(-depth, -1)
-        df = df.withColumn("__vals", F.array_sort(F.collect_list(value).over(w)))
-        if hot is not None:
-            df = df.filter("__own").drop("__slice", "__own")
-        df = df.withColumns({n: _fold_ewm(F.col("__vals"), s) for n, s in group.items()})
-        df = df.drop("__x", "__pos", "__idx", "__vals")
+        df = df.withColumn("__x", spec.col.cast("double"))
+        df = _apply(df, keys, order, {"__pos": seq()}, hot)
+        known = F.col("__x").isNotNull()
+        step = math.log(1.0 - spec.q)
+        if spec.kind == "ewm":
+            df = df.withColumn("__A", F.col("__pos") * F.lit(step)).withColumn("__c", F.col("__x"))
+        else:
+            df = _apply(df, keys, order, {"__lp": past("last", F.when(known, F.col("__pos")))}, hot)
+            w = F.exp((F.col("__pos") - F.col("__lp")) * F.lit(step))
+            df = df.withColumn("__la", F.when(known, F.coalesce(F.log(w / (w + spec.q)), F.lit(0.0))).otherwise(F.lit(0.0)))
+            df = _apply(df, keys, order, {"__A0": past("sum", "__la", default=0.0)}, hot)
+            df = df.withColumn("__A", F.col("__A0") + F.col("__la"))
+            first = F.col("__lp").isNull()
+            df = df.withColumn("__c", F.when(first, F.col("__x")).otherwise(F.col("__x") * (1 - F.exp("__la"))))
+            df = df.drop("__lp", "__la", "__A0")
+        df = df.withColumn("__B", F.floor(-F.col("__A") / BLOCK))
+        scale = F.exp(-F.col("__A") - F.col("__B") * BLOCK)
+        df = df.withColumn("__cs", F.when(known, F.col("__c") * scale)).withColumn("__ds", F.when(known, scale))
+        df = _apply(df, keys, order, {"__last": past("last", F.when(known, F.col("__A")))}, hot)
+        inner = [*keys, "__B"]
+        sums = {"__wc": past("sum", "__cs", default=0.0), "__wd": past("sum", "__ds", default=0.0)}
+        df = _apply(df, inner, order, sums, None if hot is None else hot_keys(df, inner))
+        df = _previous_block(df if hot is None else cut_lineage(df), keys, hot)
+        here = F.exp(F.col("__last") + F.col("__B") * BLOCK)
+        back = F.coalesce(F.exp(F.col("__last") + F.col("__prev.b") * BLOCK), F.lit(0.0))
+        num = F.when(F.col("__wd") > 0, here * F.col("__wc")).otherwise(0.0) + back * F.coalesce("__prev.c", F.lit(0.0))
+        den = F.when(F.col("__wd") > 0, here * F.col("__wd")).otherwise(0.0) + back * F.coalesce("__prev.d", F.lit(0.0))
+        value = F.try_divide(num, den) if spec.kind == "ewm" else num
+        df = df.withColumn(name, F.when(F.col("__last").isNotNull(), value))
+        df = df.drop("__x", "__pos", "__A", "__c", "__B", "__cs", "__ds", "__last", "__wc", "__wd", "__prev")
     return df
 
 
+def _previous_block(df: DataFrame, keys: list[str], hot: HotKeys | None) -> DataFrame:
+    """``__prev``: number and totals of the last earlier block of the key that has values."""
+    total = lambda c, d: F.struct(F.col("__B").alias("b"), c.alias("c"), d.alias("d"))
+    if hot is None:
+        whole = Window.partitionBy(*keys, "__B")
+        before = Window.partitionBy(*keys).orderBy("__B").rangeBetween(FIRST, -1)
+        df = df.withColumn("__t", F.when(F.count("__ds").over(whole) > 0, total(F.sum("__cs").over(whole), F.sum("__ds").over(whole))))
+        return df.withColumn("__prev", F.max("__t").over(before)).drop("__t")
+    cells = df.groupBy(*keys, "__B").agg(F.sum("__cs").alias("c"), F.sum("__ds").alias("d"))
+    cells = cells.withColumn("__t", F.when(F.col("d").isNotNull(), total(F.col("c"), F.col("d"))))
+    before = Window.partitionBy(*keys).orderBy("__B").rowsBetween(FIRST, -1)
+    side = cells.select(*keys, "__B", F.last("__t", ignorenulls=True).over(before).alias("__prev"))
+    return _null_safe(df, side, [*keys, "__B"])
+
+
 def history(df: DataFrame, keys, order, **specs: Spec) -> DataFrame:
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [_c(o) for o in ([order] if isinstance(order, (str, Column)) else order)]
     weighted = {n: s for n, s in specs.items() if s.kind.startswith("ewm")}
     plain = {n: s for n, s in specs.items() if n not in weighted}
+    hot = hot_keys(df, keys)
     if plain:
-        hot = hot_keys(df, keys)
-        df = _plain(df, keys, order, plain) if hot is None else _split(df, keys, order, plain, hot)
-    return _add_ewm(df, keys, order, weighted) if weighted else df
+        df = _apply(df, keys, order, plain, hot)
+    return _add_ewm(df, keys, order, weighted, hot) if weighted else df
+
+
+def _apply(df: DataFrame, keys, order, specs, hot: HotKeys | None) -> DataFrame:
+    if hot is None:
+        return _plain(df, keys, order, specs)
+    return _split(cut_lineage(df), keys, order, specs, hot)
 
 
 def _plain(df: DataFrame, keys, order, specs) -> DataFrame:

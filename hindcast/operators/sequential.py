@@ -8,14 +8,12 @@ carries only the state between slices, so no task ever holds more than a slice.
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.hot import hot_row_limit, input_bytes, MIN_ROW_BYTES
+from ..plans.hot import MIN_ROW_BYTES, cut_lineage, hot_row_limit, input_bytes
 
 START, STEP, SPREAD = 1500.0, 32.0, 400.0  # fixed values of the rating formula
 
@@ -36,20 +34,6 @@ def _slices(df: DataFrame, key: str, order: str) -> list:
     return sorted(set(cuts))
 
 
-def _persist(df: DataFrame) -> DataFrame:
-    """Cut the lineage between slices: a reliable checkpoint, or a table file in the
-    checkpoint folder of the session."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        path = f"{base.rstrip('/')}/hindcast-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-    if spark.sparkContext.getCheckpointDir() is None:  # nothing named by the cluster: a local run
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hindcast-"))
-    return df.checkpoint()
-
-
 def _rate_group(ratings: np.ndarray, outcome: np.ndarray) -> np.ndarray:
     """New ratings of one group: each row against the mean rating of the field."""
     ok = ~np.isnan(outcome) & (outcome > 0)
@@ -121,9 +105,9 @@ def ratings(df: DataFrame, pool: str, group: str, entity: str, outcome: str, tim
             return res
 
         folded = part.groupBy(pool).cogroup(needed.groupBy(pool)).applyInPandas(fold, both_schema)
-        folded = _persist(folded)
+        folded = cut_lineage(folded)
         fresh = folded.filter("__new IS NOT NULL").select(pool, F.explode("__new").alias(entity, "rating"))
-        state = _persist(state.join(fresh, [pool, entity], "left_anti").unionByName(fresh))
+        state = cut_lineage(state.join(fresh, [pool, entity], "left_anti").unionByName(fresh))
         piece = folded.drop("__new")
         done = piece if done is None else done.unionByName(piece)
     return done
@@ -181,10 +165,10 @@ def capped_equity(
             piece = part.join(F.broadcast(state), strategy, "left").groupBy(strategy).applyInPandas(
                 lambda p: run(p.drop(columns="__m"), bankroll if pd.isna(p["__m"].iloc[0]) else p["__m"].iloc[0]), schema
             )
-        piece = _persist(piece)
+        piece = cut_lineage(piece)
         last = piece.groupBy(strategy).agg(F.max_by("equity", F.struct(*order)).alias("__m"))
         if state is not None:
             last = last.unionByName(state.join(last, strategy, "left_anti"))
-        state = _persist(last)
+        state = cut_lineage(last)
         done = piece if done is None else done.unionByName(piece)
     return done

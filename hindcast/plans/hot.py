@@ -7,6 +7,8 @@ then split exactly those keys; every other key keeps the single-shuffle plan.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -68,6 +70,20 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKey
     return HotKeys(keys, table, max(r["__n"] for r in rows))
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise a frame that is read several times below: a table file in the shared
+    checkpoint folder, so it survives the loss of executors."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path = f"{base.rstrip('/')}/hindcast-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    if spark.sparkContext.getCheckpointDir() is None:  # nothing named by the cluster: a local run
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hindcast-"))
+    return df.checkpoint()
+
+
 def match(keys: list[str], left: str = "l", right: str = "r") -> Column:
     """Null-safe equality over ``keys`` between two aliased frames."""
     cond = None

@@ -11,7 +11,7 @@ def spark():
     from hindcast.session import session
 
     s = session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
+        "tests", "local[4]", spark__sql__shuffle__partitions="2", spark__ui__enabled="false", spark__sql__codegen__wholeStage="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="6g",
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -72,14 +72,25 @@ def test_ewm(skewed, hot):
 
 
 def test_ewm_matches_pandas(skewed):
-    got = history(skewed, "k", ["day", "id"], a=ewm("x", 0.5), b=ewm_recursive(F.coalesce("x", F.lit(0)), 0.25)).toPandas()
+    got = history(skewed, "k", ["day", "id"], a=ewm("x", 0.5), b=ewm_recursive("x", 0.25)).toPandas()
     got = got.sort_values(["k", "day", "id"])
     want_a = got.groupby("k")["x"].transform(lambda s: s.astype(float).shift(1).ewm(span=3, min_periods=1).mean())
-    want_b = got.groupby("k")["x"].transform(lambda s: s.fillna(0).astype(float).shift(1).ewm(alpha=0.25, adjust=False).mean())
+    want_b = got.groupby("k")["x"].transform(lambda s: s.astype(float).shift(1).ewm(alpha=0.25, adjust=False).mean())
     assert (got["a"] - want_a).abs().max() < 1e-9 and (got["a"].isna() == want_a.isna()).all()
     assert (got["b"] - want_b).abs().max() < 1e-9
 
 
+def test_ewm_over_long_gaps_and_histories(spark, hot):
+    df = spark.range(2600).select(F.lit(1).alias("k"), "id", F.when((F.col("id") % 700 < 40) | (F.col("id") > 2000), F.col("id") % 19).alias("x"))
+    make = lambda: history(df, "k", "id", a=ewm("x", 0.5), b=ewm_recursive("x", 0.3))
+    got = make().toPandas().sort_values("id")
+    past_x = got["x"].astype(float).shift(1)
+    for c, kw in (("a", dict(alpha=0.5)), ("b", dict(alpha=0.3, adjust=False))):
+        want = past_x.ewm(**kw).mean()
+        assert (got[c] - want).abs().max() < 1e-9 and (got[c].isna() == want.isna()).all(), c
+    both(make, lambda: hot(500))
+
+
 def test_calendar_windows(skewed, hot):
     m = {"n": F.lit(1), "s": F.coalesce("x", F.lit(0))}
     both(lambda: trailing_days(skewed, "k", "day", m, [7, 30, None]), hot)
