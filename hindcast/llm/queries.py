@@ -75,3 +75,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@add("op7_kneser_ney_quality")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    from .perplexity import quality
+
+    out = quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return out.select("doc_id", "lang", "n_bytes", "perplexity", "lowest", "highest", "keep")
