@@ -83,3 +83,10 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
     out = quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "lowest", "highest", "keep")
+
+
+@add("op1_partenum_jaccard_join")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf, "documents"), shingle=4, percent=85)
