@@ -90,3 +90,10 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf, "documents"), shingle=4, percent=85)
+
+
+@add("op10_hyperplane_near_vectors")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from .near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf, "embeddings"))
