@@ -97,3 +97,10 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     from .near_vectors import near_vectors
 
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+@add("op6_posting_list_neighbours")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
