@@ -123,3 +123,29 @@ def pieces(batches, column: str, most: int = 8 << 20):
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(a, b - a)
+
+
+def runs(batches, names: list[str]):
+    """Tables of the rows with equal values (no nulls) in the columns ``names``, of Arrow batches sorted by them."""
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for c in names:
+            v = batch.column(batch.schema.get_field_index(c)).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+            new[0] |= bool(held) and held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() != v[0]
+        cuts = np.flatnonzero(new)
+        at = 0
+        for cut in cuts:
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+            if held:
+                yield pa.Table.from_batches(held)
+            held, at = [], cut
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)

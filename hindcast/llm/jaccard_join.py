@@ -8,9 +8,10 @@ parts with one cell left out: linked sets share one, and two sets that share one
 * Equal sets are one set from the start (members keep a row each), so copies make no pairs.
 * Signatures travel as packed arrays by bucket.  A bucket returns the distinct lists of sets that share a signature.
 * For each list the set with the most entries is the centre; a family is a centre and all sets of its lists.  Every
-  candidate pair is inside a family.  A family's sets are compared exactly with the centre, and those that don't link with
-  it with every other set of the family, by counting common shingles in an inverted list; no pair is ever a row.  Large
-  families are cut into blocks, and the sets without a link to the centre visit every block.
+  candidate pair is inside a family.  First each set is compared exactly with its heaviest centre only.  Lists that lie in
+  more than one component after that form families again: their sets outside the centre's component are compared with
+  every other one, by counting common shingles in an inverted list.  No pair is ever a row.  Large families are cut into
+  blocks, and the sets in focus visit every block.
 * Links found (a spanning forest of each block) give the components.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import mix, pieces, shuffle_partitions, slices, stored, utf8
+from .common import mix, pieces, runs, shuffle_partitions, slices, stored, utf8
 from .components import components
 from .shingles import set_ids, shingle_sets
 
@@ -169,14 +170,24 @@ def _lists(batches) -> Iterator:
     yield pa.record_batch({"list": pa.array(np.repeat(name.astype(np.int64), size)), "set_id": pa.array(own[slices(start, size)])})
 
 
+VISITS = "array<struct<centre:long,block:int,set_id:long,own:boolean,focus:boolean>>"
+CONTENTS = "centre long, block int, set_id long, own boolean, focus boolean, content binary"
+
+
 def _contents(width: int):
+    """The shingles of each text, one row for each visit of its set to a block of a family."""
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        names = ("centre", "block", "set_id", "own", "focus")
         for batch in pieces(batches, "text", PIECE):
             body, offsets = utf8(batch.column("text"))
             hashed, at = shingle_sets(body, offsets, width)
-            yield pa.record_batch({"set_id": pa.array(set_ids(hashed, at)), "content": pa.array([hashed[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
+            ids = set_ids(hashed, at)
+            rows = [(v, hashed[at[k] : at[k + 1]].tobytes()) for k, visits in enumerate(batch.column("visits").to_pylist()) for v in visits if v["set_id"] == ids[k]]
+            if rows:
+                columns = [pa.array([v[c] for v, _ in rows], t) for c, t in zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()))]
+                yield pa.record_batch([*columns, pa.array([c for _, c in rows], pa.binary())], names=[*names, "content"])
 
     return run
 
@@ -194,14 +205,11 @@ def linked(sets: list[np.ndarray], focus: np.ndarray, percent: int) -> Iterator[
 
 
 def _compare(percent: int):
-    """One block of a family: its own sets and the visitors without a link to the centre.  Returns links a, b."""
-    def run(key, pdf):
-        import pandas as pd
-
-        own = pdf["own"].to_numpy(bool)
-        ids = pdf["set_id"].to_numpy(np.int64)
-        sets = [np.frombuffer(c, np.uint64) for c in pdf["content"]]
-        root = np.arange(len(ids))
+    """Blocks of families, sorted: compares the sets in focus with all others.  Returns a spanning forest of the links."""
+    def of_block(rows) -> list[tuple[int, int]]:
+        ids, own = rows.column("set_id").to_numpy(), rows.column("own").to_numpy()
+        sets = [np.frombuffer(c, np.uint64) for c in rows.column("content").to_pylist()]
+        root = list(range(len(ids)))
 
         def find(i):
             while root[i] != i:
@@ -210,35 +218,42 @@ def _compare(percent: int):
             return i
 
         links = []
-        for i, found in linked(sets, np.flatnonzero(pdf["alone"].to_numpy(bool)), percent):
+        for i, found in linked(sets, np.flatnonzero(rows.column("focus").to_numpy()), percent):
             for j in found:
                 if (own[i] or own[j]) and find(i) != find(j):
                     root[find(j)] = find(i)
                     links.append((ids[i], ids[j]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return run
+        return links
 
-
-def _to_centre(percent: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            linked_ = []
-            for a, b in zip(batch.column("centre_content").to_pylist(), batch.column("content").to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked_.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.record_batch([batch.column("centre"), batch.column("set_id"), pa.array(linked_, pa.bool_())], names=["centre", "set_id", "linked"])
+        for rows in runs(batches, ["centre", "block"]):
+            links = of_block(rows)
+            if links:
+                a, b = zip(*links)
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``docs`` whose key is in the stored table ``ids`` (column __id): a broadcast of at most BROADCAST_IDS ids, or a shuffle."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, F.col(key) == F.col("__id"), "left_semi")
+def links_inside(docs: DataFrame, family: DataFrame, sets: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
+    """Links of families (columns centre, set_id, focus): the sets in focus against all of their family.
+
+    Sets have a home block in their family; those in focus visit all its blocks.  The text of a set's first document is
+    looked up by id, so contents move once, straight to their blocks.
+    """
+    sizes = family.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    home = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    block = F.explode(F.when(F.col("focus"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home)))
+    visits = family.join(sizes, "centre").select("centre", "set_id", "focus", home.alias("home"), block.alias("block"))
+    visit = F.struct("centre", "block", "set_id", (F.col("home") == F.col("block")).alias("own"), "focus")
+    visits = visits.join(sets, "set_id").groupBy(F.col("rep").alias("__id")).agg(F.collect_list(visit).cast(VISITS).alias("visits"))
+    visits = stored(visits, f"{name}-visits")
+    visits = F.broadcast(visits) if visits.count() <= BROADCAST_IDS else visits
+    contents = docs.join(visits, F.col("doc_id") == F.col("__id")).select("text", "visits").mapInArrow(_contents(shingle), CONTENTS)
+    dealt = contents.repartition(shuffle_partitions(docs.sparkSession), "centre", "block").sortWithinPartitions("centre", "block")
+    return stored(dealt.mapInArrow(_compare(percent), "a long, b long"), f"{name}-links")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", name: str = "jaccard") -> DataFrame:
@@ -256,27 +271,23 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, key
     packets = rows.filter(F.col("text").isNotNull()).mapInArrow(_packets(shingle, percent, 4 * parts), "bucket int, sig binary, index binary, ids binary")
     lists = stored(packets.repartition(parts, "bucket").mapInArrow(_lists, "list long, set_id long").distinct(), f"{name}-lists")
     weight = lists.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    centre = lists.join(weight, "set_id").groupBy("list").agg(F.max(F.struct("n", "set_id"))["set_id"].alias("centre"))
-    family = stored(lists.join(centre, "list").select("centre", "set_id").distinct(), f"{name}-families")
-    wanted = stored(family.select("set_id").distinct().join(sets, "set_id").select(F.col("rep").alias("__id")).distinct(), f"{name}-wanted")
-    some = with_ids(rows, wanted, "doc_id").mapInArrow(_contents(shingle), "set_id long, content binary")
-    some = stored(some.groupBy("set_id").agg(F.first("content").alias("content")), f"{name}-contents")
-    # 1. every set of a family with its centre
-    pairs = family.filter(F.col("centre") != F.col("set_id")).join(some, "set_id")
-    pairs = pairs.join(some.select(F.col("set_id").alias("centre"), F.col("content").alias("centre_content")), "centre")
-    star = stored(pairs.mapInArrow(_to_centre(percent), "centre long, set_id long, linked boolean"), f"{name}-stars")
-    # 2. the others inside their family, where it has more than two sets
-    sizes = star.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("alone")).filter("n > 1 AND alone > 0")
-    blocks = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
-    inside = star.join(sizes.select("centre", blocks.alias("blocks")), "centre")
-    home = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    visits = F.explode(F.when(F.col("linked"), F.array(home)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.select("centre", "set_id", (~F.col("linked")).alias("alone"), home.alias("home"), visits.alias("block"))
-    inside = inside.withColumn("own", F.col("home") == F.col("block")).drop("home").join(some, "set_id")
-    found = inside.groupBy("centre", "block").applyInPandas(_compare(percent), "a long, b long")
-    edges = stored(star.filter("linked").select(F.col("centre").alias("a"), F.col("set_id").alias("b")).unionByName(found), f"{name}-links")
+    weighed = lists.join(weight, "set_id")
+    heaviest = weighed.groupBy("list").agg(F.max(F.struct("n", "set_id")).alias("centre"))
+    lists = stored(weighed.join(heaviest, "list").select("list", "set_id", "centre"), f"{name}-lists")
+    # 1. every set with the heaviest centre of its lists
+    first = lists.groupBy("set_id").agg(F.max("centre")["set_id"].alias("centre")).filter(F.col("centre") != F.col("set_id"))
+    first = first.select("centre", "set_id", F.lit(False).alias("focus"))
+    first = stored(first.unionByName(first.select("centre", F.col("centre").alias("set_id"), F.lit(True).alias("focus")).distinct()), f"{name}-first")
+    edges = links_inside(rows, first, sets, shingle, percent, f"{name}-first")
+    of = components(edges, f"{name}-components").withColumnRenamed("node", "set_id")
+    # 2. lists that are not in one component yet: what isn't in the centre's component, with all of the family
+    now = lists.select("list", "set_id", F.col("centre.set_id").alias("centre")).join(of, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    split = now.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("set_id") == F.col("centre"), F.col("component"))).alias("main")).filter("low <> high")
+    family = now.join(split.select("list", "main"), "list").groupBy("centre", "set_id").agg(F.max(F.col("component") != F.col("main")).alias("focus"))
+    more = links_inside(rows, stored(family, f"{name}-family"), sets, shingle, percent, f"{name}-second")
+    edges = edges.unionByName(more)
     # names of components: the smallest document of all its sets
-    of = components(edges, f"{name}-components")
+    of = components(edges, f"{name}-all-components")
     named = sets.join(of.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = stored(named.join(least, "component").select("set_id", "component_id"), f"{name}-names")
