@@ -104,3 +104,18 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     from .neighbours import nearest
 
     return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@add("op8_bilstm_crf_personal_data")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    from .pii import find_spans
+    from .tagger import KINDS
+
+    found = find_spans(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kinds = F.transform(base, lambda s: s["kind"])
+    return found.select(
+        "doc_id", *[(F.size(base) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"),
+    )
