@@ -119,3 +119,10 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", *[(F.size(base) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"),
     )
+
+
+@add("op3_repeated_substrings")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from .substrings import repeated_substrings
+
+    return repeated_substrings(table(spark, sf, "documents")).drop("spans")
