@@ -42,24 +42,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: f
     return per.select("source", "source_size", "squares", "longest", target.alias("target"))
 
 
-def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0, tilt: float = 0.5,
-    seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source", name: str = "mix",
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size (words), source_size, target, copies, taken = copies * size.
-
-    ``tilt`` in [0, 1): how much more likely long documents are taken than short ones.
-    Null or empty text: size 0, taken 0.  Null source: a source like any other, the last by name.  Null key: a key
-    like any other.  Repeated rows are documents of their own with the same u.  Ties go by key, then size.  Empty table:
-    no rows.  Other columns are ignored.  The same rows give the same result however they are partitioned.
-    """
-    sizes = stored(docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ), f"{name}-sizes")
-    per = stored(targets(sizes, weights, share, limit).withColumnRenamed("source", "__source"), f"{name}-targets")
-    # stored, so that Spark knows its size when it chooses the join
-    rows = sizes.join(per, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+def _ranked(sizes: DataFrame, per: DataFrame, tilt: float, seed: str) -> DataFrame:
+    """``sizes`` (doc_id, source, size and others) with __whole copies, the __rest and the __rank in their source."""
+    rows = sizes.join(per.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     ratio = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     rows = rows.withColumn("__whole", F.floor(ratio).cast("long"))
     rows = rows.withColumn("__rest", ratio - F.col("__whole"))
@@ -67,12 +52,57 @@ def mix(
     reach = F.greatest(F.col("longest") - middle, middle, F.lit(1.0))
     p = F.col("__rest") + F.lit(float(tilt)) * F.least(F.col("__rest"), 1 - F.col("__rest")) * (F.col("size") - middle) / reach
     u = uniform(seed, F.col("doc_id"))
-    odds = (u / (1 - u)) * (1 - p) / F.greatest(p, F.lit(1e-300))
-    rows = rows.withColumn("__rank", odds)
+    return rows.withColumn("__rank", (u / (1 - u)) * (1 - p) / F.greatest(p, F.lit(1e-300)))
+
+
+def _words(text: str):
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _chosen(docs: DataFrame, weights, share, limit, tilt, seed, key, text, source, name) -> tuple[DataFrame, DataFrame]:
+    sizes = stored(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), _words(text).alias("size")), f"{name}-sizes")
+    per = stored(targets(sizes, weights, share, limit), f"{name}-targets")  # stored, so that Spark knows its size when it chooses the join
+    rows = _ranked(sizes, per, tilt, seed)
     bucket = F.floor(F.lit(float(RANK_BUCKETS)) * (F.col("__rank") / (1 + F.col("__rank")))).cast("int")
     rows = rows.withColumns({"__name": F.coalesce("source", F.lit("")), "__null": F.col("source").isNull()})
     rows = running_total(rows, ["__name", "__null"], bucket, [F.col("__rank"), F.col("doc_id"), F.col("size")], F.col("size"), "__sum")
     # a document is in when its middle is: the last one only where that comes nearer to the target
     chosen = (2 * F.col("__sum") - F.col("size") <= 2 * F.col("__rest") * F.col("source_size")) & (F.col("__rest") > 0)
-    copies = F.col("__whole") + chosen.cast("long")
+    return rows.withColumn("__chosen", chosen), per
+
+
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0, tilt: float = 0.5,
+    seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source", name: str = "mix",
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size (words), source_size, target, copies, taken = copies * size.
+
+    ``tilt`` in [0, 1): how much more likely long documents are taken than short ones.
+    Null or empty text: size 0, taken 0.  Null source: a source like any other, the last by name.  Null key: a key
+    like any other.  Repeated rows are documents of their own with the same u.  Ties go by key, then size.  Empty table:
+    no rows.  Other columns are ignored.  The same rows give the same result however they are partitioned.
+    """
+    rows, _ = _chosen(docs, weights, share, limit, tilt, seed, key, text, source, name)
+    copies = F.col("__whole") + F.col("__chosen").cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix_documents(
+    docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0, tilt: float = 0.5,
+    seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source", name: str = "mix",
+) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as ``mix`` takes it.  Rows without a word are not in it.
+
+    Only the last chosen rank of each source is looked up, so texts stay where they are.  Of rows alike in key and size
+    all or none get the chosen copy.
+    """
+    rows, per = _chosen(docs, weights, share, limit, tilt, seed, key, text, source, name)
+    cut = rows.filter("__chosen").groupBy("source").agg(F.max(F.struct("__rank", F.col("doc_id").isNotNull().alias("known"), "doc_id", "size")).alias("__cut"))
+    per = stored(per.join(cut.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s"), f"{name}-cuts")
+    columns = docs.columns
+    whole = docs.select(F.struct(*columns).alias("__row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), _words(text).alias("size"))
+    whole = _ranked(whole, per, tilt, seed)
+    own = F.struct("__rank", F.col("doc_id").isNotNull().alias("known"), "doc_id", "size")
+    copies = F.col("__whole") + F.coalesce((own <= F.col("__cut")) & (F.col("__rest") > 0), F.lit(False)).cast("long")
+    copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("int")
+    return whole.filter(copies > 0).select(F.explode(F.array_repeat("__row", copies)).alias("__row")).select("__row.*")
