@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..plans.hot import MAX_SEGMENTS, HotKeys, cut_lineage, hot_keys, hot_row_limit, tag_hot
+from ..plans.hot import HotKeys, cut_lineage, hot_keys, hot_row_limit, tag_hot
 
 FIRST = Window.unboundedPreceding
 EPOCH = "1970-01-01"
@@ -212,27 +212,31 @@ def _with_segments(df: DataFrame, keys, order, hot: HotKeys) -> tuple[DataFrame,
     """
     dtype = df.select(order[0].alias("o")).schema["o"].dataType
     df = df.withColumn("__ord", _as_number(order[0], dtype))
-    wanted = max(2, min(MAX_SEGMENTS, math.ceil(2 * hot.biggest / hot_row_limit(df))))
-    side = math.ceil(math.sqrt(wanted))
-    m = side * side
-    cold, heavy = tag_hot(df, hot)
-    points = [i / m for i in range(1, m)]
-    cuts = heavy.groupBy(*keys).agg(F.percentile_approx("__ord", points, 20 * m).alias("__cuts"))
-    # One row per hot key; collected so that both uses below see the same cuts.
-    cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+    cold, heavy = tag_hot(df, hot, hot.table.select(*keys, "__class"))
+    rows, schema = [], None
+    for c in hot.classes():  # keys of one class, twice the size apart, get the same number of cuts
+        side = math.ceil(math.sqrt(2 ** (c + 2)))
+        m = side * side
+        own = heavy.filter(F.col("__class") == c).groupBy(*keys)
+        cuts = own.agg(F.percentile_approx("__ord", [i / m for i in range(1, m)], 20 * m).alias("__cuts"))
+        cuts = cuts.withColumn("__cutside", F.lit(side))
+        # As many numbers as the rows of hot keys hold limits; collected so that both uses below see the same cuts.
+        rows, schema = rows + cuts.collect(), cuts.schema
+    cuts = df.sparkSession.createDataFrame(rows, schema)
     cuts = cuts.select(
         *keys,
-        F.expr(f"transform(sequence(1, {side - 1}), i -> __cuts[i * {side} - 1])").alias("__coarse"),
-        F.expr(f"transform(sequence(0, {side - 1}), i -> slice(__cuts, i * {side} + 1, {side - 1}))").alias("__fine"),
+        "__cutside",
+        F.expr("transform(sequence(1, __cutside - 1), i -> __cuts[i * __cutside - 1])").alias("__coarse"),
+        F.expr("transform(sequence(0, __cutside - 1), i -> slice(__cuts, i * __cutside + 1, __cutside - 1))").alias("__fine"),
     )
     cold, heavy = tag_hot(df, hot, cuts)
     block = F.size(F.filter("__coarse", lambda b: b < F.col("__ord")))
     within = F.size(F.filter(F.element_at("__fine", F.col("__block") + 1), lambda b: b < F.col("__ord")))
     heavy = heavy.withColumn("__block", F.when(F.col("__ord").isNull(), -1).otherwise(block))
     heavy = heavy.withColumn(
-        "__seg", F.when(F.col("__block") < 0, F.lit(-1)).otherwise(F.col("__block") * side + within).cast("int")
+        "__seg", F.when(F.col("__block") < 0, F.lit(-1)).otherwise(F.col("__block") * F.col("__cutside") + within).cast("int")
     )
-    return cold.drop("__ord"), heavy.drop("__ord", "__block", "__coarse", "__fine")
+    return cold.drop("__ord"), heavy.drop("__ord", "__block", "__coarse", "__fine", "__cutside")
 
 
 def _split(df: DataFrame, keys, order, specs, hot: HotKeys) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.hot import MIN_ROW_BYTES, cut_lineage, hot_row_limit, input_bytes
+from ..plans.hot import cut_lineage, hot_row_limit
 
 START, STEP, SPREAD = 1500.0, 32.0, 400.0  # fixed values of the rating formula
 
@@ -22,8 +22,6 @@ def _slices(df: DataFrame, key: str, order: str) -> list:
     """Cut points of ``order`` so that no (key, slice) exceeds the row limit, as far as
     equal-depth cuts of the largest key allow; empty when one slice is enough."""
     limit = hot_row_limit(df)
-    if df.sparkSession.conf.get("spark.hindcast.hotRows", None) is None and input_bytes(df) < limit * MIN_ROW_BYTES:
-        return []
     top = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc()).first()
     if top is None or top["n"] <= limit:
         return []

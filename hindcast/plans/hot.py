@@ -7,6 +7,7 @@ then split exactly those keys; every other key keeps the single-shuffle plan.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -15,11 +16,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Rows of one key that a single task may hold.
 DEFAULT_HOT_ROWS = 5_000_000
-#: A stored row of any table we handle takes at least this many bytes on disk,
-#: so inputs smaller than HOT_ROWS * MIN_ROW_BYTES cannot hold a hot key.
-MIN_ROW_BYTES = 4
-#: Upper bound of segments per hot key (see history.py).
-MAX_SEGMENTS = 4096
 
 HOT_ROWS_CONF = "spark.hindcast.hotRows"
 BROADCAST_CONF = "spark.hindcast.broadcastBytes"
@@ -36,52 +32,76 @@ def input_bytes(df: DataFrame) -> float:
     return float(sum(float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
 
 
-def can_be_hot(df: DataFrame, limit: int) -> bool:
-    try:
-        return input_bytes(df) >= limit * MIN_ROW_BYTES
-    except Exception:  # no JVM plan at hand (Spark Connect): count to be sure
-        return True
-
-
 @dataclass(frozen=True)
 class HotKeys:
-    """The hot keys of one frame: at most (rows / limit) entries, by pigeonhole."""
+    """The hot keys of one frame: at most (rows / limit) entries, by pigeonhole.
+
+    ``table`` also has ``__class``: a key of class c has more than limit * 2^c rows,
+    and at most twice as many."""
 
     keys: list[str]
     table: DataFrame
     biggest: int
 
+    def classes(self) -> list[int]:
+        return sorted(r["__class"] for r in self.table.select("__class").distinct().collect())
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKeys | None:
-    """Keys with more than ``limit`` rows, or None.
 
-    One map-side-combined count over the key columns only.  Skipped when the
-    stored inputs are too small to hold a hot key at all.
-    """
-    explicit = df.sparkSession.conf.get(HOT_ROWS_CONF, None) is not None or limit is not None
-    limit = limit or hot_row_limit(df)
-    if not explicit and not can_be_hot(df, limit):
+#: What was found per session, limit and key plan; the counts of a chain of blocks on
+#: one stored table and key are taken once.
+_FOUND: dict[tuple, HotKeys | None] = {}
+
+
+def _key_plan(df: DataFrame, keys: list[str]) -> str | None:
+    """The optimised plan of the key columns alone.  Columns that other operators have
+    added are pruned from it, so it is the same all along a chain of blocks."""
+    try:
+        plan = df.select(*keys)._jdf.queryExecution().optimizedPlan().canonicalized()
+        return f"{plan.hashCode()}:{plan.toString()}"
+    except Exception:  # no JVM plan at hand (Spark Connect): count each time
         return None
+
+
+def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKeys | None:
+    """Keys with more than ``limit`` rows, or None: one map-side-combined count over the
+    key columns, whatever the size of the files.  Rows that a join or an explode below has
+    multiplied are counted as they are.  A finding that is out of date (files replaced in
+    the session) costs speed, never results: keys that are not in it are simply not split."""
+    spark = df.sparkSession
+    limit = limit or hot_row_limit(df)
+    plan = _key_plan(df, keys)
+    at = (spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID() if plan else "", limit, tuple(keys), plan)
+    if plan and at in _FOUND:
+        return _FOUND[at]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    counts = counts.withColumn("__class", F.floor(F.log2(F.col("__n") / limit)).cast("int"))
     rows = counts.collect()  # <= rows/limit entries
-    if not rows:
-        return None
-    table = df.sparkSession.createDataFrame(rows, counts.schema)
-    return HotKeys(keys, table, max(r["__n"] for r in rows))
+    found = HotKeys(keys, spark.createDataFrame(rows, counts.schema), max(r["__n"] for r in rows)) if rows else None
+    if plan:
+        if len(_FOUND) > 10_000:
+            _FOUND.clear()
+        _FOUND[at] = found
+    return found
+
+
+def shared_folder(spark) -> str:
+    """The folder all executors share, as the session names it.  Without a name only a session of one machine gets one
+    of its own: what one machine of a cluster keeps to itself, the others miss."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="hindcast-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a frame that is read several times below: a table file in the shared
-    checkpoint folder, so it survives the loss of executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        path = f"{base.rstrip('/')}/hindcast-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    if spark.sparkContext.getCheckpointDir() is None:  # nothing named by the cluster: a local run
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hindcast-"))
-    return df.checkpoint()
+    folder, so it survives the loss of executors."""
+    path = f"{shared_folder(df.sparkSession)}/hindcast-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def match(keys: list[str], left: str = "l", right: str = "r") -> Column:

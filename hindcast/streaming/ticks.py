@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,13 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans.hot import shared_folder
+
 TICK_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder for checkpoints and sinks, under the cluster's shared one when it names it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/hindcast-{name}-{uuid.uuid4().hex}"
+    """A new folder for checkpoints and sinks, under the one the cluster shares."""
+    return f"{shared_folder(spark)}/hindcast-{name}-{uuid.uuid4().hex}"
 
 
 def tick_stream(spark: SparkSession, path: str, glob: str = "*.parquet", schema: str = TICK_SCHEMA, per_trigger: int | None = None) -> DataFrame:
