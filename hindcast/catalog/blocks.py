@@ -390,7 +390,7 @@ register("track_aptitude", sql("ta", _TA, {"horse_going_count": _GN, "going_shif
     "going_shift_up_top3_rate": f"coalesce(avg({TOP3}) FILTER (shift >= 1) OVER p, 0)", "going_shift_down_top3_rate": f"coalesce(avg({TOP3}) FILTER (shift <= -1) OVER p, 0)"}))
 
 
-@query("b_attribute_features", sql("runs JOIN ppl ON lpad(CAST(person_a AS VARCHAR), 5, '0') = code", ["ppl AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS code, DATE '1960-01-01' + CAST(s_suppkey * 37 % 9000 AS INTEGER) AS born, CASE WHEN s_nationkey < 20 THEN DATE '1985-01-01' + CAST(s_suppkey * 11 % 3000 AS INTEGER) END AS licensed, s_nationkey % 4 + 1 AS b FROM supplier)"],
+@query("b_attribute_features", sql("runs JOIN ppl ON person_a = code", ["ppl AS (SELECT s_suppkey AS code, DATE '1960-01-01' + CAST(s_suppkey * 37 % 9000 AS INTEGER) AS born, CASE WHEN s_nationkey < 20 THEN DATE '1985-01-01' + CAST(s_suppkey * 11 % 3000 AS INTEGER) END AS licensed, s_nationkey % 4 + 1 AS b FROM supplier)"],
     {"jockey_belong_code": "b"}, {"jockey_age": "date_diff('day', born, day) / 365.25", "jockey_career_years": "coalesce(date_diff('day', licensed, day) / 365.25, -1)"}))
 def attribute_features(spark, sf):
     k = F.col("s_suppkey")

@@ -21,7 +21,7 @@ BETS = "bets AS (SELECT *, 100 AS stake, CASE WHEN y = 1 THEN qty * 20 ELSE 0 EN
 @query("a32_bootstrap_interval")
 def a32(spark, sf):
     """Poisson bootstrap of the return; weights come from a hash of the row key."""
-    out = M.bootstrap_ratio(_bets(spark, sf), KEY, "payout", "stake", 200, 11)
+    out = M.bootstrap_ratio(_bets(spark, sf), KEY, "payout", "stake", 1000, 11)
     return out.select(*[F.round(c, 6).alias(c) for c in ("lower", "mean", "upper")])
 
 
@@ -94,13 +94,13 @@ def a39(spark, sf):
  SELECT y0, w, count(*) AS n, avg(CASE WHEN y = 1 THEN -ln(greatest(1e-15, least(1 - 1e-15, q))) ELSE -ln(1 - greatest(1e-15, least(1 - 1e-15, q))) END) AS ll FROM (
   SELECT year(day) AS y0, y, f.w, (1 - f.w) * p_market + f.w * p_model AS q FROM model JOIN (
    SELECT fy, arg_min(w, l) AS w FROM (SELECT fy, w, avg(CASE WHEN y = 1 THEN -ln(greatest(1e-15, least(1 - 1e-15, q))) ELSE -ln(1 - greatest(1e-15, least(1 - 1e-15, q))) END) AS l FROM (
-     SELECT fy, w, y, (1 - w) * p_market + w * p_model AS q FROM model, (SELECT i / 5.0 AS w FROM range(0, 6) a(i)), (VALUES (1999), (2000), (2001)) v(fy) WHERE year(day) < fy) GROUP BY fy, w) GROUP BY fy) f ON f.fy = year(day)) GROUP BY y0, w)"""))
+     SELECT fy, w, y, (1 - w) * p_market + w * p_model AS q FROM model, (SELECT i / 5.0 AS w FROM range(0, 6) a(i)), (VALUES (1996), (1997), (1998), (1999), (2000), (2001)) v(fy) WHERE year(day) < fy) GROUP BY fy, w) GROUP BY fy) f ON f.fy = year(day)) GROUP BY y0, w)"""))
 def a40(spark, sf):
     """Blend weight fitted on the years before, scored on the year itself."""
     df = model(spark, sf).withColumn("yr", F.year("day"))
     fit = lambda d: C.best_blend(d, "group_id", "p_market", "p_model", "y", steps=5)[0]
     score = lambda d, w: M.proper_scores(d.withColumn("q", C.blend("p_market", "p_model", F.lit(w))), "q", "y").withColumn("w", F.lit(w))
-    out = C.walk_forward(df, "yr", [1999, 2000, 2001], fit, score)
+    out = C.walk_forward(df, "yr", list(range(1996, 2002)), fit, score)
     return out.select("year", "n", F.round("log_loss", 6).alias("log_loss"), "w")
 
 

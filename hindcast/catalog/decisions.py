@@ -97,12 +97,17 @@ def d17(spark, sf):
     return t.select("group_id", S.combination("selection", ordered=False).alias("selection"))
 
 
-@query("d18_rule_cascade_with_caps", ssql(f"""
-SELECT group_id, day, strategy, amount, CAST(spent + amount <= 3000 AS INTEGER) AS bought FROM (SELECT *, CAST(coalesce(sum(amount) OVER (PARTITION BY day ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent FROM (
+PROPOSALS = """proposals AS (SELECT *, row_number() OVER (PARTITION BY day, amount > 0 ORDER BY group_id) AS nth FROM (
  SELECT group_id, day, CASE WHEN p >= 0.8 AND ev >= 0.8 THEN 'high' WHEN p >= 0.5 AND ev >= 0.5 THEN 'balanced' WHEN p >= 0.4 THEN 'frequent' END AS strategy,
-  CASE WHEN p >= 0.8 AND ev >= 0.8 THEN 1000 WHEN p >= 0.5 AND ev >= 0.5 THEN 500 WHEN p >= 0.4 THEN 100 ELSE 0 END AS amount FROM evs WHERE r = 1))"""), dates=('day',))
+  CASE WHEN p >= 0.8 AND ev >= 0.8 THEN 1000 WHEN p >= 0.5 AND ev >= 0.5 THEN 500 WHEN p >= 0.4 THEN 100 ELSE 0 END AS amount FROM evs WHERE r = 1)),
+fold AS (SELECT group_id, day, strategy, amount, nth, CAST(amount <= 3000 AS INTEGER) AS bought, CASE WHEN amount <= 3000 THEN amount ELSE 0 END AS spent FROM proposals WHERE amount > 0 AND nth = 1
+ UNION ALL SELECT p.group_id, p.day, p.strategy, p.amount, p.nth, CAST(f.spent + p.amount <= 3000 AS INTEGER), f.spent + CASE WHEN f.spent + p.amount <= 3000 THEN p.amount ELSE 0 END
+ FROM fold f JOIN proposals p ON p.day = f.day AND p.nth = f.nth + 1 AND p.amount > 0)"""
+
+
+@query("d18_rule_cascade_with_caps", ssql("SELECT group_id, day, strategy, amount, bought FROM fold UNION ALL SELECT group_id, day, strategy, amount, 0 FROM proposals WHERE amount = 0", PROPOSALS).replace("WITH ", "WITH RECURSIVE ", 1), dates=('day',))
 def d18(spark, sf):
-    """Priority rules exclude each other; groups of a day are bought in order under the day cap."""
+    """Priority rules exclude each other; groups of a day are bought in order while they fit the day cap."""
     df = scored(spark, sf).filter("r = 1")
     p, ev = F.col("p"), F.col("ev")
     df = D.cascade(df, [("high", (p >= 0.8) & (ev >= 0.8), 1000), ("balanced", (p >= 0.5) & (ev >= 0.5), 500), ("frequent", p >= 0.4, 100)])
@@ -159,9 +164,9 @@ def d23(spark, sf):
     return out.select("year", "bets", "stake", "payout", "profit", F.round("roi", 6).alias("roi"), F.round("hit_rate", 6).alias("hit_rate"))
 
 
-@query("d24_period_aggregation", ssql("SELECT CAST(date_trunc('month', day) AS DATE) AS month, count(DISTINCT day) AS days, CAST(sum(stake) AS BIGINT) AS stake, CAST(sum(payout) AS BIGINT) AS payout FROM ledger WHERE day >= DATE '2000-01-01' GROUP BY 1", SETTLE), dates=('month',))
+@query("d24_period_aggregation", ssql("SELECT CAST(date_trunc('month', day) AS DATE) AS month, count(DISTINCT day) AS days, CAST(sum(stake) AS BIGINT) AS stake, CAST(sum(payout) AS BIGINT) AS payout FROM ledger GROUP BY 1", SETTLE), dates=('month',))
 def d24(spark, sf):
-    df = ledger(spark, sf).filter("day >= DATE '2000-01-01'")
+    df = ledger(spark, sf)
     return df.groupBy(F.trunc("day", "month").alias("month")).agg(F.countDistinct("day").alias("days"), F.sum("stake").alias("stake"), F.sum("payout").alias("payout"))
 
 

@@ -116,14 +116,14 @@ def w49(spark, sf):
 
 # --- pairs ---------------------------------------------------------------------
 
-RUN = "runners AS (SELECT group_id, day_no, person_a AS k, max(p) AS p, min(outcome) AS o FROM (SELECT *, p_market * 0.999 AS p FROM priced) GROUP BY ALL)"
+RUN = "runners AS (SELECT group_id, day_no, person_a AS k, max(p) AS p, min(outcome) AS o FROM (SELECT *, p_market AS p FROM priced) GROUP BY ALL)"
 
 
 def runners(spark, sf):
     """One row per (group, supplier): the best chance of the supplier in the group."""
     df = with_price(entries(spark, sf))
     return df.groupBy("group_id", "day_no", F.col("person_a").alias("k")).agg(
-        F.max(F.col("p_market") * 0.999).alias("p"), F.min("outcome").alias("o")
+        F.max("p_market").alias("p"), F.min("outcome").alias("o")
     )
 
 
@@ -234,23 +234,23 @@ def d05b(spark, sf):
 
 
 @query("d06_position_probabilities", oracle("""
-SELECT group_id, k, round(p, 6) AS p1, round(p * (sum(p / (1 - p)) OVER (PARTITION BY group_id) - p / (1 - p)), 6) AS p2 FROM (
- SELECT group_id, k, 0.999 * exp((o0 - m) / 2.0) / sum(exp((o0 - m) / 2.0)) OVER (PARTITION BY group_id) AS p FROM (
+SELECT group_id, k, round(p, 6) AS p1, round(CASE WHEN count(*) OVER (PARTITION BY group_id) = 1 THEN 0 ELSE p * (sum(p / nullif(1 - p, 0)) OVER (PARTITION BY group_id) - p / nullif(1 - p, 0)) END, 6) AS p2 FROM (
+ SELECT group_id, k, exp((o0 - m) / 2.0) / sum(exp((o0 - m) / 2.0)) OVER (PARTITION BY group_id) AS p FROM (
   SELECT *, -o AS o0, max(-o) OVER (PARTITION BY group_id) AS m FROM runners))""", RUN, priced=True))
 def d06(spark, sf):
     df = softmax(runners(spark, sf).drop("p").withColumn("s", -F.col("o")), "group_id", "s", "p", temperature=2.0)
-    df = P.second_place(df.withColumn("p", F.col("p") * 0.999), "group_id", "p", "p2")
+    df = P.second_place(df, "group_id", "p", "p2")
     return df.select("group_id", "k", F.round("p", 6).alias("p1"), F.round("p2", 6).alias("p2"))
 
 
 @query("d07_mass_check", oracle(f"""
-SELECT count(*) AS groups, count(*) FILTER (abs(mass - p1 * (1 - 0.001)) < 0.01) AS near FROM (
+SELECT count(*) AS groups, count(*) FILTER (abs(mass - p1) < 1e-6) AS near FROM (
  SELECT group_id, sum(p) AS mass, 1.0 AS p1 FROM (SELECT a.group_id, a.p * b.p / (1 - a.p) AS p {PAIR} AND a.k <> b.k) GROUP BY group_id)""", RUN, priced=True))
 def d07(spark, sf):
     """Share of groups whose pair probabilities sum to one."""
     t = P.pairs(runners(spark, sf), "group_id", "k", ["p"], "ordered")
     m = t.groupBy("group_id").agg(F.sum(P.exacta(F.col("p_1"), F.col("p_2"))).alias("mass"))
-    return m.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.abs(F.col("mass") - 0.999) < 0.01).alias("near"))
+    return m.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.abs(F.col("mass") - 1) < 1e-6).alias("near"))
 
 
 @query("d08_synthetic_price", oracle(f"SELECT a.group_id, a.k AS k_1, b.k AS k_2, round(0.775 / (a.p * b.p / (1 - a.p) + a.p * b.p / (1 - b.p)), 4) AS price {PAIR} AND a.k < b.k", RUN, priced=True))
@@ -264,14 +264,15 @@ CAND = f"""cand AS (SELECT group_id, 'win' AS ticket_type, CAST(k AS VARCHAR) AS
  UNION ALL SELECT a.group_id, 'umaren', CAST(a.k AS VARCHAR) || '-' || CAST(b.k AS VARCHAR), a.p * b.p / (1 - a.p) + a.p * b.p / (1 - b.p) {PAIR} AND a.k < b.k)"""
 
 
-def candidates(spark, sf):
+def candidates(spark, sf, least_pair: float = 1e-4):
+    """Win rows all stay; pairs less likely than ``least_pair`` are pruned."""
     r = runners(spark, sf)
     win = r.select("group_id", F.lit("win").alias("ticket_type"), F.col("k").cast("string").alias("combination"), "p")
     two = P.pairs(r, "group_id", "k", ["p"], "unordered")
     two = two.select("group_id", F.lit("umaren").alias("ticket_type"), F.concat_ws("-", "k_1", "k_2").alias("combination"), P.quinella(F.col("p_1"), F.col("p_2")).alias("p"))
-    return win.unionByName(two).filter(F.col("p") >= 1e-4)
+    return win.unionByName(two.filter(F.col("p") >= least_pair))
 
 
-@query("d09_candidates", oracle("SELECT group_id, ticket_type, combination, round(p, 6) AS p FROM cand WHERE p >= 1e-4", RUN, CAND, priced=True))
+@query("d09_candidates", oracle("SELECT group_id, ticket_type, combination, round(p, 6) AS p FROM cand WHERE ticket_type = 'win' OR p >= 1e-4", RUN, CAND, priced=True))
 def d09(spark, sf):
     return candidates(spark, sf).withColumn("p", F.round("p", 6))

@@ -14,13 +14,12 @@ from ..plans.registry import query
 from ..sources.tables import entries, oracle, table, with_price
 from .histories import K, KEY, _pick
 
-RACE = "race AS (SELECT *, lpad(CAST(group_id AS VARCHAR), 4, '0') || chr(CAST(65 + person_b % 5 AS INTEGER)) || lpad(CAST(line AS VARCHAR), 2, '0') AS race_id FROM entries)"
+RACE = "race AS (SELECT *, strftime(day, '%Y') || chr(CAST(65 + person_b % 5 AS INTEGER)) || CASE WHEN line < 10 THEN '0' ELSE '' END || line || '-' || group_id AS race_id FROM entries)"
 
 
 def _races(spark, sf):
     code = F.char(F.lit(65) + F.col("person_b") % 5)
-    # lpad in both engines cuts longer keys to four characters
-    return entries(spark, sf).withColumn("race_id", F.concat(F.lpad(F.col("group_id").cast("string"), 4, "0"), code, F.lpad(F.col("line").cast("string"), 2, "0")))
+    return entries(spark, sf).withColumn("race_id", F.concat(F.date_format("day", "yyyy"), code, S.pad("line", 2), F.lit("-"), F.col("group_id").cast("string")))
 
 
 @query("p01_organisation_filter", oracle(f"SELECT {K}, race_id FROM race WHERE substr(race_id, 5, 1) IN ('A', 'C')", RACE))

@@ -48,9 +48,15 @@ def unpack(packed, layout: str) -> Column:
     return F.filter(records, lambda r: ~r["key"].rlike("^0*$"))
 
 
+def pad(text, width: int, fill: str = "0") -> Column:
+    """Filled on the left up to ``width``; longer texts stay whole (lpad would cut them)."""
+    s = _c(text).cast("string")
+    return F.when(F.length(s) < width, F.lpad(s, width, fill)).otherwise(s)
+
+
 def clock_seconds(packed) -> Column:
     """'MSSt' (minutes, seconds, tenths) to seconds; anything else is NULL."""
-    s = F.lpad(F.trim(_c(packed)), 4, "0")
+    s = pad(F.trim(_c(packed)), 4)
     ok = s.rlike("^[0-9]{4}$")
     m, sec, t = (F.substring(s, a, n).try_cast("int") for a, n in ((1, 1), (2, 2), (4, 1)))
     return F.when(ok, m * 60 + sec + t / 10.0)
@@ -101,7 +107,7 @@ def combination(selection, ordered: bool, width: int | None = None) -> Column:
     """Canonical text of a selection: '1-2-3', or zero-padded '010203' for ``width``=2."""
     xs = _c(selection) if ordered else F.array_sort(_c(selection))
     if width:
-        return F.array_join(F.transform(xs, lambda x: F.lpad(x.cast("string"), width, "0")), "")
+        return F.array_join(F.transform(xs, lambda x: pad(x, width)), "")
     return F.array_join(F.transform(xs, lambda x: x.cast("string")), "-")
 
 
@@ -130,8 +136,9 @@ def tick_time_near(start, announced) -> Column:
 
 
 def at_clock(day, hhmm) -> Column:
-    """Timestamp of 'HHMM' on a date."""
-    s = F.lpad(_c(hhmm).cast("string"), 4, "0")
+    """Timestamp of 'HHMM' on a date; NULL for longer texts."""
+    s = pad(hhmm, 4)
+    s = F.when(F.length(s) == 4, s)
     h, m = F.substring(s, 1, 2).try_cast("int"), F.substring(s, 3, 2).try_cast("int")
     return _c(day).cast("timestamp") + F.make_dt_interval(F.lit(0), h, m, F.lit(0))
 

@@ -121,6 +121,10 @@ def replace_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(touched, keys, "left_anti").unionByName(new)
 
 
-def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` plus those ``new`` rows whose key is not there yet."""
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
+def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+    """``old`` plus those ``new`` rows whose key is not there yet; of several new rows of
+    one key the first by ``order`` (then by all their columns) is taken."""
+    cols = [c for c in new.columns if c not in keys]
+    first = F.min_by(F.struct(*cols), F.struct(*order, *cols)).alias("__first")
+    fresh = new.groupBy(*keys).agg(first).select(*keys, "__first.*").select(*new.columns)
+    return old.unionByName(fresh.join(old.select(*keys), keys, "left_anti"))

@@ -109,10 +109,36 @@ def cascade(df: DataFrame, rules: list[tuple[str, Column, int]]) -> DataFrame:
     return df.withColumn("strategy", name).withColumn("amount", amount)
 
 
-def day_cap(df: DataFrame, day: str, order: list[str], amount: str, cap: int) -> DataFrame:
-    """Rows of a day in order as long as everything proposed so far fits the cap."""
-    out = history(df, day, order, __spent=past("sum", amount, default=0))
-    return out.withColumn("bought", (F.col("__spent") + F.col(amount) <= cap).cast("int")).drop("__spent")
+def day_cap(df: DataFrame, day: str, order: list[str], amount: str, cap: int, race: str | None = None, race_cap: int | None = None) -> DataFrame:
+    """Buys the proposals of a day in order as long as each fits what is left of the day's
+    cap and of its race's cap; what does not fit is skipped and the next one is tried.
+
+    Rows without an amount are no proposals (bought = 0).  What is left only shrinks, so of
+    the proposals of one amount only the first cap / amount can ever be bought: only these
+    are folded, at most cap / least amount of each amount and day.  With a race cap the same
+    holds inside the race, and ``order`` begins with the race.
+    """
+    scope = [day] if race is None else [day, race]
+    limit = cap if race_cap is None else min(cap, race_cap)
+    out = history(df, [*scope, amount], order, __nth=seq())
+    can = F.coalesce((F.col(amount) > 0) & ((F.col("__nth") + 1) * F.col(amount) <= limit), F.lit(False))
+    out = out.withColumn("__can", can)
+    columns = df.columns
+    row = F.struct(*[F.col(o) for o in order], F.col(amount).cast("long").alias("__a"), F.struct(*columns).alias("__row"))
+    some = out.filter("__can").groupBy(day).agg(F.sort_array(F.collect_list(row)).alias("__all"))
+    zero = F.lit(0).cast("long")
+
+    def step(s, r):
+        name = r["__row"][race].cast("string") if race is not None else F.lit("")
+        there = F.when(s["race"].eqNullSafe(name), s["there"]).otherwise(zero)
+        ok = (s["spent"] + r["__a"] <= cap) & (there + r["__a"] <= limit)
+        cost = F.when(ok, r["__a"]).otherwise(zero)
+        return F.struct((s["spent"] + cost).alias("spent"), name.alias("race"), (there + cost).alias("there"), F.array_append(s["ok"], ok.cast("int")).alias("ok"))
+
+    start = F.struct(zero.alias("spent"), F.lit(None).cast("string").alias("race"), zero.alias("there"), F.array().cast("array<int>").alias("ok"))
+    some = some.withColumn("__ok", F.aggregate("__all", start, step)["ok"])
+    some = some.select(F.explode(F.arrays_zip("__all", "__ok")).alias("z")).select("z.__all.__row.*", F.col("z.__ok").alias("bought"))
+    return out.filter(~F.col("__can")).select(*columns, F.lit(0).alias("bought")).unionByName(some)
 
 
 def settle(tickets: DataFrame, payouts: DataFrame, keys: list[str]) -> DataFrame:

@@ -654,8 +654,8 @@ def attribute_features(df: DataFrame, people: DataFrame, key: str, name: str) ->
     """Age, career years and affiliation of a person from a master table (code, born, licensed, belongs)."""
     from .hot import sized_broadcast
 
-    m = people.select(F.lpad(F.trim(F.col("code").cast("string")), 5, "0").alias("__code"), "born", "licensed", "belongs")
-    out = df.withColumn("__code", F.lpad(F.col(key).cast("string"), 5, "0")).join(sized_broadcast(m), "__code", "left")
+    m = people.select(S.pad(F.trim(F.col("code").cast("string")), 5).alias("__code"), "born", "licensed", "belongs")
+    out = df.withColumn("__code", S.pad(F.col(key), 5)).join(sized_broadcast(m), "__code", "left")
     return (
         out.withColumn(f"{name}_age", S.age_years("born", "day")).withColumn(f"{name}_career_years", S.age_years("licensed", "day"))
         .withColumn(f"{name}_belong_code", F.coalesce("belongs", F.lit(0))).drop("__code", "born", "licensed", "belongs")

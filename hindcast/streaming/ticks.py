@@ -62,17 +62,16 @@ def latest_values(ticks: DataFrame, keys: list[str], columns: list[str]) -> Data
     return ticks.groupBy(*keys).agg(best).select(*keys, "r.*")
 
 
-def deadline_snapshots(ticks: DataFrame, groups: DataFrame, group: str, start: str, minutes: int, columns: list[str], late: str = "1 day") -> DataFrame:
+def deadline_snapshots(ticks: DataFrame, groups: DataFrame, group: str, start: str, minutes: int, columns: list[str], late: str = "7 days") -> DataFrame:
     """Latest tick up to ``minutes`` before the start, per group (update mode).
 
-    The deadline predicate rejects later ticks whenever they arrive; the watermark
-    bounds how long a group's state is kept.  Grouping by the day keeps the state
-    droppable.
+    The deadline predicate rejects later ticks whenever they arrive.  One row of state per
+    group, whichever days its ticks fall on; it is dropped when starts of ``late`` after
+    its own have been seen.
     """
-    joined = ticks.withWatermark("ts", late).join(groups, group)
-    joined = joined.filter(F.col("ts") <= F.col(start) - F.expr(f"interval {minutes} minutes"))
+    joined = ticks.join(groups, group).filter(F.col("ts") <= F.col(start) - F.expr(f"interval {minutes} minutes"))
     best = F.max_by(F.struct(F.col("ts").alias("snap_ts"), *columns), F.struct("ts", "event_id")).alias("r")
-    return joined.groupBy(group, start, F.window("ts", "1 day").alias("w")).agg(best).select(group, start, "r.*")
+    return joined.withWatermark(start, late).groupBy(group, start).agg(best).select(group, start, "r.*")
 
 
 def distinct_ticks(ticks: DataFrame, keys: list[str], within: str = "1 day") -> DataFrame:
@@ -83,43 +82,57 @@ def distinct_ticks(ticks: DataFrame, keys: list[str], within: str = "1 day") ->
 # --- keyed state ------------------------------------------------------------------
 
 
-def once_before_start(ticks: DataFrame, groups: DataFrame, group: str, start: str, open_min: int = 15, close_min: int = 5) -> DataFrame:
-    """Emit a group exactly once, with the newest tick known when event time enters the
-    window [start - open_min, start - close_min]; groups whose window passes without
-    the clock stopping in it are still emitted once, from what was known before it closed.
+def once_before_start(ticks: DataFrame, groups: DataFrame, group: str, start: str, open_min: int = 15, close_min: int = 5, forget: str = "1 day") -> DataFrame:
+    """Emit a group exactly once: at its first tick inside [start - open_min, start - close_min],
+    or, if there is none, when event time passes start - close_min, with the newest tick
+    known from before.  ``n_seen`` counts the ticks up to the one it was decided with.
 
-    State per group: newest (ts, event_id, value) and a done flag.  An event-time timer
-    at start - close_min closes groups that get no further ticks.
+    State per group: newest (ts, event_id, value) and a done flag.  A decided group stays as a
+    tombstone until ``forget`` after its start; ticks that come even later start no new state.
     """
     schema = f"{group} string, decided_at timestamp, event_id long, value double, n_seen long"
     state = "done boolean, ts long, event_id long, value double, n long, close long"
+    minute, keep = 60_000_000, int(pd.Timedelta(forget).total_seconds() * 1000)
+
+    def micros(times: pd.Series):
+        return times.astype("datetime64[us]").astype("int64").to_numpy()
 
     def update(key, batches: Iterator[pd.DataFrame], st: GroupState):
-        done, ts, eid, val, n, close = st.get if st.exists else (False, -1, -1, 0.0, 0, -1)
-        rows = []
+        now = st.getCurrentWatermarkMs()
+        found = None
         if st.hasTimedOut:
-            if not done and n > 0:
-                rows.append((key[0], pd.Timestamp(close, unit="us"), eid, val, n))
-            st.remove()
+            done, ts, eid, val, n, close = st.get
+            if done:
+                st.remove()
+            else:
+                found = (close, eid, val, n) if n > 0 else None
+                st.update((True, ts, eid, val, n, close))
+                st.setTimeoutTimestamp(max(close // 1000 + keep, now + 1))
         else:
-            parts = list(batches)
-            pdf = pd.concat(parts).sort_values(["ts", "event_id"]) if parts else pd.DataFrame()
-            for r in pdf.itertuples(index=False):
-                us = r.ts.value // 1000
-                s = getattr(r, start).value // 1000
-                close = s - close_min * 60_000_000
-                if done or us > close:
-                    continue
-                ts, eid, val, n = us, int(r.event_id), float(r.value), n + 1
+            pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            us, begin = micros(pdf["ts"]), int(micros(pdf[start])[0])
+            close, opened = begin - close_min * minute, begin - open_min * minute
+            if not st.exists and close // 1000 + keep <= now:
+                return  # long over
+            done, ts, eid, val, n, _ = st.get if st.exists else (False, -1, -1, 0.0, 0, close)
+            if not done:
+                last = int((us <= close).sum())  # ticks of this batch that count
+                inside = us[:last] >= opened
+                use = int(inside.argmax()) + 1 if inside.any() else last
+                if use:
+                    row = pdf.iloc[use - 1]
+                    if (int(us[use - 1]), int(row["event_id"])) > (ts, eid):
+                        ts, eid, val = int(us[use - 1]), int(row["event_id"]), float(row["value"])
+                    n += use
+                if inside.any():
+                    found, done = (ts, eid, val, n), True
+                elif close // 1000 <= now:
+                    found, done = ((close, eid, val, n) if n > 0 else None), True
             st.update((done, ts, eid, val, n, close))
-            now = st.getCurrentWatermarkMs()
-            if close >= 0 and close // 1000 > now:
-                st.setTimeoutTimestamp(close // 1000 + 1)
-            elif not done and n > 0:
-                rows.append((key[0], pd.Timestamp(close, unit="us"), eid, val, n))
-                st.update((True, ts, eid, val, n, close))
-        if rows:
-            yield pd.DataFrame(rows, columns=[group, "decided_at", "event_id", "value", "n_seen"])
+            st.setTimeoutTimestamp(max((close // 1000 + keep) if done else close // 1000 + 1, now + 1))
+        if found:
+            at, eid, val, n = found
+            yield pd.DataFrame([(key[0], pd.Timestamp(at, unit="us"), eid, val, n)], columns=[group, "decided_at", "event_id", "value", "n_seen"])
 
     joined = ticks.withWatermark("ts", "10 minutes").join(groups, group).select(group, start, "ts", "event_id", "value")
     return joined.groupBy(group).applyInPandasWithState(update, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
