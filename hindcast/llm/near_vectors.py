@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import shuffle_partitions, stored
 from .components import components
-from .vectors import matrix, usable
+from .vectors import usable
 
-BUCKET = 12
+BUCKET = 64
 BLOCK = 2000
 #: Rows that a task compares at a time.
 CHUNK = 20_000
@@ -37,8 +37,8 @@ def planes(d: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((d, tables * bits))
 
 
-def _signed(tables: int, bits: int, seed: int):
-    """node, vector -> one row for each table: node, table, signature, all signatures, vector."""
+def _signed(tables: int, bits: int, seed: int, kind: str):
+    """node, weight, vector -> one row for each table: node, weight, table and signature (key), all signatures, vector."""
     def run(batches) -> Iterator:
         import pyarrow as pa
 
@@ -48,17 +48,18 @@ def _signed(tables: int, bits: int, seed: int):
             lengths = np.array([len(v) for v in raw])
             for size in np.unique(lengths):
                 at = np.flatnonzero(lengths == size)
-                d = size // 8
-                x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), d)
+                d = size // np.dtype(kind).itemsize
+                x = np.frombuffer(b"".join(raw[i] for i in at), kind).reshape(len(at), d).astype(np.float64)
                 if d not in made:
                     made[d] = planes(d, tables, bits, seed)
                 sign = (x @ made[d] > 0).reshape(len(at), tables, bits)
                 sig = (sign * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2).astype(np.int32)
-                node = batch.column("node").take(pa.array(at))
-                own = [sig[i].tobytes() for i in range(len(at))]
+                node, weight = batch.column("node").take(pa.array(at)), batch.column("weight").take(pa.array(at))
+                short = sig.astype(np.uint16 if bits <= 16 else np.uint32)
+                own = [short[i].tobytes() for i in range(len(at))]
                 for t in range(tables):
                     key = (np.int64(size) << 40) + (np.int64(t) << 30) + sig[:, t]
-                    yield pa.record_batch({"node": node, "key": pa.array(key), "table": pa.array(np.full(len(at), t, np.int32)), "sigs": pa.array(own, pa.binary()), "vector": pa.array([raw[i] for i in at], pa.binary())})
+                    yield pa.record_batch({"node": node, "weight": weight, "key": pa.array(key), "table": pa.array(np.full(len(at), t, np.int32)), "sigs": pa.array(own, pa.binary()), "vector": pa.array([raw[i] for i in at], pa.binary())})
 
     return run
 
@@ -82,7 +83,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: str, sig_kind: str):
     """Rows sorted by (key, i, j): links inside each (key, i, j).  Returns counts (b null) and forest edges."""
     def links(x, side, i_eq_j, sigs, table):
         """Pairs of one bucket that link and have not met in a table before."""
@@ -119,7 +120,7 @@ def _compare(cosine: float):
                 ok = ~met.any(axis=1)
                 yield p[ok], q[ok]
 
-    def block(rows, forest_nodes):
+    def block(rows):
         import pyarrow as pa
 
         node = rows.column("node").to_numpy()
@@ -136,11 +137,11 @@ def _compare(cosine: float):
         for d in np.unique(length):
             of = np.flatnonzero(length == d)
             at = np.concatenate([np.arange(start[k], start[k] + size[k]) for k in of])
-            x = np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(len(at), -1)
+            x = np.frombuffer(b"".join(raw[k] for k in at), kind).reshape(len(at), -1).astype(np.float64)
             x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-            sigs = np.frombuffer(b"".join(sig[k] for k in at), np.int32).reshape(len(at), -1)
+            sigs = np.frombuffer(b"".join(sig[k] for k in at), sig_kind).reshape(len(at), -1)
             begin = np.cumsum(size[of]) - size[of]
-            low = (size[of] <= 64) & (i[start[of]] == j[start[of]])
+            low = (size[of] <= 16) & (i[start[of]] == j[start[of]])
             for a, b in small(x, begin[low], size[of][low], sigs, table[at]):
                 out_a.append(at[a])
                 out_b.append(at[b])
@@ -175,10 +176,10 @@ def _compare(cosine: float):
             last = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
             cut = rows.num_rows - int(last.sum())
             if cut:
-                yield from block(rows.slice(0, cut).combine_chunks(), None)
+                yield from block(rows.slice(0, cut).combine_chunks())
                 held = rows.slice(cut)
         if held is not None and held.num_rows:
-            yield from block(held.combine_chunks(), None)
+            yield from block(held.combine_chunks())
 
     return run
 
@@ -193,21 +194,22 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, miss: float = 1e-3, seed: i
     Empty table: no rows.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
-    rows = rows.withColumn("ok", usable(F.col("vector")))
-    rows = stored(rows.mapInArrow(_packed, "vec_id long, vector binary"), f"{name}-rows")
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
+    kind = "<f4" if rows.schema["vector"].dataType.simpleString() == "array<float>" else "<f8"  # as stored; computed in doubles
+    rows = rows.withColumn("vector", F.col("vector").cast("array<float>" if kind == "<f4" else "array<double>")).withColumn("ok", usable(F.col("vector")))
+    rows = stored(rows.mapInArrow(_packed(kind), "vec_id long, vector binary"), f"{name}-rows")
     nodes = rows.filter("vector IS NOT NULL").groupBy("vector").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("rep"))
     nodes = stored(nodes.withColumn("node", F.xxhash64("vector")), f"{name}-nodes")  # equal vectors: one node
     n = nodes.count()
     bits, tables = tables_for(n, cosine, miss)
-    signed = nodes.select("node", "vector").mapInArrow(_signed(tables, bits, seed), "node long, key long, table int, sigs binary, vector binary")
-    signed = signed.join(nodes.select("node", "weight"), "node")
-    heavy = stored(nodes.select("node", "vector").mapInArrow(_keys(tables, bits, seed), "key long").groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), f"{name}-heavy")
+    nodes_in = nodes.select("node", "weight", "vector")
+    signed = nodes_in.mapInArrow(_signed(tables, bits, seed, kind), "node long, weight long, key long, table int, sigs binary, vector binary")
+    heavy = stored(nodes_in.mapInArrow(_keys(tables, bits, seed, kind), "key long").groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), f"{name}-heavy")
     signed = signed.join(heavy, "key", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     met = signed.withColumn("pair", F.explode(pairs)).select("node", "weight", "key", "table", "own", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "sigs", "vector")
     met = met.repartition(4 * shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = stored(met.mapInArrow(_compare(cosine), "a long, b long, n long"), f"{name}-found")
+    found = stored(met.mapInArrow(_compare(cosine, kind, "<u2" if bits <= 16 else "<u4"), "a long, b long, n long"), f"{name}-found")
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     of = components(found.filter("b IS NOT NULL").select("a", "b"), f"{name}-components")
     named = nodes.select("node", "vector", "weight", "rep").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -219,19 +221,22 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, miss: float = 1e-3, seed: i
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _packed(batches) -> Iterator:
-    """Usable vectors as the bytes of their doubles (negative zero as zero), others as null."""
-    import pyarrow as pa
+def _packed(kind: str):
+    """Usable vectors as the bytes of their numbers (negative zero as zero), others as null."""
+    def run(batches) -> Iterator:
+        import pyarrow as pa
 
-    for batch in batches:
-        ok = batch.column("ok").to_numpy(zero_copy_only=False).astype(bool)
-        vectors = batch.column("vector")
-        packed = [(np.array(v.as_py(), np.float64) + 0.0).tobytes() if k else None for v, k in zip(vectors, ok)]
-        yield pa.record_batch({"vec_id": batch.column("vec_id"), "vector": pa.array(packed, pa.binary())})
+        for batch in batches:
+            ok = batch.column("ok").to_numpy(zero_copy_only=False).astype(bool)
+            vectors = batch.column("vector")
+            packed = [(np.array(v.as_py(), kind) + np.dtype(kind).type(0)).tobytes() if k else None for v, k in zip(vectors, ok)]
+            yield pa.record_batch({"vec_id": batch.column("vec_id"), "vector": pa.array(packed, pa.binary())})
+
+    return run
 
 
-def _keys(tables: int, bits: int, seed: int):
-    signed = _signed(tables, bits, seed)
+def _keys(tables: int, bits: int, seed: int, kind: str):
+    signed = _signed(tables, bits, seed, kind)
 
     def run(batches) -> Iterator:
         for batch in signed(batches):
