@@ -30,6 +30,8 @@ BROADCAST_IDS = 4_000_000
 HELD_OUT = 5
 #: Languages with fewer held-out documents take the thresholds of all languages together.
 LEAST_HELD_OUT = 100
+#: Limits are wider by this over the root of the number of held-out documents: few of them don't show the tails.
+WIDER = 5.0
 
 
 def ngrams(body: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
@@ -226,7 +228,8 @@ def thresholds(held_out: DataFrame, tail: float, margins: tuple[float, float], l
         joined = rows.join(middle, keys) if keys else rows.crossJoin(F.broadcast(middle))  # one row
         z = _distance(F.col("__bits"), F.col("__bytes"), F.col("__centre"))
         cut = F.percentile_approx(z, [tail, 1 - tail], 10000)
-        return joined.groupBy(*keys).agg(F.first("__centre").alias("__centre"), F.first("__n").alias("__n"), (cut[0] * margins[0]).alias("__low"), (cut[1] * margins[1]).alias("__high"))
+        wider = 1 + WIDER / F.sqrt(F.first("__n"))
+        return joined.groupBy(*keys).agg(F.first("__centre").alias("__centre"), F.first("__n").alias("__n"), (cut[0] * margins[0] * wider).alias("__low"), (cut[1] * margins[1] * wider).alias("__high"))
 
     return limits(["__lang"]).filter((F.col("__n") >= LEAST_HELD_OUT) & F.col("__lang").isNotNull()), limits([])
 
