@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import PRICE_EDGES, cut
+from ..operators.quantiles import exact_quantiles
 from ..operators import audit, metrics as M
 from ..operators.calendar import collapse
 from ..operators.history import history, past
@@ -284,8 +285,9 @@ def a33(spark, sf):
 def a41(spark, sf):
     r = F.col("cents") / (100.0 * F.col("qty") * (1 + F.col("disc")))
     df = entries(spark, sf).filter("outcome <= 2").select(r.alias("r"))
-    q = lambda p: F.round(F.percentile("r", F.lit(p)), 6)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("mean"), q(0.5).alias("median"), q(0.05).alias("p5"), q(0.95).alias("p95"))
+    found = exact_quantiles(df, {n: (F.col("r"), p) for n, p in (("median", 0.5), ("p5", 0.05), ("p95", 0.95))})
+    q = [F.round(F.lit(v).cast("double"), 6).alias(n) for n, v in found.items()]
+    return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("mean"), *q)
 
 
 @query("a44_target_encoding", oracle(f"""SELECT {K}, round((s + 20.0 * g) / (n + 20.0), 6) AS te, round(coalesce((s - os + 20.0 * g) / (n - oc + 20.0), g), 6) AS te_fold FROM (

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .quantiles import exact_quantiles
+
 # Columns that carry the result of the row itself.
 FORBIDDEN_COLUMNS = [
     "rank", "time", "rank_norm", "passing_rank", "last_3f", "time_index", "last_3f_index", "honshokin", "prize",
@@ -50,15 +52,15 @@ class Sentinel:
 
 
 def sentinels(df: DataFrame, rules: list[Sentinel]) -> DataFrame:
-    """Apply all rules with a single aggregate pass for the means and medians."""
-    stats = []
+    """Apply all rules; one pass for the means, shared passes for the medians."""
+    stats, medians = [], {}
     for r in rules:
         valid = F.when(~F.coalesce(r.invalid, F.lit(True)), F.col(r.column).cast("double"))
         if r.action == "mean":
             stats.append(F.avg(valid).alias(r.column))
         elif r.action == "median":
-            stats.append(F.percentile(valid, F.lit(0.5)).alias(r.column))
-    found = df.agg(*stats).first().asDict() if stats else {}
+            medians[r.column] = (valid, 0.5)
+    found = {**(df.agg(*stats).first().asDict() if stats else {}), **exact_quantiles(df, medians)}
     out = {}
     for r in rules:
         fill = {"null": None, "zero": 0}.get(r.action, found.get(r.column))
@@ -69,8 +71,8 @@ def sentinels(df: DataFrame, rules: list[Sentinel]) -> DataFrame:
 
 
 def impute(df: DataFrame, medians: list[str], zeros: list[str] = ()) -> DataFrame:
-    """NULLs to the column median (one pass for all columns) or to 0."""
-    found = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in medians]).first().asDict()
+    """NULLs to the column median (shared passes for all columns) or to 0."""
+    found = exact_quantiles(df, {c: (F.col(c), 0.5) for c in medians})
     return df.withColumns(
         {**{c: F.coalesce(F.col(c), F.lit(found[c])) for c in medians}, **{c: F.coalesce(F.col(c), F.lit(0)) for c in zeros}}
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .history import history, past, seq
+from .quantiles import exact_quantiles
 from .relative import rank, totals
 
 EPS = 1e-15
@@ -122,9 +123,8 @@ def ks_statistic(df: DataFrame, side: str, x: str) -> DataFrame:
 
 def quantile_edges(df: DataFrame, x: str, bins: int) -> list[float]:
     """Distinct linear-interpolated quantile edges (bins+1 numbers on the driver)."""
-    points = [i / bins for i in range(bins + 1)]
-    row = df.agg(F.percentile(x, points).alias("e")).first()
-    return sorted(set(row["e"]))
+    found = exact_quantiles(df, {str(i): (F.col(x), i / bins) for i in range(bins + 1)})
+    return sorted({v for v in found.values() if v is not None})
 
 
 def quantile_bin(x, edges: list[float]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.hot import hot_keys
@@ -11,6 +13,66 @@ from .history import history, past
 FIRST = Window.unboundedPreceding
 
 
+#: Values that are sorted on the driver at the end of an exact quantile.
+LAST_VALUES = 200_000
+
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], last: int = LAST_VALUES) -> dict[str, float | None]:
+    """Exact quantiles (linear interpolation, as ``percentile``) of whole columns: name -> (column, q).
+
+    No buffer holds the distinct values: a quantile sketch brackets the wanted rank, one pass counts what lies below
+    and inside, and the bracket shrinks until at most ``last`` rows, or a single value, are left.  All columns share
+    the passes.  NULLs are left out; a column without values gives None.
+    """
+    if not wanted:
+        return {}
+    df = df.select(*[c.cast("double").alias(f"c{i}") for i, (c, _) in enumerate(wanted.values())])
+    count = df.agg(*[f(f"c{i}").alias(f"{n}{i}") for i in range(len(wanted)) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
+    open_, out = {}, {}
+    for i, (name, (_, q)) in enumerate(wanted.items()):
+        out[name] = None
+        if count[f"n{i}"]:
+            at = (count[f"n{i}"] - 1) * q
+            open_[i] = {"name": name, "at": at, "lo": count[f"a{i}"], "hi": count[f"b{i}"], "below": 0, "inside": count[f"n{i}"]}
+    while large := {i: s for i, s in open_.items() if s["inside"] > last and s["lo"] < s["hi"]}:
+        inside = {i: F.when(F.col(f"c{i}").between(s["lo"], s["hi"]), F.col(f"c{i}")) for i, s in large.items()}
+        points = {i: [max(0.0, (math.floor(s["at"]) - s["below"]) / s["inside"] - 1e-3), min(1.0, (math.ceil(s["at"]) - s["below"]) / s["inside"] + 1e-3)] for i, s in large.items()}
+        near = df.agg(*[F.percentile_approx(inside[i], points[i], 10_000).alias(f"p{i}") for i in large]).first()
+        cuts = {i: (near[f"p{i}"][0], near[f"p{i}"][1]) for i in large}
+        seen = df.agg(*[x for i in large for x in (F.count_if(F.col(f"c{i}") < cuts[i][0]).alias(f"l{i}"), F.count_if(F.col(f"c{i}").between(*cuts[i])).alias(f"m{i}"))]).first()
+        for i, s in large.items():
+            low, mid = seen[f"l{i}"], seen[f"m{i}"]
+            if low <= math.floor(s["at"]) and math.ceil(s["at"]) < low + mid and mid < s["inside"]:
+                s.update(lo=cuts[i][0], hi=cuts[i][1], below=low, inside=mid)
+            else:  # the sketch missed the rank, or one value fills the bracket: halve by value
+                half = s["lo"] + (s["hi"] - s["lo"]) / 2
+                c = df.agg(F.count_if(F.col(f"c{i}") <= half).alias("l"), F.max(F.when(F.col(f"c{i}") <= half, F.col(f"c{i}"))).alias("x"), F.min(F.when(F.col(f"c{i}") > half, F.col(f"c{i}"))).alias("y")).first()
+                if math.ceil(s["at"]) < c["l"]:
+                    s.update(hi=c["x"], inside=c["l"] - s["below"])
+                elif math.floor(s["at"]) >= c["l"]:
+                    s.update(inside=s["below"] + s["inside"] - c["l"], below=c["l"], lo=c["y"])
+                else:  # the rank lies between two values
+                    x, y = c["x"], c["y"]
+                    s.update(done=(math.ceil(s["at"]) - s["at"]) * x + (s["at"] - math.floor(s["at"])) * y, inside=0)
+    for i, s in open_.items():
+        lo, hi = math.floor(s["at"]), math.ceil(s["at"])
+        if "done" in s:
+            out[s["name"]] = s["done"]
+            continue
+        if s["lo"] == s["hi"]:
+            out[s["name"]] = s["lo"]
+            continue
+        rows = df.filter(F.col(f"c{i}").between(s["lo"], s["hi"])).groupBy(f"c{i}").count().orderBy(f"c{i}").collect()
+        upto, value = s["below"], {}
+        for r in rows:
+            for rank in (lo, hi):
+                if upto <= rank < upto + r["count"]:
+                    value[rank] = r[f"c{i}"]
+            upto += r["count"]
+        out[s["name"]] = value[lo] if lo == hi else (hi - s["at"]) * value[lo] + (s["at"] - lo) * value[hi]
+    return out
+
+
 def expanding_quantile(df: DataFrame, keys, order, col: str, q: float, name: str, min_n: int = 1) -> DataFrame:
     """Quantile (linear interpolation) of all earlier values of the key."""
     keys = [keys] if isinstance(keys, str) else list(keys)
