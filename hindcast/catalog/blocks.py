@@ -289,11 +289,12 @@ _RP = [glob(gn="1", gt=TOP3), f"""rp0 AS (SELECT runs.*, {rate('gt', 'gn', '0.25
  rp3 AS (SELECT *, exp(ab) * sum(rtop * CASE WHEN lp IS NULL THEN 1 ELSE 1 - exp(la) END * exp(-aa)) OVER p AS dec FROM rp2c WINDOW p AS ({H} {UP}))"""]
 _VP = rate(f"sum(variant * {TOP3}) OVER p", f"sum({TOP3}) OVER p")
 _BI = "coalesce(avg(gap) FILTER (outcome <= 3) OVER p, 0)"
+_TL = "CASE WHEN contains(hop, 'U') THEN 0.4 WHEN hop IN ('EW', 'WE') THEN 1.0 WHEN hop IN ('EN', 'NE') THEN 0.7 WHEN hop IN ('WN', 'NW') THEN 0.8 ELSE 0 END"
 register("rest_pattern", sql("rp3", _RP, {"is_long_rest": "CAST(gap >= 180 AS INTEGER)"}, {
     "rest_success_rate": "coalesce(avg(rtop) OVER p, 0)", "rest_success_rate_smoothed": "(rt + 8 * prior) / (rn + 8)",
     "rest_success_rate_decay": "coalesce(dec, (rt + 8 * prior) / (rn + 8))",
     "optimal_rest_diff": f"gap - {_BI}", "rest_optimality_score": f"exp(-abs(gap - {_BI}) / (greatest(7.0, coalesce(stddev_samp(gap) FILTER (outcome <= 3) OVER p, 30)) + 1e-6))",
-    "tataki_effectiveness": "coalesce(avg(tat) OVER p, 0)", "travel_load": "CASE hop WHEN 'EW' THEN 1.0 WHEN 'WE' THEN 1.0 WHEN 'EN' THEN 0.7 WHEN 'NE' THEN 0.7 WHEN 'WN' THEN 0.8 WHEN 'NW' THEN 0.8 ELSE 0 END",
+    "tataki_effectiveness": "coalesce(avg(tat) OVER p, 0)", "travel_load": _TL, "rotation_stress": f"0.35 * {_TL} + 0.35 * greatest(0, 21.0 - gap) / 21.0 + 0.15 * CAST(gap >= 180 AS INTEGER)",
     "horse_variant_pref": _VP, "horse_variant_match": f"-abs(variant - {_VP})"}))
 
 _CD = ["cd AS (SELECT *, pass_4 / count(*) OVER (PARTITION BY group_id) AS fp FROM runs)"]
@@ -314,7 +315,7 @@ _BDD |= {"sire_top3_std_50": f"CASE WHEN count(*) OVER {_W50} >= 5 THEN stddev_s
 register("bloodline_detail", sql(_BJ, _BD, {"nicks_count": "n_nicks", "bms_count": "n_bms", "nicks_ctx_count": "n_nctx"}, _BDD))
 
 _PG = "coalesce(lag(gear) OVER o, 0)"
-register("horse_gear", sql("runs", ints={"is_first_blinker": f"CAST(gear = 1 AND {_PG} = 0 AS INTEGER)", "is_blinker_off": f"CAST(gear = 0 AND {_PG} = 1 AS INTEGER)"}))
+register("horse_gear", sql("runs", ints={"has_blinker": "gear", "lag1_blinker": f"coalesce({_PG}, 0)", "is_first_blinker": f"CAST(gear = 1 AND {_PG} = 0 AS INTEGER)", "is_blinker_off": f"CAST(gear = 0 AND {_PG} = 1 AS INTEGER)"}))
 register("race_attributes", sql("runs", ints={"field_size": "count(*) OVER g", "is_handicap_race_guess": "CAST(coalesce(stddev_samp(impost) OVER g, 0) > 0.8 AS INTEGER)"}, dbls={"race_impost_std": "coalesce(stddev_samp(impost) OVER g, 0)"}))
 register("impost_features", sql("runs", dbls={"impost_change": "coalesce(impost - lag(impost) OVER o, 0)", "impost_change_abs": "abs(coalesce(impost - lag(impost) OVER o, 0))"}))
 

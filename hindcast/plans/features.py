@@ -35,6 +35,9 @@ SLOPE_VENUES = [5, 6, 7, 9]
 VENUE_REGION = {1: "N", 2: "N", 3: "E", 4: "E", 5: "E", 6: "E", 7: "W", 8: "W", 9: "W", 10: "W"}
 AFFILIATION_REGION = {1: "E", 2: "W", 3: "L", 4: "O"}
 TRAVEL_LOAD = {"EW": 1.0, "WE": 1.0, "EN": 0.7, "NE": 0.7, "WN": 0.8, "NW": 0.8}
+# Load of a hop from or to an unknown region; weights of travel, short turn, long rest and runs since a rest.
+UNKNOWN_LOAD = 0.4
+ROTATION = (0.35, 0.35, 0.15, 0.15)
 # Priors and smoothing weights.
 WIN_PRIOR, TOP3_PRIOR = 0.08, 0.25
 SMALL_FIELD, COLLAPSE_RANK = 10, 10
@@ -472,7 +475,11 @@ def rest_pattern(df):
     spread = F.greatest(F.lit(7.0), F.coalesce("__sd", F.lit(30.0)))
     df = df.withColumn("rest_optimality_score", F.exp(-F.abs(F.col("optimal_rest_diff")) / (spread + 1e-6)))
     df = _entity(df, tataki_effectiveness=past("mean", F.when(F.col("__prest") == 1, F.col("__po") - F.col("outcome")), default=0.0))
-    df = df.withColumn("travel_load", S.lookup("__hop", TRAVEL_LOAD, 0.0)).withColumn("horse_variant_pref", _rate("__vt", "__tt"))
+    load = F.when(F.col("__hop").contains("U"), UNKNOWN_LOAD).otherwise(S.lookup("__hop", TRAVEL_LOAD, 0.0))
+    df = df.withColumn("travel_load", load).withColumn("horse_variant_pref", _rate("__vt", "__tt"))
+    runs_since = F.least(F.greatest(F.coalesce(F.col("tataki_count").cast("double"), F.lit(1.0)), F.lit(1.0)), F.lit(6.0)) / 6.0 if "tataki_count" in df.columns else F.lit(0.0)
+    short_turn = F.greatest(F.lit(0.0), 21.0 - gap) / 21.0
+    df = df.withColumn("rotation_stress", ROTATION[0] * F.col("travel_load") + ROTATION[1] * short_turn + ROTATION[2] * F.col("is_long_rest") + ROTATION[3] * runs_since)
     out = df.withColumn("horse_variant_match", -F.abs(F.col("variant") - F.col("horse_variant_pref")))
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
@@ -514,6 +521,7 @@ def bloodline_detail(df):
 @block
 def horse_gear(df):
     df = _entity(df, __p=lag("gear", default=0))
+    df = df.withColumn("has_blinker", F.col("gear")).withColumn("lag1_blinker", F.coalesce("__p", F.lit(0)))
     return df.withColumn("is_first_blinker", flag((F.col("gear") == 1) & (F.col("__p") == 0))).withColumn("is_blinker_off", flag((F.col("gear") == 0) & (F.col("__p") == 1))).drop("__p")
 
 
