@@ -6,11 +6,13 @@ one part the sets differ in at most one shingle, so two of its three cells are t
 parts with one cell left out: linked sets share one, and two sets that share one agree on about seven shingles.
 
 * Equal sets are one set from the start (members keep a row each), so copies make no pairs.
-* Signatures travel as packed arrays by bucket.  A bucket returns the distinct lists of sets that share a signature.
+* Signatures travel as packed arrays by bucket, with the 40 bits that their bucket doesn't tell; a chance agreement is
+  only one candidate more.  A bucket returns the distinct lists of sets that share a signature.
 * For each list the set with the most entries is the centre; a family is a centre and all sets of its lists.  Every
   candidate pair is inside a family.  First each set is compared exactly with its heaviest centre only.  Lists that lie in
   more than one component after that form families again: their sets outside the centre's component are compared with
-  every other one, by counting common shingles in an inverted list.  No pair is ever a row.  Large families are cut into
+  every other one.  Sketches (a byte for each cell) rule out sets with too many different cells, which is most of them;
+  the rest is decided by counting common shingles in an inverted list.  No pair is ever a row.  Large families are cut into
   blocks, and the sets in focus visit every block.
 * Links found (a spanning forest of each block) give the components.
 """
@@ -46,6 +48,24 @@ def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low, np.int64), np.array(k, np.int64)
 
 
+def _cells(hashed: np.ndarray, offsets: np.ndarray, percent: int, step: int):
+    """The cells of all sets for pairs with the band below (step 0), or inside the band and with the one above (step 1):
+    band of the pairs, k and number of parts by set; hash sums (parts x 3), 0 for an empty cell."""
+    size = np.diff(offsets)
+    low, k_of = bands(percent, int(size.max()))
+    at = np.maximum(np.searchsorted(low, size, side="right") - 1 + step, 0)
+    k = np.where(size > 0, k_of[np.minimum(at, len(k_of) - 1)], 0)
+    n1 = np.where(k > 0, (k + 2) // 2, 0)
+    base = np.cumsum(n1) - n1
+    total = np.zeros(int(n1.sum()) * 3, np.uint64)
+    live = np.repeat(k > 0, size)
+    own, h = np.repeat(np.arange(len(size)), size)[live], hashed[live]
+    part = ((h >> np.uint64(32)) * n1[own].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    cell = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(3) >> np.uint64(32)).astype(np.int64)
+    np.add.at(total, (base[own] + part) * 3 + cell, mix(h, 11))
+    return at, k, n1, total.reshape(-1, 3)
+
+
 def signatures(hashed: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of its set) of all sets.
 
@@ -53,53 +73,44 @@ def signatures(hashed: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[n
     differences could hide there: where twice the number of parts without two empty cells is at most k.  If two linked
     sets share no other signature, that holds for both of them.
     """
-    size = np.diff(offsets)
-    if not len(hashed):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low, k_of = bands(percent, int(size.max()))
-    band = np.searchsorted(low, size, side="right") - 1
-    sets = np.repeat(np.arange(len(size)), size)
-    part_bits, cell_bits, value = hashed >> np.uint64(32), (hashed & np.uint64(0xFFFFFFFF)), mix(hashed, 11)
-    out_sig, out_set = [], []
-    for step in (0, 1):  # pairs with the band below, then with the own band and the one above
-        at = np.maximum(band + step, 0)
-        k = np.where(size > 0, k_of[np.minimum(at, len(k_of) - 1)], 0)
-        n1 = np.where(k > 0, (k + 2) // 2, 0)
+    out_sig, out_set = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for step in (0, 1) if len(hashed) else ():
+        at, k, n1, total = _cells(hashed, offsets, percent, step)
         base = np.cumsum(n1) - n1
-        live = np.repeat(k > 0, size)
-        if not live.any():
-            continue
-        own = sets[live]
-        part = ((part_bits[live] * n1[own].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        cell = ((cell_bits[live] * np.uint64(3)) >> np.uint64(32)).astype(np.int64)
-        total = np.zeros(int(n1.sum()) * 3, np.uint64)
-        np.add.at(total, (base[own] + part) * 3 + cell, value[live])
-        total = total.reshape(-1, 3)
         filled = total != 0
-        whose = np.repeat(np.arange(len(size)), n1)
-        full = (filled.sum(axis=1) >= 2).astype(np.int64)
-        sums = np.concatenate([[0], np.cumsum(full)])
-        n_full = sums[base + n1] - sums[base]
-        needs_empty = (2 * n_full <= k)[whose]
+        whose = np.repeat(np.arange(len(n1)), n1)
+        sums = np.concatenate([[0], np.cumsum(filled.sum(axis=1) >= 2)])
+        needs_empty = (2 * (sums[base + n1] - sums[base]) <= k)[whose]
         seed = mix((at[whose].astype(np.uint64) << np.uint64(32)) + (np.arange(len(whose)) - base[whose]).astype(np.uint64), 5)
         for left_out in range(3):
             a, b = [c for c in range(3) if c != left_out]
             keep = filled[:, a] | filled[:, b] | needs_empty
             out_sig.append(mix(seed[keep] + np.uint64(left_out) + mix(total[keep, a], 1) + mix(total[keep, b], 2)))
             out_set.append(whose[keep])
-    if not out_sig:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
-def _members(width: int):
+def sketches(hashed: np.ndarray, offsets: np.ndarray, percent: int) -> list[bytes]:
+    """One byte of each cell's hash, for step 0 and then step 1: cells that show different bytes differ."""
+    if not len(hashed):
+        return [b""] * (len(offsets) - 1)
+    parts = []
+    for step in (0, 1):
+        _, _, n1, total = _cells(hashed, offsets, percent, step)
+        ends = np.concatenate([[0], np.cumsum(3 * n1)])
+        raw = (mix(total.ravel(), 13) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+        parts.append([raw[x:y] for x, y in zip(ends[:-1], ends[1:])])
+    return [x + y for x, y in zip(*parts)]
+
+
+def _members(width: int, percent: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in pieces(batches, "text", PIECE):
             body, offsets = utf8(batch.column("text"))
             hashed, at = shingle_sets(body, offsets, width)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(np.diff(at)), "set_id": pa.array(set_ids(hashed, at))})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(np.diff(at)), "set_id": pa.array(set_ids(hashed, at)), "sketch": pa.array(sketches(hashed, at, percent), pa.binary())})
 
     return run
 
@@ -124,7 +135,7 @@ def _packets(width: int, percent: int, buckets: int):
             for a, b in zip([0, *cut], [*cut, len(sig)]):
                 if b > a:
                     some, index = np.unique(own[a:b], return_inverse=True)
-                    rows.append((int(bucket[a]), sig[a:b].tobytes(), index.astype(np.uint32).tobytes(), ids[some].tobytes()))
+                    rows.append((int(bucket[a]), sig[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), index.astype(np.uint32).tobytes(), ids[some].tobytes()))
             if rows:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "sig", "index", "ids"])
 
@@ -137,8 +148,10 @@ def _lists(batches) -> Iterator:
 
     sigs, ids = [], []
     for batch in batches:
-        for sig, index, known in zip(batch.column("sig").to_pylist(), batch.column("index").to_pylist(), batch.column("ids").to_pylist()):
-            sigs.append(np.frombuffer(sig, np.uint64))
+        for bucket, sig, index, known in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sig", "index", "ids"))):
+            wide = np.zeros((len(sig) // 5, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(sig, np.uint8).reshape(-1, 5)
+            sigs.append(wide.view("<u8").ravel() | np.uint64(bucket << 40))
             ids.append(np.frombuffer(known, np.int64)[np.frombuffer(index, np.uint32)])
     if not sigs:
         return
@@ -237,22 +250,78 @@ def _compare(percent: int):
     return run
 
 
-def links_inside(docs: DataFrame, family: DataFrame, sets: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
-    """Links of families (columns centre, set_id, focus): the sets in focus against all of their family.
+def _screen(percent: int):
+    """Blocks of families, sorted: which sets may link at all with one in focus (or are in focus and have such a one).
 
-    Sets have a home block in their family; those in focus visit all its blocks.  The text of a set's first document is
-    looked up by id, so contents move once, straight to their blocks.
+    Linked sets differ in at most k shingles, so in at most k cells.
     """
+    def of_block(size, sketch, focus) -> np.ndarray:
+        low, k_of = bands(percent, int(size.max()))
+        band = np.searchsorted(low, size, side="right") - 1
+        k0, k1 = k_of[np.minimum(band, len(k_of) - 1)], k_of[np.minimum(band + 1, len(k_of) - 1)]
+        cells = [3 * np.where(k > 0, (k + 2) // 2, 0) for k in (k0, k1)]
+        stay = np.zeros(len(size), bool)
+        tables = {}
+        for b in np.unique(band):
+            own = np.flatnonzero(band == b)
+            c0, c1 = int(cells[0][own[0]]), int(cells[1][own[0]])
+            rows = np.frombuffer(b"".join(sketch[i] for i in own), np.uint8).reshape(len(own), c0 + c1)
+            tables[b] = own, rows[:, :c0], rows[:, c0:]
+        for i in np.flatnonzero(focus):
+            own, _, upper = tables[band[i]]
+            mine = upper[own == i][0]
+            for b, step, k in ((band[i], 1, k1[i]), (band[i] + 1, 0, k1[i])):
+                if b in tables and k > 0:
+                    those = tables[b][0]
+                    near = those[((tables[b][1 + step] != mine).sum(axis=1) <= k) & (those != i)]
+                    stay[near] = True
+                    stay[i] |= len(near) > 0
+            if band[i] - 1 in tables and k0[i] > 0:
+                mine = tables[band[i]][1][own == i][0]
+                those, _, lower = tables[band[i] - 1]
+                near = those[(lower != mine).sum(axis=1) <= k0[i]]
+                stay[near] = True
+                stay[i] |= len(near) > 0
+        return stay
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for rows in runs(batches, ["centre", "block"]):
+            focus = rows.column("focus").to_numpy()
+            stay = of_block(rows.column("n_shingles").to_numpy(), rows.column("sketch").to_pylist(), focus)
+            if stay.any():
+                yield pa.record_batch([rows.column(c).combine_chunks().filter(pa.array(stay)) for c in ("centre", "set_id", "focus")], names=["centre", "set_id", "focus"])
+
+    return run
+
+
+def _visits(family: DataFrame) -> DataFrame:
+    """Sets have a home block in their family; those in focus visit all its blocks."""
     sizes = family.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
     home = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     block = F.explode(F.when(F.col("focus"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home)))
     visits = family.join(sizes, "centre").select("centre", "set_id", "focus", home.alias("home"), block.alias("block"))
-    visit = F.struct("centre", "block", "set_id", (F.col("home") == F.col("block")).alias("own"), "focus")
-    visits = visits.join(sets, "set_id").groupBy(F.col("rep").alias("__id")).agg(F.collect_list(visit).cast(VISITS).alias("visits"))
+    return visits.withColumn("own", F.col("home") == F.col("block")).drop("home")
+
+
+def links_inside(docs: DataFrame, family: DataFrame, sets: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
+    """Links of families (columns centre, set_id, focus): the sets in focus against all of their family.
+
+    First their sketches meet, a tenth of the size, and leave the sets that may link.  The text of such a set's first
+    document is looked up by id, so contents move once, straight to their blocks.
+    """
+    parts = shuffle_partitions(docs.sparkSession)
+    rough = _visits(family).join(sets.select("set_id", "n_shingles", "sketch"), "set_id").drop("own")
+    rough = rough.repartition(parts, "centre", "block").sortWithinPartitions("centre", "block").select("centre", "block", "set_id", "focus", "n_shingles", "sketch")
+    family = rough.mapInArrow(_screen(percent), "centre long, set_id long, focus boolean").groupBy("centre", "set_id").agg(F.max("focus").alias("focus"))
+    family = stored(family, f"{name}-screened")
+    visit = F.struct("centre", "block", "set_id", "own", "focus")
+    visits = _visits(family).join(sets.select("set_id", "rep"), "set_id").groupBy(F.col("rep").alias("__id")).agg(F.collect_list(visit).cast(VISITS).alias("visits"))
     visits = stored(visits, f"{name}-visits")
     visits = F.broadcast(visits) if visits.count() <= BROADCAST_IDS else visits
     contents = docs.join(visits, F.col("doc_id") == F.col("__id")).select("text", "visits").mapInArrow(_contents(shingle), CONTENTS)
-    dealt = contents.repartition(shuffle_partitions(docs.sparkSession), "centre", "block").sortWithinPartitions("centre", "block")
+    dealt = contents.repartition(parts, "centre", "block").sortWithinPartitions("centre", "block")
     return stored(dealt.mapInArrow(_compare(percent), "a long, b long"), f"{name}-links")
 
 
@@ -265,8 +334,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, key
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    members = stored(rows.mapInArrow(_members(shingle), "doc_id long, n_shingles long, set_id long"), f"{name}-members")
-    sets = stored(members.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")), f"{name}-sets")
+    members = stored(rows.mapInArrow(_members(shingle, percent), "doc_id long, n_shingles long, set_id long, sketch binary"), f"{name}-members")
+    sets = members.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    sets = stored(sets, f"{name}-sets")
     parts = shuffle_partitions(spark)
     packets = rows.filter(F.col("text").isNotNull()).mapInArrow(_packets(shingle, percent, 4 * parts), "bucket int, sig binary, index binary, ids binary")
     lists = stored(packets.repartition(parts, "bucket").mapInArrow(_lists, "list long, set_id long").distinct(), f"{name}-lists")
