@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import pieces, stored, utf8
 
 ORDER = 5
+#: Bytes of text looked at together; a worker holds about forty times as much.
+PIECE = 2 << 20
 #: n-grams that a counting task keeps before it passes them on.
 MOST_KEPT = 4_000_000
 #: Rows of a model shard; 16 bytes each on an executor.
@@ -61,7 +63,7 @@ def _count(order: int):
         def rows(u, n):
             return pa.record_batch({"gram": pa.array(u.astype(np.int64)), "n": pa.array(n)})
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             body, offsets = utf8(batch.column("text"))
             if not len(body):
                 continue
@@ -171,7 +173,7 @@ def _score(mine: np.ndarray, arrays, order: int, text: str):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, PIECE):
             body, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
             yield pa.record_batch(
                 [*batch.columns, pa.array(_bits(body, offsets, mine, arrays.value, order)), pa.array(np.diff(offsets))],
