@@ -14,7 +14,7 @@ import numpy as np
 
 from .common import slices
 
-#: Chunks of which a worker keeps the ids; when full it starts anew.
+#: Chunks of which a worker keeps the ids; when full it forgets those seen once.
 MOST_CHUNKS = 800_000
 #: Longer chunks are encoded but not kept.
 LONGEST_KEPT = 64
@@ -28,40 +28,58 @@ _WORDS = re.compile(r"[^ \n]+")
 class Encoder:
     """``mode`` "spaced": chunks keep the spaces before them (byte-level BPE).  "words": spaces and line ends separate only."""
 
-    _made: dict[tuple[str, str], Encoder] = {}
+    _made: dict[tuple[str, str, int], Encoder] = {}
 
-    def __init__(self, path: str, mode: str):
+    def __init__(self, path: str, mode: str, most: int = MOST_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.most = most
         self.pattern = {"spaced": _SPACED, "words": _WORDS}[mode]
         self.clear()
 
     @classmethod
-    def of(cls, path: str, mode: str) -> Encoder:
-        if (path, mode) not in cls._made:
-            cls._made[path, mode] = cls(path, mode)
-        return cls._made[path, mode]
+    def of(cls, path: str, mode: str, most: int = MOST_CHUNKS) -> Encoder:
+        if (path, mode, most) not in cls._made:
+            cls._made[path, mode, most] = cls(path, mode, most)
+        return cls._made[path, mode, most]
 
     def clear(self):
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 16, np.int64)
         self.width = np.zeros(1 << 16, np.int64)
+        self.seen = np.zeros(1 << 16, np.int32)
         self.used = 0
 
+    def trim(self):
+        """Keeps the chunks that were seen more than once; starts anew when these are too many as well."""
+        kept = [c for c, k in self.known.items() if self.seen[k] > 1]
+        if len(kept) > self.most // 2:
+            return self.clear()
+        number = np.fromiter((self.known[c] for c in kept), np.int64, len(kept))
+        start, width, flat = self.start[number], self.width[number], self.flat
+        self.clear()
+        room = max(1 << 16, 1 << len(kept).bit_length())
+        self.start, self.width, self.seen = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, np.int32)
+        self.flat = flat[slices(start, width)]
+        self.used = len(self.flat)
+        self.start[: len(kept)], self.width[: len(kept)] = np.cumsum(width) - width, width
+        self.known = dict(zip(kept, range(len(kept))))
+
     def _learn(self, chunks: list[str]):
         n = len(self.known)
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         width = np.fromiter(map(len, encoded), np.int64, len(encoded))
         total = int(width.sum())
         while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), 1 << 16), np.int32)])
         while n + len(chunks) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.width = np.concatenate([self.width, np.zeros_like(self.width)])
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
         self.start[n : n + len(chunks)] = self.used + np.cumsum(width) - width
         self.width[n : n + len(chunks)] = width
         self.flat[self.used : self.used + total] = np.fromiter((i for ids in encoded for i in ids), np.int32, total)
@@ -73,8 +91,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of ids of each text.  None is an empty text."""
-        if len(self.known) > MOST_CHUNKS:
-            self.clear()
+        if len(self.known) > self.most:
+            self.trim()
         alone: list[np.ndarray] = []  # ids of what is encoded by itself
         number: list[int] = []  # of the chunk; below zero, -1 - the index in ``alone``
         ends = []
@@ -98,6 +116,8 @@ class Encoder:
                 number += found
             ends.append(len(number))
         which = np.array(number, np.int64)
+        times = np.bincount(which[which >= 0], minlength=1)
+        self.seen[: len(times)] += times.astype(np.int32)
         start, width, flat = self.start[which], self.width[which], self.flat
         if alone:
             lone = np.flatnonzero(which < 0)
