@@ -82,7 +82,7 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     from .perplexity import quality
 
     out = quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    return out.select("doc_id", "lang", "n_bytes", "perplexity", "lowest", "highest", "keep")
+    return out.select("doc_id", "lang", "n_bytes", "perplexity", "lowest", "highest", "keep", "stretch", "stretch_limit")
 
 
 @add("op1_partenum_jaccard_join")
