@@ -43,7 +43,7 @@ def ngrams(body: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     wide = body.astype(np.uint64)
     for back in range(order):
         part = np.full(len(body), 10, np.uint64)
-        part[back:] = wide[: len(body) - back] if back else wide
+        part[back:] = wide[: max(len(body) - back, 0)]
         part[at < back] = 10
         key |= part << np.uint64(8 * back)
     return key

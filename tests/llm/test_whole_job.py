@@ -1,6 +1,7 @@
 """Places where an operator once did less than the whole job."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hindcast.llm import perplexity as P
@@ -42,3 +43,11 @@ def test_an_unlikely_stretch_is_enough(spark):
     got = {r["doc_id"]: r for r in got.collect()}
     assert all(got[i]["keep"] for i in range(60)) and not got[100]["keep"]
     assert got[100]["stretch"] > got[100]["stretch_limit"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5])
+def test_ngrams_of_a_few_bytes(size):
+    text = b"abcde"[:size]
+    padded = b"\n" * 4 + text
+    want = [int.from_bytes(padded[i : i + 5], "big") for i in range(size)]
+    assert P.ngrams(np.frombuffer(text, np.uint8), np.array([0, size]), 5).tolist() == want
