@@ -110,7 +110,7 @@ def _members(width: int, percent: int):
         for batch in pieces(batches, "text", PIECE):
             body, offsets = utf8(batch.column("text"))
             hashed, at = shingle_sets(body, offsets, width)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(np.diff(at)), "set_id": pa.array(set_ids(hashed, at)), "sketch": pa.array(sketches(hashed, at, percent), pa.binary())})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(np.diff(at)), "set_id": pa.array(set_ids(hashed, at)), "sketch": pa.array(sketches(hashed, at, percent), pa.binary()), "text_hash": batch.column("text_hash")})
 
     return run
 
@@ -309,7 +309,8 @@ def links_inside(docs: DataFrame, family: DataFrame, sets: DataFrame, shingle: i
     """Links of families (columns centre, set_id, focus): the sets in focus against all of their family.
 
     First their sketches meet, a tenth of the size, and leave the sets that may link.  The text of such a set's first
-    document is looked up by id, so contents move once, straight to their blocks.
+    document is looked up by id (a set that only rows without an id have: by the hash of its text), so contents move once,
+    straight to their blocks.
     """
     parts = shuffle_partitions(docs.sparkSession)
     rough = _visits(family).join(sets.select("set_id", "n_shingles", "sketch"), "set_id").drop("own")
@@ -317,10 +318,13 @@ def links_inside(docs: DataFrame, family: DataFrame, sets: DataFrame, shingle: i
     family = rough.mapInArrow(_screen(percent), "centre long, set_id long, focus boolean").groupBy("centre", "set_id").agg(F.max("focus").alias("focus"))
     family = stored(family, f"{name}-screened")
     visit = F.struct("centre", "block", "set_id", "own", "focus")
-    visits = _visits(family).join(sets.select("set_id", "rep"), "set_id").groupBy(F.col("rep").alias("__id")).agg(F.collect_list(visit).cast(VISITS).alias("visits"))
+    visits = _visits(family).join(sets.select("set_id", "rep", "rep_hash"), "set_id").groupBy(F.col("rep").alias("__id"), F.when(F.col("rep").isNull(), F.col("rep_hash")).alias("__hash")).agg(F.collect_list(visit).cast(VISITS).alias("visits"))
     visits = stored(visits, f"{name}-visits")
     visits = F.broadcast(visits) if visits.count() <= BROADCAST_IDS else visits
-    contents = docs.join(visits, F.col("doc_id") == F.col("__id")).select("text", "visits").mapInArrow(_contents(shingle), CONTENTS)
+    found = docs.filter("doc_id IS NOT NULL").join(visits.filter("__id IS NOT NULL"), F.col("doc_id") == F.col("__id")).select("text", "visits")
+    nameless = docs.filter("doc_id IS NULL AND text IS NOT NULL").dropDuplicates(["text"])  # one row speaks for a text
+    found = found.unionByName(nameless.join(visits.filter("__id IS NULL"), F.xxhash64("text") == F.col("__hash")).select("text", "visits"))
+    contents = found.mapInArrow(_contents(shingle), CONTENTS)
     dealt = contents.repartition(parts, "centre", "block").sortWithinPartitions("centre", "block")
     return stored(dealt.mapInArrow(_compare(percent), "a long, b long"), f"{name}-links")
 
@@ -334,8 +338,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, key
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    members = stored(rows.mapInArrow(_members(shingle, percent), "doc_id long, n_shingles long, set_id long, sketch binary"), f"{name}-members")
-    sets = members.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    members = stored(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_members(shingle, percent), "doc_id long, n_shingles long, set_id long, sketch binary, text_hash long"), f"{name}-members")
+    sets = members.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("rep_hash"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     sets = stored(sets, f"{name}-sets")
     parts = shuffle_partitions(spark)
     packets = rows.filter(F.col("text").isNotNull()).mapInArrow(_packets(shingle, percent, 4 * parts), "bucket int, sig binary, index binary, ids binary")

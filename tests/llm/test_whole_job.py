@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from hindcast.llm import perplexity as P
+from hindcast.llm.jaccard_join import jaccard_components
 
-from .test_operators import docs, kneser_ney, none, prose  # noqa: F401
+from .test_operators import docs, groups, kneser_ney, none, prose, shingles  # noqa: F401
 
 
 def test_models_of_folds_leave_out_their_own(spark, docs):
@@ -51,3 +52,19 @@ def test_ngrams_of_a_few_bytes(size):
     padded = b"\n" * 4 + text
     want = [int.from_bytes(padded[i : i + 5], "big") for i in range(size)]
     assert P.ngrams(np.frombuffer(text, np.uint8), np.array([0, size]), 5).tolist() == want
+
+
+def test_rows_without_an_id_are_compared(spark):
+    rng = np.random.default_rng(12)
+    base = prose(rng, 120).split()
+    change = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(base))
+    bridge = [(1, change()), (None, change(60)), (2, change(60, 90))]  # 1 and 2 only link through the row without an id
+    other = prose(rng, 120)
+    near = [(7, other), (None, other + " tail")]
+    rows = [*bridge, *near, (9, prose(rng, 80)), (None, None)]
+    sets = [shingles(t, 4) for _, t in bridge]
+    like = lambda a, b: 100 * len(a & b) >= 93 * len(a | b)
+    assert like(sets[0], sets[1]) and like(sets[1], sets[2]) and not like(sets[0], sets[2])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in jaccard_components(df, 4, 93).collect())
+    assert got == groups(rows, 4, 93)
