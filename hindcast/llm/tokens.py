@@ -19,7 +19,8 @@ MOST_CHUNKS = 800_000
 #: Longer chunks are encoded but not kept.
 LONGEST_KEPT = 64
 
-#: Space runs with the word after them.  Python's \\s holds Rust's \\s and four control characters more; texts with those go whole.
+#: Space runs with the word after them.  Python's \\s holds Rust's \\s and four control characters more; texts with those go whole, and so do texts with
+#: the string of an added token (<|endoftext|>), which is one id there.
 _SPACED = re.compile(r"\s*\S+|\s+")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 _WORDS = re.compile(r"[^ \n]+")
@@ -35,7 +36,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)")
         self.most = most
         self.pattern = {"spaced": _SPACED, "words": _WORDS}[mode]
         self.clear()
@@ -97,7 +99,7 @@ class Encoder:
         number: list[int] = []  # of the chunk; below zero, -1 - the index in ``alone``
         ends = []
         for text in texts:
-            if text and _CONTROL.search(text):
+            if text and (_CONTROL.search(text) or self.special.search(text)):
                 number.append(-1 - len(alone))
                 alone.append(self._whole(text))
             elif text:

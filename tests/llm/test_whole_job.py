@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from hindcast.llm import perplexity as P
 from hindcast.llm.jaccard_join import jaccard_components
+from hindcast.llm.queries import tokenizer_path
+from hindcast.llm.tokens import Encoder
 
 from .test_operators import docs, groups, kneser_ney, none, prose, shingles  # noqa: F401
 
@@ -68,3 +70,14 @@ def test_rows_without_an_id_are_compared(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in jaccard_components(df, 4, 93).collect())
     assert got == groups(rows, 4, 93)
+
+
+@pytest.mark.parametrize("name,mode", [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "words")])
+def test_strings_of_special_tokens_are_their_ids(name, mode):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "plain words", "<|startoftext|>x<|endoftext|>", "a <|endoftext| b"]
+    ids, width = Encoder(tokenizer_path(name), mode).encode(texts)
+    whole = Tokenizer.from_file(tokenizer_path(name))
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(width)[:-1])] == want
