@@ -167,34 +167,71 @@ def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def joined(cut: list[tuple[int, int, int, bool, bool, float]], whole: list[tuple[float, int, int, int]]) -> list[tuple[float, int, int, int]]:
+    """Spans (mean margin, start, end, kind) from pieces (kind, start, end, cut at the left, cut at the right, mean margin).
+
+    Pieces of a kind that overlap are one span, if no side of it is cut any more: its first piece begins and its last one
+    ends inside a window.  Pieces that a whole span of their kind overlaps are that span's.
+    """
+    out = []
+    pieces = sorted(x for x in cut if not any(kind == x[0] and s < x[2] and x[1] < e for _, s, e, kind in whole))
+    at = 0
+    while at < len(pieces):
+        kind, start, end = pieces[at][:3]
+        last = at + 1
+        while last < len(pieces) and pieces[last][0] == kind and pieces[last][1] < end:
+            end = max(end, pieces[last][2])
+            last += 1
+        run = pieces[at:last]
+        if any(s == start and not left for _, s, _, left, _, _ in run) and any(e == end and not right for _, _, e, _, right, _ in run):
+            size = sum(e - s for _, s, e, *_ in run)
+            out.append((sum(m * (e - s) for _, s, e, _, _, m in run) / size, start, end, kind))
+        at = last
+    return out
+
+
+def _starts(text: str) -> range:
+    return range(0, max(STRIDE, max(len(text) - WINDOW, 0) + STRIDE), STRIDE)
+
+
 def find(p, texts: list[str], wanted) -> list[list[tuple[int, int, int]]]:
     """Spans of every whole text.  Windows overlap by half; ``wanted`` is a pattern of single characters that every
     accepted span holds (see pii.accepted), so a window without any can be passed over without changing the result.
 
-    A span that touches an inner edge of its window is left to the window in which it lies whole.  Of spans that
-    overlap, whichever window they come from, the one with the larger mean margin stays.
+    Pieces of one kind that touch an inner edge of their window are joined with what overlaps them in the next windows, so
+    a span may be longer than a window; a piece that a window has whole is left to that window.  Of spans that overlap,
+    whichever window they come from, the one with the larger mean margin stays.
     """
-    place, parts = [], []
+    todo: list[tuple[int, int]] = []
     for k, text in enumerate(texts):
-        starts = {0, *range(STRIDE, max(len(text) - WINDOW, 0) + STRIDE, STRIDE)}
-        hit = {s for m in wanted.finditer(text) for s in (m.start() // STRIDE * STRIDE, (m.start() // STRIDE - 1) * STRIDE) if s in starts and m.start() < s + WINDOW}
-        for s in sorted(hit):
-            place.append((k, s, len(text)))
-            parts.append(text[s : s + WINDOW])
+        starts = _starts(text)
+        todo += sorted((k, s) for s in {s for m in wanted.finditer(text) for s in (m.start() // STRIDE * STRIDE, (m.start() // STRIDE - 1) * STRIDE) if s in starts and m.start() < s + WINDOW})
     got: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
-    for lo in range(0, len(parts), 256):
-        some = parts[lo : lo + 256]
-        code = np.full((len(some), WINDOW), 10, np.int64)
-        for i, part in enumerate(some):
-            code[i, : len(part)] = codes(part)
-        tags, margin = decode(p, code)
-        for i, (k, s, n) in enumerate(place[lo : lo + 256]):
-            if not tags[i].any():
-                continue
-            for kind, a, b in spans_of(tags[i][: len(some[i])]):
-                if (a == 0 and s > 0) or (b == WINDOW and s + b < n):
+    cut: list[list[tuple[int, int, int, bool, bool, float]]] = [[] for _ in texts]  # kind, start, end, cut at each side, mean margin
+    done = set(todo)
+    while todo:
+        more = []  # windows that were passed over, but a piece goes on there
+        for lo in range(0, len(todo), 256):
+            some = todo[lo : lo + 256]
+            parts = [texts[k][s : s + WINDOW] for k, s in some]
+            code = np.full((len(some), WINDOW), 10, np.int64)
+            for i, part in enumerate(parts):
+                code[i, : len(part)] = codes(part)
+            tags, margin = decode(p, code)
+            for i, (k, s) in enumerate(some):
+                if not tags[i].any():
                     continue
-                got[k].append((float(margin[i, a:b].mean()), s + a, s + b, kind))
+                for kind, a, b in spans_of(tags[i][: len(parts[i])]):
+                    left, right = a == 0 and s > 0, b == WINDOW and s + b < len(texts[k])
+                    if not (left or right):
+                        got[k].append((float(margin[i, a:b].mean()), s + a, s + b, kind))
+                        continue
+                    cut[k].append((kind, s + a, s + b, left, right, float(margin[i, a:b].mean())))
+                    more += [(k, s - STRIDE)] * left + [(k, s + STRIDE)] * right
+        todo = sorted(set(more) - done)
+        done |= set(todo)
+    for k, own in enumerate(cut):
+        got[k] += joined(own, got[k])
     out = []
     for found in got:
         kept: list[tuple[int, int, int]] = []

@@ -1,10 +1,12 @@
 """Places where an operator once did less than the whole job."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hindcast.llm import perplexity as P
+from hindcast.llm import perplexity as P, tagger
 from hindcast.llm.jaccard_join import jaccard_components
 from hindcast.llm.queries import tokenizer_path
 from hindcast.llm.tokens import Encoder
@@ -81,3 +83,17 @@ def test_strings_of_special_tokens_are_their_ids(name, mode):
     whole = Tokenizer.from_file(tokenizer_path(name))
     want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in np.split(ids, np.cumsum(width)[:-1])] == want
+
+
+@pytest.mark.parametrize("size", [40, 60, 95, 150, 300])
+@pytest.mark.parametrize("start", [0, 1, 30, 47, 100])
+def test_tagger_spans_longer_than_the_overlap(monkeypatch, size, start):
+    def decode(p, code):  # begin at "<", inside for "1"; a window that begins inside a span opens it anew
+        tags = np.where(code == ord("<"), 1, np.where(code == ord("1"), 2, 0))
+        tags[:, 0] = np.where(tags[:, 0] == 2, 1, tags[:, 0])
+        return tags, np.ones(tags.shape)
+
+    monkeypatch.setattr(tagger, "decode", decode)
+    text = " " * start + "<" + "1" * (size - 1) + " " * 70
+    assert tagger.find(None, [text, "no sign"], re.compile("[0-9@]")) == [[(0, start, start + size)], []]
+    assert tagger.find(None, [text, "no sign"], re.compile("<")) == [[(0, start, start + size)], []]
