@@ -5,7 +5,8 @@
   lies close to a centroid already chosen.
 * The centroids stand in an in-memory graph (near neighbours pruned the same way, and some far ones), searched best-first
   from fixed entry points, for many vectors at a time.
-* A query reads the lists whose centroid is within ``ratio`` times the distance of its nearest centroid.
+* A query reads the lists whose centroid is within ``ratio`` times the distance of its nearest centroid.  A query that
+  finds fewer than k rows there reads all lists.
 * Lists and the queries that read them meet in a task; more than ``LIST_ROWS`` rows are dealt over several tasks.
   Each task returns a query's nearest rows, with exact distances, and the best of these are kept.
 """
@@ -210,13 +211,23 @@ def nearest(
     fitted = spark.sparkContext.broadcast((c, graph(c, 12, 4, seed)))  # at most CENTROIDS rows
     kind = rows.schema["vector"].dataType.simpleString()
     lists = stored(rows.select("vec_id", "vector").mapInArrow(_lists_of(fitted, 16, closure, copies), f"vec_id long, list int, vector {kind}"), f"{name}-lists")
-    reads = rows.filter("__query").select("vec_id", "vector").mapInArrow(_reads(fitted, width, ratio), f"query_id long, list int, vector {kind}")
+    asked = rows.filter("__query").select("vec_id", "vector")
     slot = F.pmod(F.col("list"), F.lit(SLOTS)).cast("int").alias("slot")
     stored_parts = lists.groupBy(slot).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("parts")).collect()  # at most SLOTS rows
     parts = F.create_map(*[F.lit(v) for r in stored_parts for v in (r["slot"], r["parts"])])
     lists = lists.select("*", slot, F.pmod(F.xxhash64("vec_id"), parts[slot]).cast("int").alias("part"))
-    reads = reads.select("*", slot).filter(parts[F.col("slot")].isNotNull()).withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("slot")] - 1)))
-    found = lists.groupBy("slot", "part").cogroup(reads.groupBy("slot", "part")).applyInPandas(_nearest(k), found_schema)
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # copies of a vector in several lists
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def read(reads: DataFrame, what: str) -> DataFrame:
+        reads = reads.select("*", slot).filter(parts[F.col("slot")].isNotNull()).withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("slot")] - 1)))
+        found = lists.groupBy("slot", "part").cogroup(reads.groupBy("slot", "part")).applyInPandas(_nearest(k), found_schema)
+        found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # copies of a vector in several lists
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return stored(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), f"{name}-{what}")
+
+    first = read(asked.mapInArrow(_reads(fitted, width, ratio), f"query_id long, list int, vector {kind}"), "found")
+    full = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k).select("query_id")
+    short = stored(asked.withColumnRenamed("vec_id", "query_id").join(full, "query_id", "left_anti"), f"{name}-short")
+    if short.isEmpty():
+        return first
+    every = short.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1))).alias("list"), "vector")
+    return first.join(full, "query_id", "left_semi").unionByName(read(every, "refilled"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hindcast.llm import perplexity as P, tagger
 from hindcast.llm.jaccard_join import jaccard_components
+from hindcast.llm.neighbours import nearest
 from hindcast.llm.queries import tokenizer_path
 from hindcast.llm.tokens import Encoder
 
@@ -97,3 +98,14 @@ def test_tagger_spans_longer_than_the_overlap(monkeypatch, size, start):
     text = " " * start + "<" + "1" * (size - 1) + " " * 70
     assert tagger.find(None, [text, "no sign"], re.compile("[0-9@]")) == [[(0, start, start + size)], []]
     assert tagger.find(None, [text, "no sign"], re.compile("<")) == [[(0, start, start + size)], []]
+
+
+def test_a_query_gets_all_its_neighbours(spark):
+    x = np.random.default_rng(8).standard_normal((400, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = nearest(df, F.col("vec_id") % 200 == 0, k=250, ratio=1.0, closure=1.0).orderBy("query_id", "rank").collect()
+    for q in (0, 200):  # a list has about 100 rows, so these read all
+        want = sorted((np.linalg.norm(x[q] - v), i) for i, v in enumerate(x) if i != q)[:250]
+        assert [(r["rank"], r["vec_id"]) for r in got if r["query_id"] == q] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+    few = nearest(df.filter("vec_id < 5"), F.col("vec_id") == 0, k=10).collect()
+    assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
