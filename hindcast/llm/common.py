@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..plans.hot import shared_folder as named_folder
+from ..plans.hot import match, shared_folder as named_folder
 
 #: What counts as white space between words, in Java, Python and DuckDB patterns alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +61,31 @@ def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[Co
     return out.drop("__bucket", "__amount", "__run", "__base")
 
 
+#: A key with more than one in so many rows is hot: there can't be more of them than this.
+HOT_PART = 2000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], often: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``side``, which has one row for each value of ``keys`` (nulls equal) and, in the column
+    ``often``, the number of ``rows`` that have it.  Both are stored tables.
+
+    Keys with more than a HOT_PART-th of all rows, at most HOT_PART of them, are broadcast; the others meet in a shuffle
+    in which no key is large.
+    """
+    total = rows.count()
+    hot = F.col(often) * HOT_PART > total
+    extra = [c for c in side.columns if c not in (*keys, often)]
+    same = match(keys)
+
+    def joined(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
+        both = left.alias("l").join(right.alias("r"), same, kind)
+        return both.select(*[F.col(f"l.{c}") for c in rows.columns], *[F.col(f"r.{c}") for c in extra])
+
+    few, many = side.filter(hot).select(*keys, *extra), side.filter(~hot).select(*keys, *extra)
+    cold = rows.alias("l").join(F.broadcast(few.select(*keys).alias("r")), same, "left_anti")
+    return joined(rows, F.broadcast(few), "inner").unionByName(joined(cold, many, how))
+
+
 # --- text as bytes, in numpy -----------------------------------------------------------------------------------------
 
 

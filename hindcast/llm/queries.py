@@ -126,3 +126,32 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     from .substrings import repeated_substrings
 
     return repeated_substrings(table(spark, sf, "documents")).drop("spans")
+
+
+def _op11(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    near = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
+    assign = f"SELECT vec_id, label, a.p, any_value(x) AS x, min({near} * {entries} + e) AS k FROM cut a JOIN book{{}} b ON a.p = b.p GROUP BY vec_id, label, a.p"
+    text = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS c, len(embedding) // {parts} AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT vec_id, label, p, c[p * w + 1 : (p + 1) * w] AS x FROM kept, range({parts}) t(p)),
+book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS y FROM cut QUALIFY e < {entries})"""
+    for r in range(rounds):
+        text += f""",
+near{r} AS MATERIALIZED ({assign.format(r)}),
+sums{r} AS (SELECT p, k % {entries} AS e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM near{r}, unnest(range(1, len(x) + 1)) t(i) GROUP BY 1, 2, 3),
+means{r} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM sums{r} GROUP BY 1, 2),
+book{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM book{r} b LEFT JOIN means{r} m ON m.p = b.p AND m.e = b.e)"""
+    return text + f""",
+last AS MATERIALIZED ({assign.format(rounds)}),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', k % {entries}), '' ORDER BY p) AS code, CAST(sum(k // {entries}) AS BIGINT) AS error FROM last GROUP BY 1, 2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM coded"""
+
+
+@add("op11_orchard_vector_codes", _op11())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from .codes import vector_codes
+
+    return vector_codes(table(spark, sf, "embeddings")).drop("label")

@@ -27,3 +27,15 @@ def matrix(column) -> np.ndarray:
     if not len(column):
         return np.zeros((0, 0))
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def complete(vector: Column) -> Column:
+    """Neither null nor empty, and without a null or non-finite component; all zero is allowed."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite, F.lit(False))
+
+
+def common_length(df: DataFrame, vector: str, multiple: int = 1) -> int | None:
+    """The most frequent length of the complete vectors that is a multiple of ``multiple`` (the larger one of two)."""
+    row = df.filter(complete(F.col(vector)) & (F.size(vector) % multiple == 0)).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return row["d"] if row else None
