@@ -177,3 +177,13 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@add("op13_chunk_reuse_bpe")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from .chunk_reuse import decode_documents, encode_documents
+
+    path = tokenizer_path("word_bpe_49k.json")
+    out = decode_documents(encode_documents(table(spark, sf, "documents"), path), path)
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
