@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -84,7 +85,7 @@ class Encoder:
             self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
         self.start[n : n + len(chunks)] = self.used + np.cumsum(width) - width
         self.width[n : n + len(chunks)] = width
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in encoded for i in ids), np.int32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), np.int32, total)
         self.used += total
         self.known.update(zip(chunks, range(n, n + len(chunks))))
 
@@ -96,27 +97,27 @@ class Encoder:
         if len(self.known) > self.most:
             self.trim()
         alone: list[np.ndarray] = []  # ids of what is encoded by itself
-        number: list[int] = []  # of the chunk; below zero, -1 - the index in ``alone``
+        chunks: list[str | None] = []  # None: the next one of ``alone``
         ends = []
         for text in texts:
             if text and (_CONTROL.search(text) or self.special.search(text)):
-                number.append(-1 - len(alone))
+                chunks.append(None)
                 alone.append(self._whole(text))
             elif text:
-                chunks = self.pattern.findall(text)
-                found = list(map(self.known.get, chunks))
-                if None in found:
-                    new = dict.fromkeys(c for c, k in zip(chunks, found) if k is None)
-                    own = {}
-                    for c in [c for c in new if len(c) > LONGEST_KEPT]:
-                        own[c] = -1 - len(alone)
-                        alone.append(self._whole(c))
-                        del new[c]
-                    if new:
-                        self._learn(list(new))
-                    found = [own.get(c) if k is None and own and c in own else self.known[c] if k is None else k for c, k in zip(chunks, found)]
-                number += found
-            ends.append(len(number))
+                chunks += self.pattern.findall(text)
+            ends.append(len(chunks))
+        number = list(map(self.known.get, chunks))  # of the chunk; below zero, -1 - the index in ``alone``
+        if None in number:  # all new chunks of the batch go to the tokenizer in one call
+            new = dict.fromkeys(c for c, k in zip(chunks, number) if k is None and c is not None)
+            own = {}
+            for c in [c for c in new if len(c) > LONGEST_KEPT]:
+                own[c] = -1 - len(alone)
+                alone.append(self._whole(c))
+                del new[c]
+            if new:
+                self._learn(list(new))
+            whole = iter(range(-1, -1 - len(alone), -1))
+            number = [k if k is not None else next(whole) if c is None else own[c] if c in own else self.known[c] for c, k in zip(chunks, number)]
         which = np.array(number, np.int64)
         times = np.bincount(which[which >= 0], minlength=1)
         self.seen[: len(times)] += times.astype(np.int32)
