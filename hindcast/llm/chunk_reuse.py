@@ -24,12 +24,12 @@ from ..plans.hot import BROADCAST_CONF, DEFAULT_BROADCAST_BYTES, shared_folder
 from .common import pieces, runs, shared_folder as new_folder, slices, spread_join, stored, utf8
 from .tokens import Encoder
 
-#: Bytes of a chunk: at least, at most, and bits that are zero at a cut (1 KB more on average).
-LEAST, MOST, BITS = 256, 4096, 10
+#: Bytes of a chunk: at least, at most, and bits that are zero at a cut (2 KB more on average).
+LEAST, MOST, BITS = 512, 8192, 11
 #: Words on each side of a join that are encoded anew first; two, so that the outer ones can be compared.
 WORDS = 2
-#: Words of which a worker keeps the ids; bytes of text that it handles at a time.
-KEPT, PIECE = 300_000, 2 << 20
+#: Words of which a worker keeps the ids; bytes of text, and ids, that it handles at a time.
+KEPT, PIECE, IDS = 300_000, 2 << 20, 1 << 17
 
 _GEAR = np.random.default_rng(13).integers(0, 2**32, 256, dtype=np.uint32)
 _WORD = re.compile(r"[^ \n]+")
@@ -250,9 +250,10 @@ def _opened(width: str):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        Encoder.forget()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
                 yield pa.record_batch([part.column("doc_id"), _lists([np.frombuffer(b, width) for b in part.column("ids").to_pylist()])], names=["doc_id", "ids"])
 
     return run
@@ -263,6 +264,7 @@ def _put_together(width: str):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        Encoder.forget()
         held: list = []
         for rows in runs(batches, ["uid"]):
             ids = []
@@ -270,7 +272,7 @@ def _put_together(width: str):
                 own = np.frombuffer(raw, width)
                 ids.append(own[head or 0 : len(own) - (tail or 0)])
             held.append((rows.column("doc_id")[0].as_py(), np.concatenate(ids)))
-            if sum(len(v) for _, v in held) > 1 << 20:
+            if sum(len(v) for _, v in held) > IDS:
                 yield pa.record_batch([pa.array([d for d, _ in held], pa.int64()), _lists([v for _, v in held])], names=["doc_id", "ids"])
                 held = []
         if held:
@@ -330,8 +332,8 @@ def _decoded(path: str):
             lists = batch.column("ids")
             ends = lists.offsets.to_numpy().astype(np.int64)
             at = 0
-            while at < batch.num_rows:  # a million ids at a time, or one document
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20), "right")) - 1)
+            while at < batch.num_rows:  # one document at least
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + IDS, "right")) - 1)
                 ids = lists.values.to_numpy()[ends[at] : ends[to]]
                 body = flat[slices(start[ids], wide[ids])].tobytes()
                 total = np.concatenate([[0], np.cumsum(wide[ids])])

@@ -30,8 +30,8 @@ def whole(x: np.ndarray, scale: int) -> np.ndarray:
     """floor(scale * x): int64 where that is safe in sums of squares, otherwise Python's integers."""
     with np.errstate(over="ignore"):
         c = np.floor(x * scale)
-    most = np.abs(c).max(initial=0)
-    if most * most * 32 * x.shape[-1] < 2.0**62:
+    most = min(float(np.abs(c).max(initial=0)), 2.0**31)
+    if 32 * x.shape[-1] * most**2 < 2.0**62:
         return c.astype(np.int64)
     out = np.empty(x.shape, object)
     for i, v in enumerate(x.flat):  # a product beyond a double is that of a whole number

@@ -49,6 +49,11 @@ class Encoder:
             cls._made[path, mode, most] = cls(path, mode, most)
         return cls._made[path, mode, most]
 
+    @classmethod
+    def forget(cls):
+        """Frees the memory of a worker that goes on with other work."""
+        cls._made.clear()
+
     def clear(self):
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
@@ -97,28 +102,27 @@ class Encoder:
         if len(self.known) > self.most:
             self.trim()
         alone: list[np.ndarray] = []  # ids of what is encoded by itself
-        chunks: list[str | None] = []  # None: the next one of ``alone``
+        chunks: list[str | int] = []  # below zero, -1 - the index in ``alone``
         ends = []
         for text in texts:
             if text and (_CONTROL.search(text) or self.special.search(text)):
-                chunks.append(None)
+                chunks.append(-1 - len(alone))
                 alone.append(self._whole(text))
             elif text:
                 chunks += self.pattern.findall(text)
             ends.append(len(chunks))
-        number = list(map(self.known.get, chunks))  # of the chunk; below zero, -1 - the index in ``alone``
-        if None in number:  # all new chunks of the batch go to the tokenizer in one call
-            new = dict.fromkeys(c for c, k in zip(chunks, number) if k is None and c is not None)
-            own = {}
-            for c in [c for c in new if len(c) > LONGEST_KEPT]:
-                own[c] = -1 - len(alone)
-                alone.append(self._whole(c))
-                del new[c]
-            if new:
-                self._learn(list(new))
-            whole = iter(range(-1, -1 - len(alone), -1))
-            number = [k if k is not None else next(whole) if c is None else own[c] if c in own else self.known[c] for c, k in zip(chunks, number)]
-        which = np.array(number, np.int64)
+        own = {c: c for c in range(-len(alone), 0)}
+        new = set(chunks).difference(self.known, own)
+        for c in [c for c in new if len(c) > LONGEST_KEPT]:
+            own[c] = -1 - len(alone)
+            alone.append(self._whole(c))
+            new.remove(c)
+        if new:  # of all texts, in one call
+            self._learn(list(new))
+        self.known |= own
+        which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        for c in own:
+            del self.known[c]
         times = np.bincount(which[which >= 0], minlength=1)
         self.seen[: len(times)] += times.astype(np.int32)
         start, width, flat = self.start[which], self.width[which], self.flat
