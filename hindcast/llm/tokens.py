@@ -15,7 +15,7 @@ import numpy as np
 
 from .common import slices
 
-#: Chunks of which a worker keeps the ids; when full it forgets those seen once.
+#: Chunks of which a worker keeps the ids; when full it forgets the rarer half.
 MOST_CHUNKS = 800_000
 #: Longer chunks are encoded but not kept.
 LONGEST_KEPT = 64
@@ -63,10 +63,13 @@ class Encoder:
         self.used = 0
 
     def trim(self):
-        """Keeps the chunks that were seen more than once; starts anew when these are too many as well."""
-        kept = [c for c, k in self.known.items() if self.seen[k] > 1]
-        if len(kept) > self.most // 2:
-            return self.clear()
+        """Keeps the chunks seen most often, at most half of what there is room for; what they count is halved, so that
+        chunks of long ago make way for those of now."""
+        seen = self.seen[: len(self.known)]
+        least = 2
+        while np.count_nonzero(seen >= least) > self.most // 2:
+            least += 1
+        kept = [c for c, k in self.known.items() if seen[k] >= least]
         number = np.fromiter((self.known[c] for c in kept), np.int64, len(kept))
         start, width, flat = self.start[number], self.width[number], self.flat
         self.clear()
@@ -75,6 +78,7 @@ class Encoder:
         self.flat = flat[slices(start, width)]
         self.used = len(self.flat)
         self.start[: len(kept)], self.width[: len(kept)] = np.cumsum(width) - width, width
+        self.seen[: len(kept)] = seen[number] // 2
         self.known = dict(zip(kept, range(len(kept))))
 
     def _learn(self, chunks: list[str]):
