@@ -20,8 +20,8 @@ from hashlib import blake2b
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.hot import BROADCAST_CONF, DEFAULT_BROADCAST_BYTES, shared_folder
-from .common import pieces, runs, shared_folder as new_folder, slices, spread_join, stored, utf8
+from ..plans.hot import BROADCAST_CONF, DEFAULT_BROADCAST_BYTES
+from .common import pieces, runs, shared_folder, slices, spread_join, stored, utf8
 from .tokens import Encoder
 
 #: Bytes of a chunk: at least, at most, and bits that are zero at a cut (2 KB more on average).
@@ -239,51 +239,80 @@ def _encoded(path: str, width: str):
     return run
 
 
-def _lists(values: list[np.ndarray]):
+def _documents(ids: list, values: list[np.ndarray], text):
+    """doc_id and ids as an Arrow batch; with ``text``, a function of lists of ids, their decoded texts as well."""
     import pyarrow as pa
 
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values or [np.zeros(0, np.int32)]).astype(np.int32)))
-
-
-def _opened(width: str):
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values or [np.zeros(0, np.int32)]).astype(np.int32)))
+    more = [] if text is None else [pa.array(text(values), pa.string())]
+    return pa.record_batch([pa.array(ids, pa.int64()), lists, *more], names=["doc_id", "ids", "decoded"][: 2 + len(more)])
+
+
+def _in_turn(documents: Iterator, text) -> Iterator:
+    """Batches of about ``IDS`` ids of (doc_id, ids), one document at least."""
+    Encoder.forget()
+    ids, values, n = [], [], 0
+    for doc_id, own in documents:
+        ids.append(doc_id)
+        values.append(own)
+        n += len(own) + 1
+        if n > IDS:
+            yield _documents(ids, values, text)
+            ids, values, n = [], [], 0
+    if ids:
+        yield _documents(ids, values, text)
+
+
+def _opened(width: str, path: str | None):
     def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        Encoder.forget()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                yield pa.record_batch([part.column("doc_id"), _lists([np.frombuffer(b, width) for b in part.column("ids").to_pylist()])], names=["doc_id", "ids"])
+        rows = (r for batch in batches for r in zip(batch.column("doc_id").to_pylist(), batch.column("ids")))
+        yield from _in_turn(((doc_id, np.frombuffer(raw.as_buffer(), width)) for doc_id, raw in rows), _decoder(path))
 
     return run
 
 
-def _put_together(width: str):
+def _put_together(width: str, path: str | None):
     """Pieces sorted by document and place -> documents."""
-    def run(batches) -> Iterator:
-        import pyarrow as pa
+    def of(rows):
+        ids = []
+        for raw, head, tail in zip(*[rows.column(c).to_pylist() for c in ("ids", "head", "tail")]):
+            own = np.frombuffer(raw, width)
+            ids.append(own[head or 0 : len(own) - (tail or 0)])
+        return rows.column("doc_id")[0].as_py(), np.concatenate(ids)
 
-        Encoder.forget()
-        held: list = []
-        for rows in runs(batches, ["uid"]):
-            ids = []
-            for raw, head, tail in zip(*[rows.column(c).to_pylist() for c in ("ids", "head", "tail")]):
-                own = np.frombuffer(raw, width)
-                ids.append(own[head or 0 : len(own) - (tail or 0)])
-            held.append((rows.column("doc_id")[0].as_py(), np.concatenate(ids)))
-            if sum(len(v) for _, v in held) > IDS:
-                yield pa.record_batch([pa.array([d for d, _ in held], pa.int64()), _lists([v for _, v in held])], names=["doc_id", "ids"])
-                held = []
-        if held:
-            yield pa.record_batch([pa.array([d for d, _ in held], pa.int64()), _lists([v for _, v in held])], names=["doc_id", "ids"])
+    def run(batches) -> Iterator:
+        yield from _in_turn((of(rows) for rows in runs(batches, ["uid"])), _decoder(path))
 
     return run
 
 
-def encode_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", name: str = "chunk-reuse") -> DataFrame:
+def _decoder(path: str | None):
+    """Lists of ids -> texts; None without a vocabulary."""
+    if path is None:
+        return None
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    token = [(library.id_to_token(i) or "").encode() + b" " for i in range(library.get_vocab_size())]
+    flat = np.frombuffer(b"".join(token), np.uint8)
+    wide = np.array([len(t) for t in token], np.int64)
+    start = np.cumsum(wide) - wide
+
+    def text(values: list[np.ndarray]) -> list[str]:
+        ids = np.concatenate(values or [np.zeros(0, np.int64)])
+        body = flat[slices(start[ids], wide[ids])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(wide[ids])])
+        cut = ends[np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)]
+        return [body[a : max(b - 1, a)].decode() for a, b in zip(cut, cut[1:])]
+
+    return text
+
+
+def encode_documents(df: DataFrame, tokenizer: str, decoded: bool = False, key: str = "doc_id", text: str = "text", name: str = "chunk-reuse") -> DataFrame:
     """doc_id, ids (array<int>) of every row: what the library's encode(text, add_special_tokens=False) gives with the
-    word-level vocabulary file ``tokenizer``, in which no id reaches across a space.
+    word-level vocabulary file ``tokenizer``, in which no id reaches across a space.  With ``decoded`` also the text that
+    ``decode_documents`` makes of them, in the same pass.
 
     Null and empty texts have no ids.  Rows that repeat an id, or a whole row, are encoded each; a null id stays null.  A
     text without spaces is encoded as one window.  Other columns don't matter.  Empty table: no rows.
@@ -291,7 +320,7 @@ def encode_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     from tokenizers import Tokenizer
 
     spark = df.sparkSession
-    shared_folder(spark)
+    again, schema = (tokenizer, "doc_id long, ids array<int>, decoded string") if decoded else (None, "doc_id long, ids array<int>")
     width = "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))  # rows with one key would share a list of digests: no harm
@@ -303,10 +332,10 @@ def encode_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     told = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()
     small = 64 * (told[0] + told[1]) <= float(spark.conf.get(BROADCAST_CONF, str(DEFAULT_BROADCAST_BYTES)))  # bytes, counted
     found = rows.join(F.broadcast(lists) if small else lists.hint("merge"), "key", "left").select("doc_id", "text", "digests", "mine")
-    path = new_folder(spark, f"{name}-encoded")
+    path = shared_folder(spark, f"{name}-encoded")
     found.mapInArrow(_encoded(tokenizer, width), ENCODED).write.option("compression", "zstd").parquet(path)
     encoded = spark.read.schema(ENCODED).parquet(path)
-    whole = encoded.filter(F.col("kind") == WHOLE).select("doc_id", "ids").mapInArrow(_opened(width), "doc_id long, ids array<int>")
+    whole = encoded.filter(F.col("kind") == WHOLE).select("doc_id", "ids").mapInArrow(_opened(width, again), schema)
     parts = encoded.filter(F.col("kind") == PIECES).drop("kind")
     holes = parts.filter("digest IS NOT NULL").drop("ids")
     ready = encoded.filter(F.col("kind") == SHARED).groupBy("digest").agg(F.min("ids").alias("ids"))
@@ -314,39 +343,14 @@ def encode_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     filled = spread_join(holes, ready, ["digest"], "count", "inner")
     every = parts.filter("digest IS NULL").unionByName(filled).select("uid", "doc_id", "seq", "ids", "head", "tail")
     every = every.repartition("uid").sortWithinPartitions("uid", "seq")
-    return whole.unionByName(every.mapInArrow(_put_together(width), "doc_id long, ids array<int>"))
-
-
-def _decoded(path: str):
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        size = library.get_vocab_size()
-        token = [(library.id_to_token(i) or "").encode() + b" " for i in range(size)]
-        flat = np.frombuffer(b"".join(token), np.uint8)
-        wide = np.array([len(t) for t in token], np.int64)
-        start = np.cumsum(wide) - wide
-        for batch in batches:
-            lists = batch.column("ids")
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            at = 0
-            while at < batch.num_rows:  # one document at least
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + IDS, "right")) - 1)
-                ids = lists.values.to_numpy()[ends[at] : ends[to]]
-                body = flat[slices(start[ids], wide[ids])].tobytes()
-                total = np.concatenate([[0], np.cumsum(wide[ids])])
-                cut = total[ends[at : to + 1] - ends[at]]
-                texts = [body[a : max(b - 1, a)].decode() for a, b in zip(cut, cut[1:])]
-                part = batch.slice(at, to - at)
-                yield pa.record_batch([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
-                at = to
-
-    return run
+    return whole.unionByName(every.mapInArrow(_put_together(width, again), schema))
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids, decoded: the library's decode(ids, skip_special_tokens=False).  The vocabulary file names no decoder, so
-    this is the strings of the tokens with one space between them; without ids, an empty text."""
-    return encoded.mapInArrow(_decoded(tokenizer), "doc_id long, ids array<int>, decoded string")
+    this is the strings of the tokens with one space between them; null or no ids: an empty text."""
+    def run(batches) -> Iterator:
+        rows = (r for batch in batches for r in zip(batch.column("doc_id").to_pylist(), batch.column("ids")))
+        yield from _in_turn(((doc_id, np.zeros(0, np.int32) if ids.values is None else ids.values.to_numpy()) for doc_id, ids in rows), _decoder(tokenizer))
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -181,9 +181,8 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
 
 @add("op13_chunk_reuse_bpe")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
-    from .chunk_reuse import decode_documents, encode_documents
+    from .chunk_reuse import encode_documents
 
-    path = tokenizer_path("word_bpe_49k.json")
-    out = decode_documents(encode_documents(table(spark, sf, "documents"), path), path)
+    out = encode_documents(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), decoded=True)
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

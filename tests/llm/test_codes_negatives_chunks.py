@@ -253,11 +253,14 @@ def test_ids_and_texts_are_those_of_the_library(spark, texts, broadcast):
     spark.conf.set("spark.hindcast.broadcastBytes", broadcast)
     try:
         got = decode_documents(encode_documents(df, path), path).collect()
+        both = encode_documents(df, path, decoded=True).collect()
     finally:
         spark.conf.unset("spark.hindcast.broadcastBytes")
     want = [(r[0], *w) for r, w in zip(rows, library([r[1] for r in rows]))]
     assert sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in got), key=str) == sorted(want, key=str)
+    assert sorted((tuple(r) for r in both), key=str) == sorted(want, key=str)
     assert decode_documents(encode_documents(df.limit(0), path), path).count() == 0
+    assert [r["decoded"] for r in decode_documents(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), path).collect()] == [""]
 
 
 def test_a_shared_chunk_is_encoded_once(spark, texts, monkeypatch):
