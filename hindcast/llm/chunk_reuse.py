@@ -29,7 +29,7 @@ LEAST, MOST, BITS = 512, 8192, 11
 #: Words on each side of a join that are encoded anew first; two, so that the outer ones can be compared.
 WORDS = 2
 #: Words of which a worker keeps the ids; bytes of text, and ids, that it handles at a time.
-KEPT, PIECE, IDS = 300_000, 2 << 20, 1 << 17
+KEPT, PIECE, IDS = 500_000, 2 << 20, 1 << 17
 
 _GEAR = np.random.default_rng(13).integers(0, 2**32, 256, dtype=np.uint32)
 _WORD = re.compile(r"[^ \n]+")

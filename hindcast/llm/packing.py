@@ -23,7 +23,7 @@ from .tokens import Encoder
 
 RANK_BUCKETS = 4096
 #: Chunks whose ids a worker keeps: fewer than for files, as stages of a pipeline share the executors.
-MOST_CHUNKS = 300_000
+MOST_CHUNKS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -20,6 +20,9 @@ MOST_CHUNKS = 800_000
 #: Longer chunks are encoded but not kept.
 LONGEST_KEPT = 64
 
+#: Chunks of letters that go to the tokenizer as one text.
+TOGETHER = 1000
+
 #: Space runs with the word after them.  Python's \\s holds Rust's \\s and four control characters more; texts with those go whole, and so do texts with
 #: the string of an added token (<|endoftext|>), which is one id there.
 _SPACED = re.compile(r"\s*\S+|\s+")
@@ -41,6 +44,14 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)")
         self.most = most
         self.pattern = {"spaced": _SPACED, "words": _WORDS}[mode]
+        # Chunks of letters only can go to the tokenizer together: each is one part, whose last id carries the mark of a word's
+        # end, or whose first id that of the space before it.
+        size = self.tokenizer.get_vocab_size()
+        token = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.last = mode == "words"
+        self.plain = str.isalpha if self.last else lambda c: c[0] == " " and c[1:].isalpha()
+        self.between = " " if self.last else ""
+        self.edge = np.array([t.endswith("</w>") if self.last else t.startswith("\u0120") for t in token])
         self.clear()
 
     @classmethod
@@ -82,10 +93,25 @@ class Encoder:
         self.known = dict(zip(kept, range(len(kept))))
 
     def _learn(self, chunks: list[str]):
-        n = len(self.known)
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        width = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(width.sum())
+        plain = [c for c in chunks if self.plain(c)]
+        rest = set(chunks).difference(plain)
+        for lo in range(0, len(plain), TOGETHER):
+            some = plain[lo : lo + TOGETHER]
+            ids = np.array(self.tokenizer.encode(self.between.join(some), add_special_tokens=False).ids, np.int32)
+            edge = np.flatnonzero(self.edge[ids])  # the last, or first, id of each part that the library makes of the text
+            if len(edge) == len(some):  # every chunk has one part at least, so each has one
+                ends = edge + 1 if self.last else np.append(edge[1:], len(ids))
+                self._keep(some, ids, np.diff(ends, prepend=0))
+            else:
+                rest.update(some)
+        if rest:
+            alone = list(rest)
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+            width = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            self._keep(alone, np.fromiter(chain.from_iterable(encoded), np.int32, int(width.sum())), width)
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, width: np.ndarray):
+        n, total = len(self.known), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), 1 << 16), np.int32)])
         while n + len(chunks) > len(self.start):
@@ -94,7 +120,7 @@ class Encoder:
             self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
         self.start[n : n + len(chunks)] = self.used + np.cumsum(width) - width
         self.width[n : n + len(chunks)] = width
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), np.int32, total)
+        self.flat[self.used : self.used + total] = ids
         self.used += total
         self.known.update(zip(chunks, range(n, n + len(chunks))))
 
