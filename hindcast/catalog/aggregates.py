@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import PRICE_EDGES, cut
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import exact_quantiles, group_quantiles
 from ..operators import audit, metrics as M
 from ..operators.calendar import collapse
 from ..operators.history import history, past
@@ -103,8 +103,8 @@ def a11(spark, sf):
 @query("a12_group_quantiles", oracle("SELECT flag, " + ", ".join(f"round(quantile_cont(cents, {q}), 4) AS p{n}" for n, q in ((1, .01), (5, .05), (50, .5), (95, .95), (99, .99))) + " FROM entries GROUP BY flag"))
 def a12(spark, sf):
     qs = [(1, .01), (5, .05), (50, .5), (95, .95), (99, .99)]
-    out = entries(spark, sf).groupBy("flag").agg(F.percentile("cents", [q for _, q in qs]).alias("q"))
-    return out.select("flag", *[F.round(F.col("q")[i], 4).alias(f"p{n}") for i, (n, _) in enumerate(qs)])
+    out = group_quantiles(entries(spark, sf), ["flag"], {f"p{n}": (F.col("cents"), q) for n, q in qs})
+    return out.select("flag", *[F.round(f"p{n}", 4).alias(f"p{n}") for n, _ in qs])
 
 
 BANDS = [f"{a}-{b}" for a, b in zip(PRICE_EDGES, PRICE_EDGES[1:])]
@@ -239,11 +239,11 @@ def _sided(spark, sf):
 @query("a28_drift_moments", oracle("""SELECT round(avg(cents) FILTER (side = 1) - avg(cents) FILTER (side = 0), 3) AS mean_shift, round(stddev_samp(cents) FILTER (side = 1) - stddev_samp(cents) FILTER (side = 0), 3) AS std_shift,
  round(quantile_cont(cents, 0.05) FILTER (side = 1) - quantile_cont(cents, 0.05) FILTER (side = 0), 3) AS q05, round(quantile_cont(cents, 0.95) FILTER (side = 1) - quantile_cont(cents, 0.95) FILTER (side = 0), 3) AS q95 FROM sided""", SIDE))
 def a28(spark, sf):
-    a, b = (F.when(F.col("side") == s, F.col("cents")) for s in (0, 1))
-    q = lambda x, p: F.percentile(x, F.lit(p))
-    return _sided(spark, sf).agg(
-        F.round(F.avg(b) - F.avg(a), 3).alias("mean_shift"), F.round(F.stddev_samp(b) - F.stddev_samp(a), 3).alias("std_shift"),
-        F.round(q(b, 0.05) - q(a, 0.05), 3).alias("q05"), F.round(q(b, 0.95) - q(a, 0.95), 3).alias("q95"))
+    df = _sided(spark, sf)
+    tails = group_quantiles(df, ["side"], {"q05": (F.col("cents"), 0.05), "q95": (F.col("cents"), 0.95)})
+    both = df.groupBy("side").agg(F.avg("cents").alias("mean"), F.stddev_samp("cents").alias("std")).join(tails, "side")
+    shift = lambda c: F.max(F.when(F.col("side") == 1, F.col(c))) - F.max(F.when(F.col("side") == 0, F.col(c)))
+    return both.agg(*[F.round(shift(c), 3).alias(n) for c, n in (("mean", "mean_shift"), ("std", "std_shift"), ("q05", "q05"), ("q95", "q95"))])
 
 
 @query("a28_ks_statistic", oracle("""SELECT round(max(abs(ca / na - cb / nb)), 6) AS ks FROM (SELECT sum(a) OVER (ORDER BY cents) AS ca, sum(b) OVER (ORDER BY cents) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM (

@@ -30,9 +30,9 @@ SWEEP = "grid AS (SELECT t / 20.0 AS t, s / 100.0 AS s FROM range(0, 10) a(t), (
 
 @query("a34_d25_parameter_sweep", msql("SELECT t, s, count(*) AS bets, CAST(sum(stake) AS BIGINT) AS stake, round(sum(payout * s), 4) AS payout, round(sum(payout * s) / sum(stake), 6) AS roi FROM bets, grid WHERE p_model * s >= t GROUP BY t, s", BETS, SWEEP))
 def a34(spark, sf):
-    """Thresholds and price slippage as a parameter table: one job for all of them."""
-    grid = spark.range(0, 10).select((F.col("id") / 20.0).alias("t")).join(F.broadcast(spark.createDataFrame([(1.0,), (0.95,), (0.9,)], "s double")))
-    out = decide.sweep(_bets(spark, sf), grid, F.col("p_model") * F.col("s") >= F.col("t"), F.col("stake"), F.col("payout") * F.col("s"), ["t", "s"])
+    """Thresholds and price slippage in one aggregation: no row meets a setting."""
+    axes = {"t": (F.col("p_model") * F.col("s"), [i / 20.0 for i in range(10)])}
+    out = decide.sweep(_bets(spark, sf), axes, F.col("stake"), F.col("payout") * F.col("s"), variants={"s": [1.0, 0.95, 0.9]})
     return out.select("t", "s", "bets", "stake", F.round("payout", 4).alias("payout"), F.round("roi", 6).alias("roi"))
 
 
@@ -40,8 +40,8 @@ def a34(spark, sf):
  SELECT t, year(day) AS y, count(*) AS n, sum(payout) AS p, sum(stake) AS s FROM bets, (SELECT t / 20.0 AS t FROM range(0, 12) a(t)) WHERE p_model >= t GROUP BY ALL) GROUP BY t) WHERE least >= 50 ORDER BY roi DESC, t LIMIT 3""", BETS))
 def a35(spark, sf):
     """Configurations whose every year has enough bets, ranked by return."""
-    grid = spark.range(0, 12).select((F.col("id") / 20.0).alias("t"))
-    per = decide.sweep(_bets(spark, sf).withColumn("yr", F.year("day")), grid, F.col("p_model") >= F.col("t"), F.col("stake"), F.col("payout"), ["t", "yr"])
+    axes = {"t": (F.col("p_model"), [i / 20.0 for i in range(12)])}
+    per = decide.sweep(_bets(spark, sf).withColumn("yr", F.year("day")), axes, F.col("stake"), F.col("payout"), by=["yr"])
     out = per.groupBy("t").agg(F.sum("bets").alias("bets"), (F.sum("payout") / F.sum("stake")).alias("roi"), F.min("roi").alias("worst"), F.min("bets").alias("least"))
     return out.filter("least >= 50").orderBy(F.col("roi").desc(), "t").limit(3).select("t", "bets", F.round("roi", 6).alias("roi"), F.round("worst", 6).alias("worst"))
 
@@ -66,9 +66,14 @@ def a36f(spark, sf):
     return M.proper_scores(df.withColumn("q", C.apply_temperature("p_model", t)), "q", "y").withColumn("temperature", F.lit(round(t, 4)))
 
 
-@query("a37_isotonic")
+@query("a37_isotonic", msql(f"""SELECT {K}, round(v, 6) AS calibrated FROM (SELECT *, round(p_model, 3) AS s FROM model) JOIN (
+ SELECT i, max(least_mean) AS v FROM (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least_mean FROM (
+   SELECT x.n AS a, z.n AS b, (z.upto - x.upto + x.t) / (z.w - x.w + x.c) AS mean FROM points x JOIN points z ON x.n <= z.n)) GROUP BY i) ON i = (SELECT n FROM points WHERE points.s = round(p_model, 3))""",
+ """points AS MATERIALIZED (SELECT s, row_number() OVER (ORDER BY s) AS n, t, c, CAST(sum(t) OVER (ORDER BY s) AS DOUBLE) AS upto, CAST(sum(c) OVER (ORDER BY s) AS DOUBLE) AS w FROM (
+ SELECT round(p_model, 3) AS s, CAST(sum(y) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS c FROM model GROUP BY 1))"""))
 def a37(spark, sf):
-    df = model(spark, sf).select(*KEY, "p_model", "y")
+    """Scores to three digits, so that the definition (the greatest of the least means around a score) can be computed too."""
+    df = model(spark, sf).select(*KEY, F.round("p_model", 3).alias("p_model"), "y")
     return _pick(C.apply_isotonic(C.fit_isotonic(df, "p_model", "y"), df, "p_model"), calibrated=F.round("calibrated", 6))
 
 

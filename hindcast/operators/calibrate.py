@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import logit, sigmoid
-from .metrics import clipped, log_loss_of
+from .isotonic import isotonic_blocks, isotonic_value
+from .metrics import log_loss_of
 from .relative import normalise
 
 
@@ -76,15 +76,14 @@ def apply_beta(p: str, a: float, b: float, c: float, eps: float = 1e-6) -> Colum
     return F.greatest(F.lit(eps), F.least(F.lit(1 - eps), out))
 
 
-def fit_isotonic(df: DataFrame, p: str, y: str):
-    """Monotone map; equal scores are pooled first, which is what bounds the fit's input."""
-    pooled = df.groupBy(F.col(p).cast("double").alias("__p")).agg(F.avg(F.col(y).cast("double")).alias("__y"), F.count(F.lit(1)).cast("double").alias("__w"))
-    return IsotonicRegression(featuresCol="__p", labelCol="__y", weightCol="__w", predictionCol="calibrated").fit(pooled)
+def fit_isotonic(df: DataFrame, p: str, y: str) -> DataFrame:
+    """Monotone map of scores to rates: a table of blocks."""
+    return isotonic_blocks(df, p, y)
 
 
-def apply_isotonic(model, df: DataFrame, p: str) -> DataFrame:
-    out = model.transform(df.withColumn("__p", F.col(p).cast("double")))
-    return out.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated")))).drop("__p")
+def apply_isotonic(model: DataFrame, df: DataFrame, p: str) -> DataFrame:
+    out = isotonic_value(df, model, p, "calibrated")
+    return out.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))))
 
 
 def blend(a, b, weight) -> Column:

@@ -174,17 +174,32 @@ def equity(df: DataFrame, keys, order, profit: str, bankroll: float, stop: bool
     return out.withColumn("drawdown", dd).drop("__b", "__raw", "__low", "__high")
 
 
-def sweep(df: DataFrame, params: DataFrame, accept: Column, stake: Column, payout: Column, by: list[str]) -> DataFrame:
-    """All parameter rows against all data rows that satisfy ``accept``, one aggregation.
+def _at_most(score: Column):
+    return lambda threshold: threshold <= score
 
-    The parameter table is small by construction (it is written by the caller)
-    and is broadcast; partial sums leave each task as one row per parameter.
+
+def sweep(df: DataFrame, axes: dict[str, tuple[Column, list[float]]], stake: Column, payout: Column, variants: dict[str, list] | None = None, by: list[str] = ()) -> DataFrame:
+    """Every setting against all rows that pass it, as dominance sums.
+
+    ``axes``: name -> (score, thresholds); a row passes a setting where no score is below its threshold.  ``variants``:
+    further values that scores, stake and payout may use as columns.  A row counts once for each variant, at the last
+    threshold that it passes on every axis; what a setting holds is the sum of the cells at or beyond it.  Cells are at
+    most one for each setting and ``by``, so nothing but the first aggregation sees the rows.
     """
-    both = df.join(F.broadcast(params), accept, "inner")
-    s, p = F.sum(stake), F.sum(payout)
-    return both.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("bets"), s.alias("stake"), p.alias("payout"), (p / F.nullif(s, F.lit(0))).alias("roi")
-    )
+    variants, names = variants or {}, list(axes)
+    for name, values in variants.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    levels = {name: sorted(set(values)) for name, (_, values) in axes.items()}
+    for name, (score, _) in axes.items():
+        passed = F.size(F.filter(F.array(*[F.lit(float(t)) for t in levels[name]]), _at_most(score)))
+        df = df.withColumn(f"__{name}", passed)
+    keys = [*variants, *by]
+    cells = df.filter(" AND ".join(f"__{name} > 0" for name in names)).groupBy(*keys, *[f"__{name}" for name in names])
+    cells = cells.agg(F.count(F.lit(1)).alias("bets"), F.sum(stake).alias("stake"), F.sum(payout).alias("payout"))
+    for name in names:  # the settings that the rows of a cell pass
+        cells = cells.withColumn(name, F.explode(F.slice(F.array(*[F.lit(float(t)) for t in levels[name]]), F.lit(1), F.col(f"__{name}"))))
+    s, p = F.sum("stake"), F.sum("payout")
+    return cells.groupBy(*names, *keys).agg(F.sum("bets").alias("bets"), s.alias("stake"), p.alias("payout"), (p / F.nullif(s, F.lit(0))).alias("roi"))
 
 
 def shuffled_within(df: DataFrame, group: str, key: list[str], col: str, seed: Column) -> DataFrame:

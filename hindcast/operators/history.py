@@ -49,9 +49,9 @@ def seq() -> Spec:
     return Spec("seq")
 
 
-def past(agg: str, col="*", min_n: int = 1, default=None) -> Spec:
-    """sum | count | mean | min | max | std | first | last (non-NULL) over all earlier rows."""
-    return Spec("past", agg, F.lit(1) if isinstance(col, str) and col == "*" else _c(col), min_n=min_n, default=default)
+def past(agg: str, col="*", min_n: int = 1, default=None, q: float = 0.5) -> Spec:
+    """sum | count | mean | min | max | std | first | last (non-NULL) | quantile over all earlier rows."""
+    return Spec("past", agg, F.lit(1) if isinstance(col, str) and col == "*" else _c(col), min_n=min_n, default=default, q=q)
 
 
 def last_k(agg: str, col, k: int, min_n: int = 1, default=None, q: float = 0.5) -> Spec:
@@ -166,10 +166,17 @@ def history(df: DataFrame, keys, order, **specs: Spec) -> DataFrame:
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [_c(o) for o in ([order] if isinstance(order, (str, Column)) else order)]
     weighted = {n: s for n, s in specs.items() if s.kind.startswith("ewm")}
-    plain = {n: s for n, s in specs.items() if n not in weighted}
+    ranked = {n: s for n, s in specs.items() if s.kind == "past" and s.agg == "quantile"}
+    plain = {n: s for n, s in specs.items() if n not in weighted and n not in ranked}
     hot = hot_keys(df, keys)
     if plain:
         df = _apply(df, keys, order, plain, hot)
+    if ranked:
+        from .quantiles import expanding_quantile  # which stands on this module
+
+        for n, s in ranked.items():
+            df = expanding_quantile(df, keys, order, s.col, s.q, n, s.min_n)
+            df = df if s.default is None else df.withColumn(n, F.coalesce(F.col(n), F.lit(s.default)))
     return _add_ewm(df, keys, order, weighted, hot) if weighted else df
 
 

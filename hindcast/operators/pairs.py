@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.hot import hot_keys, salted_self_pairs
+from ..plans.hot import hot_keys, hot_row_limit, salted_self_pairs, tag_hot
 from .history import history, past
 from .relative import totals
 
@@ -30,15 +30,41 @@ def pairs(df: DataFrame, group, key: str, columns: list[str], how: str = "ordere
     return out.drop("__salt")
 
 
+#: Rows of a group, or of a block of one, that a task combines three at a time.
+TRIPLE_ROWS = 200
+
+
 def triples(df: DataFrame, group, key: str, columns: list[str], how: str = "ordered") -> DataFrame:
-    """Triples of distinct rows, ``ordered`` or ``unordered`` (i<j<k)."""
+    """Triples of distinct rows, ``ordered`` or ``unordered`` (i<j<k).
+
+    A three-way block join: a group of more than TRIPLE_ROWS rows is cut into b blocks by a hash, and every triple of
+    blocks is a key of its own, to which each side sends the rows of one block.  All three sides are dealt once, on one
+    key; what the first join makes stays where it is.
+    """
     group = [group] if isinstance(group, str) else list(group)
     cols = [key, *[c for c in columns if c != key]]
-    two = pairs(df, group, key, columns, how)
     base = df.select(*group, *cols)
-    third = _side(base, group, cols, "3")
+    hot = hot_keys(base, group, min(hot_row_limit(df), TRIPLE_ROWS))
+    if hot is None:
+        sides, on = [base] * 3, group
+    else:
+        blocks = hot.table.select(*group, F.pow(F.lit(2), F.col("__class") + 1).cast("int").alias("__b"))
+        cold, heavy = tag_hot(base, hot, blocks)
+        own = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.col("__b"))
+        every = F.sequence(F.lit(0).cast("long"), F.col("__b").cast("long") - 1)
+        none = F.lit(0).cast("long")
+        on, sides = [*group, "__x", "__y", "__z"], []
+        for mine in ("__x", "__y", "__z"):
+            spread = heavy.withColumn("__own", own.cast("long"))
+            for place in ("__x", "__y", "__z"):
+                spread = spread.withColumn(place, F.col("__own") if place == mine else F.explode(every))
+            plain = cold.select("*", *[none.alias(place) for place in ("__x", "__y", "__z")])
+            sides.append(plain.unionByName(spread.select(*plain.columns)))
+    one, two, three = (_side(side, on, cols, str(i)) for i, side in enumerate(sides, 1))
     a, b, c = (F.col(f"{key}_{i}") for i in (1, 2, 3))
-    return two.join(third, group).filter((c != a) & (c != b) if how == "ordered" else b < c)
+    out = one.join(two, on).filter(a != b if how == "ordered" else a < b)
+    out = out.join(three, on).filter((c != a) & (c != b) if how == "ordered" else b < c)
+    return out.drop("__x", "__y", "__z")
 
 
 # --- finish probabilities from win probabilities ------------------------------
@@ -112,19 +138,21 @@ def both_in_top3(df: DataFrame, group, key: str, p: str) -> DataFrame:
 def head_to_head(df: DataFrame, group: str, day: str, entity: str, outcome: str) -> DataFrame:
     """Per row: earlier meetings with the other entities of its group and the share won.
 
-    Meetings become edges (entity, rival, group, day, meetings, wins), collapsed
-    per (entity, rival, group); the history of each edge key is summed back.
-    Rows without an outcome take no part in past meetings.
+    A meeting of two entities is one row (not one for each side), kept where the group is dealt to; the history of the
+    pair gives meetings and wins of both.  Entries are dealt by group once, meetings by pair once, and what they add up
+    to by group and entity once; the rows themselves follow by the same key.  Rows without an outcome take no part in
+    past meetings.
     """
     entries = df.groupBy(group, day, entity).agg(F.min(outcome).alias("__o"))
-    edges = pairs(entries, [group, day], entity, ["__o"], "ordered")
-    met = F.col("__o_1").isNotNull() & F.col("__o_2").isNotNull()
-    edges = edges.select(
-        group, day, F.col(f"{entity}_1").alias(entity), F.col(f"{entity}_2").alias("__rival"),
-        met.cast("int").alias("__m"), F.coalesce((met & (F.col("__o_1") < F.col("__o_2"))).cast("int"), F.lit(0)).alias("__w"),
-    )
-    edges = history(edges, [entity, "__rival"], [day, group], __pm=past("sum", "__m", default=0), __pw=past("sum", "__w", default=0))
-    side = edges.groupBy(group, entity).agg(F.sum("__pm").alias("vs_matches"), F.sum("__pw").alias("__wins"))
+    met = pairs(entries, [group, day], entity, ["__o"], "unordered")
+    a, b = F.col("__o_1"), F.col("__o_2")
+    known = a.isNotNull() & b.isNotNull()
+    won = lambda c: F.coalesce((known & c).cast("int"), F.lit(0))
+    met = met.select(group, day, F.col(f"{entity}_1").alias("__a"), F.col(f"{entity}_2").alias("__b"), known.cast("int").alias("__m"), won(a < b).alias("__w"), won(b < a).alias("__l"))
+    met = history(met, ["__a", "__b"], [day, group], __pm=past("sum", "__m", default=0), __pw=past("sum", "__w", default=0), __pl=past("sum", "__l", default=0))
+    ends = F.array(F.struct(F.col("__a").alias("e"), F.col("__pw").alias("w")), F.struct(F.col("__b").alias("e"), F.col("__pl").alias("w")))
+    side = met.select(group, F.explode(ends).alias("x"), "__pm").filter("__pm > 0").select(group, F.col("x.e").alias(entity), "__pm", F.col("x.w").alias("__pw"))
+    side = side.groupBy(group, entity).agg(F.sum("__pm").alias("vs_matches"), F.sum("__pw").alias("__wins"))
     out = df.join(side, [group, entity], "left")
     rate = F.coalesce(F.try_divide(F.col("__wins"), F.col("vs_matches")), F.lit(0.0))
     return out.withColumn("vs_win_rate", rate).withColumn("vs_matches", F.coalesce("vs_matches", F.lit(0))).drop("__wins")
