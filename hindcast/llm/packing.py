@@ -23,7 +23,7 @@ from .tokens import Encoder
 
 RANK_BUCKETS = 4096
 #: Chunks whose ids a worker keeps: fewer than for files, as stages of a pipeline share the executors.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -33,7 +33,7 @@ def _cut(tokenizer: str, mode: str, end_id: int, capacity: int):
 
         import pyarrow as pa
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2 << 20):
             ids, width = Encoder.of(tokenizer, mode, MOST_CHUNKS).encode(batch.column("text").to_pylist())
             flat = np.insert(ids, np.cumsum(width), end_id).astype("<u4")
             width = width + 1

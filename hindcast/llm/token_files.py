@@ -29,7 +29,7 @@ def _encode_sorted(tokenizer: str, mode: str, end_id: int):
         from pyspark import TaskContext
 
         file, before = TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2 << 20):
             encoder = Encoder.of(tokenizer, mode)
             ids, width = encoder.encode(batch.column("text").to_pylist())
             n = len(width)
