@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import PRICE_EDGES, cut
@@ -10,6 +12,8 @@ from ..operators import audit, metrics as M
 from ..operators.calendar import collapse
 from ..operators.history import history, past
 from ..operators.relative import rank, softmax, totals
+from ..operators.state import StateTable
+from ..plans.hot import shared_folder
 from ..plans.registry import query
 from ..sources.tables import entries, oracle, table, with_price
 from .histories import K, KEY, top3, win, _pick
@@ -281,6 +285,20 @@ def a33(spark, sf):
     return old.join(new, "entity", "full").select("entity", (z("n0") + z("n1")).alias("n"), (z("w0") + z("w1")).alias("wins"))
 
 
+BATCH = "CAST(greatest(0, least(2, year(day) - 1995)) AS INTEGER)"
+
+
+@query("a33_batches_read_before_write", oracle(f"""SELECT {K}, batch, r.n, r.wins, r.best FROM (SELECT *, {BATCH} AS batch FROM entries) e LEFT JOIN (
+ SELECT b, person_a AS k, count(*) AS n, CAST(count(*) FILTER (outcome = 1) AS BIGINT) AS wins, min(outcome) AS best FROM (SELECT *, {BATCH} AS own FROM entries), (VALUES (1), (2)) t(b) WHERE own < b GROUP BY ALL) r ON r.b = batch AND r.k = person_a"""))
+def a33b(spark, sf):
+    """Three batches of days, the second one twice: each row sees the state before its batch."""
+    df = entries(spark, sf).withColumn("batch", F.greatest(F.lit(0), F.least(F.lit(2), F.year("day") - 1995)))
+    table = StateTable(f"{shared_folder(spark)}/state-{uuid.uuid4().hex}", ["person_a"], {"n": ("count", F.lit(1)), "wins": ("sum", win()), "best": ("min", F.col("outcome"))}, buckets=16)
+    out = [table.apply(df.filter(F.col("batch") == b), f"batch-{b}") for b in (0, 1, 1, 2)]
+    every = out[0].unionByName(out[2]).unionByName(out[3])
+    return every.select(*KEY, "batch", "n", "wins", "best")
+
+
 @query("a41_closing_line_value", oracle("""SELECT count(*) AS n, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.05), 6) AS p5, round(quantile_cont(r, 0.95), 6) AS p95 FROM (SELECT cents / (100.0 * qty * (1 + disc)) AS r FROM entries WHERE outcome <= 2)"""))
 def a41(spark, sf):
     r = F.col("cents") / (100.0 * F.col("qty") * (1 + F.col("disc")))

@@ -183,6 +183,22 @@ def d26(spark, sf):
                    F.round(F.percentile("roi", F.lit(0.05)), 6).alias("roi_p5"), F.round(F.percentile("roi", F.lit(0.95)), 6).alias("roi_p95"))
 
 
+def _place(salt):
+    return f"row_number() OVER (PARTITION BY seed ORDER BY substr(md5(concat_ws(':', seed || ':{salt}', {', '.join(f'CAST({k} AS VARCHAR)' for k in KEY)})), 1, 13), {K})"
+
+
+@query("d26_global_placebo", msql(f"""SELECT seed, round(sum(pay) / (count(*) * 100), 6) AS roi, count(*) AS bets FROM (
+ SELECT seed, pay, row_number() OVER (PARTITION BY seed, group_id ORDER BY p DESC, {', '.join(TIES)}) AS r FROM (
+  SELECT t.*, g.p_model AS p FROM (SELECT *, {_place('to')} AS i FROM fan) t JOIN (SELECT seed, p_model, {_place('from')} AS i FROM fan) g ON t.seed = g.seed AND t.i = g.i)) WHERE r = 1 GROUP BY seed""",
+ "fan AS (SELECT *, CASE WHEN y = 1 THEN qty * 20 ELSE 0 END AS pay FROM model, (SELECT CAST(range AS INTEGER) AS seed FROM range(0, 5)))"))
+def d26g(spark, sf):
+    """Probabilities shuffled over all rows, for five seeds: what the best of each group returns by chance."""
+    df = model(spark, sf).select(*KEY, "p_model", F.when(F.col("y") == 1, F.col("qty") * 20).otherwise(0).alias("pay"))
+    mixed = D.shuffled_globally(df, KEY, "p_model", list(range(5)))
+    best = rank(mixed, ["group_id", "seed"], "r", -F.col("p_model"), "first", TIES).filter("r = 1")
+    return best.groupBy("seed").agg(F.round(F.sum("pay") / (F.count(F.lit(1)) * 100), 6).alias("roi"), F.count(F.lit(1)).alias("bets"))
+
+
 @query("d27_score_blend", msql(f"SELECT {K}, round(0.7 * p_model + 0.3 * p_market, 6) AS score FROM model"))
 def d27(spark, sf):
     df = model(spark, sf)

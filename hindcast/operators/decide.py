@@ -202,6 +202,27 @@ def sweep(df: DataFrame, axes: dict[str, tuple[Column, list[float]]], stake: Col
     return cells.groupBy(*names, *keys).agg(F.sum("bets").alias("bets"), s.alias("stake"), p.alias("payout"), (p / F.nullif(s, F.lit(0))).alias("roi"))
 
 
+def uniform_hash(seed: Column, *key: Column) -> Column:
+    """A whole number below 2^52 that depends on the seed and the key alone (the first digits of an md5, the same in SQL)."""
+    text = F.concat_ws(":", seed.cast("string"), *[F.coalesce(k.cast("string"), F.lit("")) for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def shuffled_globally(df: DataFrame, key: list[str], col: str, seeds: list[int]) -> DataFrame:
+    """``col`` permuted over all rows, once for each seed (column ``seed``): the row that comes i-th by one seeded hash of its
+    key receives the value of the row that comes i-th by another.
+
+    Places are row numbers of a distributed sort, split over tasks like any long history; the two orders meet on seed and
+    place, so no task holds a seed's rows.  ``key`` is a total order of the rows.
+    """
+    rows = df.select("*", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
+    names = [F.col(k) for k in key]
+    order = lambda salt: uniform_hash(F.concat_ws(":", F.col("seed"), F.lit(salt)), *names)
+    takes = history(rows.drop(col).withColumn("__h", order("to")), "seed", ["__h", *key], __i=seq())
+    gives = history(rows.select("seed", *key, col).withColumn("__h", order("from")), "seed", ["__h", *key], __i=seq())
+    return takes.join(gives.select("seed", "__i", col), ["seed", "__i"]).drop("__h", "__i")
+
+
 def shuffled_within(df: DataFrame, group: str, key: list[str], col: str, seed: Column) -> DataFrame:
     """``col`` permuted inside each group: the i-th row by key receives the value of the
     i-th row by a seeded hash.  ``group`` may include the seed to run many at once."""
