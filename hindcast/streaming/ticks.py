@@ -1,16 +1,18 @@
-"""Tick streams: ingest, latest values, deadline snapshots, once-only decisions, running state."""
+"""Tick streams: ingest, latest values, deadline snapshots, repeats.  Keyed state is in ``keyed``."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.hot import shared_folder
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 TICK_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -27,21 +29,35 @@ def tick_stream(spark: SparkSession, path: str, glob: str = "*.parquet", schema:
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB; the session's setting comes back."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run the stream over what is available and return what it wrote.
 
     Every micro-batch is written as files of its own (tagged ``batch``); a batch
     that is retried after a failure overwrites its own folder, so the sink is
-    idempotent.
+    idempotent.  State is kept in RocksDB, on disk and in changelogs, so that a task's
+    memory doesn't bound the number of keys and state may have timers.
     """
     spark = stream.sparkSession
-    out, chk = work_path(spark, name), work_path(spark, f"{name}-chk")
+    out, chk = work_path(spark, name), checkpoint or work_path(spark, f"{name}-chk")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         df = each(batch, batch_id) if each else batch
         df.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", chk).trigger(availableNow=True).foreachBatch(write).start()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", chk).trigger(availableNow=True).foreachBatch(write)
+    with rocksdb(spark):
+        q = writer.start()
     q.awaitTermination()
     schema = stream.schema if each is None else None
     reader = spark.read.option("basePath", out)
@@ -77,108 +93,3 @@ def deadline_snapshots(ticks: DataFrame, groups: DataFrame, group: str, start: s
 def distinct_ticks(ticks: DataFrame, keys: list[str], within: str = "1 day") -> DataFrame:
     """Repeated ticks dropped as long as the repeat arrives inside the watermark."""
     return ticks.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
-
-
-# --- keyed state ------------------------------------------------------------------
-
-
-def once_before_start(ticks: DataFrame, groups: DataFrame, group: str, start: str, open_min: int = 15, close_min: int = 5, forget: str = "1 day") -> DataFrame:
-    """Emit a group exactly once: at its first tick inside [start - open_min, start - close_min],
-    or, if there is none, when event time passes start - close_min, with the newest tick
-    known from before.  ``n_seen`` counts the ticks up to the one it was decided with.
-
-    State per group: newest (ts, event_id, value) and a done flag.  A decided group stays as a
-    tombstone until ``forget`` after its start; ticks that come even later start no new state.
-    """
-    schema = f"{group} string, decided_at timestamp, event_id long, value double, n_seen long"
-    state = "done boolean, ts long, event_id long, value double, n long, close long"
-    minute, keep = 60_000_000, int(pd.Timedelta(forget).total_seconds() * 1000)
-
-    def micros(times: pd.Series):
-        return times.astype("datetime64[us]").astype("int64").to_numpy()
-
-    def update(key, batches: Iterator[pd.DataFrame], st: GroupState):
-        now = st.getCurrentWatermarkMs()
-        found = None
-        if st.hasTimedOut:
-            done, ts, eid, val, n, close = st.get
-            if done:
-                st.remove()
-            else:
-                found = (close, eid, val, n) if n > 0 else None
-                st.update((True, ts, eid, val, n, close))
-                st.setTimeoutTimestamp(max(close // 1000 + keep, now + 1))
-        else:
-            pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            us, begin = micros(pdf["ts"]), int(micros(pdf[start])[0])
-            close, opened = begin - close_min * minute, begin - open_min * minute
-            if not st.exists and close // 1000 + keep <= now:
-                return  # long over
-            done, ts, eid, val, n, _ = st.get if st.exists else (False, -1, -1, 0.0, 0, close)
-            if not done:
-                last = int((us <= close).sum())  # ticks of this batch that count
-                inside = us[:last] >= opened
-                use = int(inside.argmax()) + 1 if inside.any() else last
-                if use:
-                    row = pdf.iloc[use - 1]
-                    if (int(us[use - 1]), int(row["event_id"])) > (ts, eid):
-                        ts, eid, val = int(us[use - 1]), int(row["event_id"]), float(row["value"])
-                    n += use
-                if inside.any():
-                    found, done = (ts, eid, val, n), True
-                elif close // 1000 <= now:
-                    found, done = ((close, eid, val, n) if n > 0 else None), True
-            st.update((done, ts, eid, val, n, close))
-            st.setTimeoutTimestamp(max((close // 1000 + keep) if done else close // 1000 + 1, now + 1))
-        if found:
-            at, eid, val, n = found
-            yield pd.DataFrame([(key[0], pd.Timestamp(at, unit="us"), eid, val, n)], columns=[group, "decided_at", "event_id", "value", "n_seen"])
-
-    joined = ticks.withWatermark("ts", "10 minutes").join(groups, group).select(group, start, "ts", "event_id", "value")
-    return joined.groupBy(group).applyInPandasWithState(update, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def day_budget(decisions: DataFrame, day: str, amount: str, order: list[str], cap: int) -> DataFrame:
-    """Spend a day's budget in order of arrival; a new day starts from zero.
-
-    One state per day by nature; only decisions (a few rows per group) get here.
-    """
-    schema = f"{day} string, event_id long, amount long, bought int, spent_before long"
-
-    def update(key, batches: Iterator[pd.DataFrame], st: GroupState):
-        spent = st.get[0] if st.exists else 0
-        parts = list(batches)
-        if not parts:
-            return
-        pdf = pd.concat(parts).sort_values(order)
-        out = []
-        for r in pdf.itertuples(index=False):
-            cost = int(getattr(r, amount))
-            ok = spent + cost <= cap
-            out.append((key[0], int(r.event_id), cost, int(ok), spent))
-            spent += cost if ok else 0
-        st.update((spent,))
-        yield pd.DataFrame(out, columns=[day, "event_id", "amount", "bought", "spent_before"])
-
-    return decisions.groupBy(day).applyInPandasWithState(update, schema, "spent long", "append", GroupStateTimeout.NoTimeout)
-
-
-def running_features(events: DataFrame, key: str, win: str, top: str) -> DataFrame:
-    """Read-before-write aggregates: every row gets the counts of its key's earlier rows,
-    then joins them.  State per key: three counters."""
-    schema = f"{key} long, event_id long, n_before long, wins_before long, top_before long"
-
-    def update(k, batches: Iterator[pd.DataFrame], st: GroupState):
-        n, w, t = st.get if st.exists else (0, 0, 0)
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        wins, tops = pdf[win].to_numpy().cumsum(), pdf[top].to_numpy().cumsum()
-        size = len(pdf)
-        yield pd.DataFrame({
-            key: k[0], "event_id": pdf["event_id"].to_numpy(), "n_before": n + pd.RangeIndex(size).to_numpy(),
-            "wins_before": w + wins - pdf[win].to_numpy(), "top_before": t + tops - pdf[top].to_numpy(),
-        })
-        st.update((n + size, w + int(wins[-1]), t + int(tops[-1])))
-
-    return events.select(key, "event_id", "ts", win, top).groupBy(key).applyInPandasWithState(
-        update, schema, "n long, w long, t long", "append", GroupStateTimeout.NoTimeout
-    )

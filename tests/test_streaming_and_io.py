@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hindcast.sources.io import read_parts, read_snapshots, write_snapshots
-from hindcast.streaming import ticks as T
+from hindcast.streaming import keyed as K, ticks as T
 
 
 def _files(spark, tmp_path):
@@ -24,7 +24,7 @@ def test_micro_batches(spark, tmp_path):
     want = df.groupBy("user_id").agg(F.max_by("value", "event_id"))
     assert sorted((r[0], r["value"]) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
 
-    running = T.running_features(stream().withColumn("win", (F.col("value") > 15).cast("int")).withColumn("top", F.lit(1)), "user_id", "win", "top")
+    running = K.running_features(stream().withColumn("win", (F.col("value") > 15).cast("int")).withColumn("top", F.lit(1)), "user_id", "win", "top")
     out = T.run_to_table(running, "t2").orderBy("user_id", "event_id").collect()
     seen = {}
     values = {r["event_id"]: r["value"] for r in df.collect()}
@@ -38,7 +38,7 @@ def test_each_group_once(spark, tmp_path):
     df, path = _files(spark, tmp_path)
     groups = spark.createDataFrame([("0", "2024-01-01 05:00:00"), ("1", "2024-01-01 03:00:00"), ("2", "2030-01-01 00:00:00")], "gid string, start string").withColumn("start", F.to_timestamp("start"))
     s = T.tick_stream(spark, path, per_trigger=1).withColumn("gid", F.col("user_id").cast("string"))
-    out = T.run_to_table(T.once_before_start(s, groups, "gid", "start"), "t3").collect()
+    out = T.run_to_table(K.once_before_start(s, groups, "gid", "start"), "t3").collect()
     assert sorted(r["gid"] for r in out) == ["0", "1"]
     last = {g: max(i for i in range(250) if i % 4 == int(g) and i * 3 <= m) for g, m in (("0", 295), ("1", 175))}
     assert {r["gid"]: r["event_id"] for r in out} == last
