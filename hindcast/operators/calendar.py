@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.hot import hot_keys
-from .history import history
+from .history import history, own_keys
 
 FIRST = Window.unboundedPreceding
 
@@ -47,7 +47,7 @@ def trailing_days(df: DataFrame, keys, day: str, measures: dict[str, Column], da
     however dense the window is.  Other measures, and keys too big for a task, are
     collapsed per day first.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
+    keys = own_keys(df, keys)
     tags = {d: "all" if d is None else f"{d}d" for d in days}
     exact = all(d is None for d in days) or _whole_numbers(df, measures)
     if not exact or hot_keys(df, keys) is not None:
@@ -77,18 +77,20 @@ def global_before(df: DataFrame, day: str, measures: dict[str, Column]) -> DataF
 
     The ordered part is one row per calendar day and is broadcast back.
     """
-    daily = collapse(df, [day], measures)
-    w = Window.partitionBy(F.lit(0)).orderBy(day).rowsBetween(FIRST, -1)
-    side = daily.select(day, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"{n}_before") for n in measures])
-    return df.join(F.broadcast(side), day, "left")
+    copies = own_keys(df, [])
+    daily = collapse(df, [day, *copies], measures)
+    w = Window.partitionBy(F.lit(0), *copies).orderBy(day).rowsBetween(FIRST, -1)
+    side = daily.select(day, *copies, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"{n}_before") for n in measures])
+    return df.join(F.broadcast(side), [day, *copies], "left")
 
 
 def global_trailing_rows(df: DataFrame, day: str, measures: dict[str, Column], days: int) -> DataFrame:
     """Rolling global totals over the ``days`` calendar days before a row."""
-    daily = collapse(df, [day], measures)
-    w = Window.partitionBy(F.lit(0)).orderBy(day_number(day)).rangeBetween(-days, -1)
-    side = daily.select(day, *[F.sum(n).over(w).alias(f"{n}_recent") for n in measures])
-    return df.join(F.broadcast(side), day, "left")
+    copies = own_keys(df, [])
+    daily = collapse(df, [day, *copies], measures)
+    w = Window.partitionBy(F.lit(0), *copies).orderBy(day_number(day)).rangeBetween(-days, -1)
+    side = daily.select(day, *copies, *[F.sum(n).over(w).alias(f"{n}_recent") for n in measures])
+    return df.join(F.broadcast(side), [day, *copies], "left")
 
 
 def before_group(df: DataFrame, keys, group: str, day: str, measures: dict[str, Column], grain: str = "group") -> DataFrame:
@@ -97,7 +99,7 @@ def before_group(df: DataFrame, keys, group: str, day: str, measures: dict[str,
     Rows of one group never see each other; with ``grain='day'`` neither do rows
     of one day.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
+    keys = own_keys(df, keys)
     if grain == "day":
         out = trailing_days(df, keys, day, measures, [None])
         return out.withColumnsRenamed({f"{n}_all": f"{n}_before" for n in measures})

@@ -162,8 +162,18 @@ def _previous_block(df: DataFrame, keys: list[str], hot: HotKeys | None) -> Data
     return _null_safe(df, side, [*keys, "__B"])
 
 
-def history(df: DataFrame, keys, order, **specs: Spec) -> DataFrame:
+#: A frame with this column is several frames in one; histories never mix them.
+COPY = "copy_no"
+
+
+def own_keys(df: DataFrame, keys) -> list[str]:
+    """The key columns, and the copy a row belongs to if the frame has copies."""
     keys = [keys] if isinstance(keys, str) else list(keys)
+    return [*keys, COPY] if COPY in df.columns and COPY not in keys else keys
+
+
+def history(df: DataFrame, keys, order, **specs: Spec) -> DataFrame:
+    keys = own_keys(df, keys)
     order = [_c(o) for o in ([order] if isinstance(order, (str, Column)) else order)]
     weighted = {n: s for n, s in specs.items() if s.kind.startswith("ewm")}
     ranked = {n: s for n, s in specs.items() if s.kind == "past" and s.agg == "quantile"}

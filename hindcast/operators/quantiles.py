@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.hot import cut_lineage, hot_keys, hot_row_limit, match
-from .history import history, past, seq
+from .history import history, own_keys, past, seq
 from .ranks import expanding, expanding_hot, numbered_hot
 
 FIRST = Window.unboundedPreceding
@@ -177,7 +177,7 @@ def expanding_quantile(df: DataFrame, keys, order, col, q: float, name: str, min
     Linear-logarithmic in the length of a history: the rows of a key are ranked together, not one frame after the other.
     A key with more rows than a task may hold is split by time and by value.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
+    keys = own_keys(df, keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
     limit = min(hot_row_limit(df), TASK_ROWS)
     hot = hot_keys(df, keys, limit)

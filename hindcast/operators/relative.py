@@ -137,13 +137,14 @@ def kernel_sum(df: DataFrame, group, at: str, weight: str, scale: float, name: s
     out = totals(df, group, __mid=F.avg(at))
     u = (F.col(at) - F.col("__mid")) / F.lit(float(scale))
     out = out.withColumn("__u", u).withColumn("__up", F.col(weight) * F.exp(u)).withColumn("__dn", F.col(weight) * F.exp(-u))
-    cells = out.groupBy(*group, "__u").agg(
-        F.sum("__up").alias("__cu"), F.sum("__dn").alias("__cd"), F.sum(weight).alias("__cw")
+    # Cells meet their rows by the position as given: the mean may differ in its last bit when it is computed again.
+    cells = out.groupBy(*group, F.col(at).alias("__at")).agg(
+        F.sum("__up").alias("__cu"), F.sum("__dn").alias("__cd"), F.sum(weight).alias("__cw"), F.min("__u").alias("__u")
     )
-    cells = history(cells.withColumn("__neg", -F.col("__u")), group, "__u", __left=past("sum", "__cu", default=0.0))
+    cells = history(cells.withColumn("__neg", -F.col("__at")), group, "__at", __left=past("sum", "__cu", default=0.0))
     cells = history(cells, group, "__neg", __right=past("sum", "__cd", default=0.0))
     side = cells.select(
-        *group, "__u", (F.exp(-F.col("__u")) * F.col("__left") + F.exp(F.col("__u")) * F.col("__right") + F.col("__cw")).alias("__all")
+        *group, "__at", (F.exp(-F.col("__u")) * F.col("__left") + F.exp(F.col("__u")) * F.col("__right") + F.col("__cw")).alias("__all")
     )
-    out = attach(out, side, [*group, "__u"])
-    return out.withColumn(name, F.col("__all") - F.col(weight)).drop("__mid", "__u", "__up", "__dn", "__all")
+    out = attach(out.withColumn("__at", F.col(at)), side, [*group, "__at"])
+    return out.withColumn(name, F.col("__all") - F.col(weight)).drop("__at", "__mid", "__u", "__up", "__dn", "__all")

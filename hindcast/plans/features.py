@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
 from ..operators.calendar import before_group, global_before, smoothed, trailing_days, variant_index
-from ..operators.history import ewm, ewm_recursive, history, lag, last_k, past, seq
+from ..operators.history import COPY, ewm, ewm_recursive, history, lag, last_k, own_keys, past, seq
 from ..operators.metrics import entropy
 from ..operators.quantiles import expanding_mode
 from ..operators.relative import kernel_sum, rank, standing, totals
@@ -550,9 +550,9 @@ def form_trend(df):
 def race_conditions(df):
     """Condition variant of the group's day and venue: exact condition, else venue, else 0."""
     level = F.avg("run_time").alias("__v")
-    exact = df.groupBy("group_id", "day_no", "venue", "surface").agg(level)
-    exact = variant_index(exact, ["venue", "surface"], ["day_no", "group_id"], "__v").withColumnsRenamed({c: f"__{c}" for c in ("variant", "variant_robust", "uncertainty", "confidence")}).drop("__v", "day_no")
-    broad = df.groupBy("group_id", "day_no", "venue").agg(level)
+    exact = df.groupBy(*own_keys(df, ["group_id", "day_no", "venue", "surface"])).agg(level)
+    exact = variant_index(exact, ["venue", "surface"], ["day_no", "group_id"], "__v").withColumnsRenamed({c: f"__{c}" for c in ("variant", "variant_robust", "uncertainty", "confidence")}).drop("__v", "day_no", COPY)
+    broad = df.groupBy(*own_keys(df, ["group_id", "day_no", "venue"])).agg(level)
     broad = history(broad, "venue", ["day_no", "group_id"], __r=last_k("mean", "__v", 10), __l=past("mean", "__v")).select("group_id", "venue", (F.col("__r") - F.col("__l")).alias("__broad"))
     out = df.join(exact, ["group_id", "venue", "surface"], "left").join(broad, ["group_id", "venue"], "left")
     out = out.withColumn("track_variant", F.coalesce("__variant", "__broad", F.lit(0.0))).withColumn("track_variant_robust", F.coalesce("__variant_robust", F.lit(0.0)))
@@ -680,7 +680,7 @@ def logistics_features(df: DataFrame, belongs: Column, name: str) -> DataFrame:
 @block
 def pace_features(df):
     """Pace balance of the group in its context, and what each entity has met so far."""
-    g = df.groupBy("group_id", "day_no").agg(F.avg(F.col("first_3f") - F.col("last_3f")).alias("pace_diff"), F.min("venue").alias("__ven"), F.min("surface").alias("__sur"))
+    g = df.groupBy(*own_keys(df, ["group_id", "day_no"])).agg(F.avg(F.col("first_3f") - F.col("last_3f")).alias("pace_diff"), F.min("venue").alias("__ven"), F.min("surface").alias("__sur"))
     g = g.withColumn("pace_diff", F.round("pace_diff", 9)).withColumn("pace_type", F.when(F.col("pace_diff") > 2, 2).when(F.col("pace_diff") < -2, 0).otherwise(1))
     g = history(g, ["__ven", "__sur"], ["day_no", "group_id"], __m=last_k("mean", "pace_diff", 50, min_n=10), __s=last_k("std", "pace_diff", 50, min_n=10))
     z = F.try_divide(F.col("pace_diff") - F.col("__m"), F.nullif(F.col("__s"), F.lit(0.0)))
