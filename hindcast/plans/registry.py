@@ -18,7 +18,7 @@ class Query:
 QUERIES: dict[str, Query] = {}
 MODULES = [
     "scans", "projections", "joins", "aggregates", "calibrations", "histories", "groupwise",
-    "scalars", "decisions", "audits", "blocks", "streams",
+    "scalars", "decisions", "tickets", "audits", "blocks", "streams",
 ]
 
 
