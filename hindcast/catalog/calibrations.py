@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import calibrate as C, decide, metrics as M
 from ..operators.relative import normalise, rank
+from ..plans.hot import shared_folder
 from ..plans.registry import query
+from ..sources.io import read_metrics
 from .aggregates import LL, model, msql
 from .histories import KEY, K, _pick
 
@@ -123,6 +127,39 @@ def a42(spark, sf):
     return out.select("flag", F.round("roi", 6).alias("roi"), F.row_number().over(w).alias("place"))
 
 
+SHAPES = """shapes AS (SELECT flag || status AS experiment, flag, count(*) AS n, CAST(sum(payout) AS BIGINT) AS pay, CAST(sum(stake) AS BIGINT) AS stake FROM bets GROUP BY ALL)"""
+
+
+def metric_files(spark, sf):
+    """A metric file for each experiment, its shape by experiment: flat, nested, or a list of folds without a return."""
+    df = model(spark, sf).groupBy(F.concat("flag", "status").alias("experiment"), "flag").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y") == 1, F.col("qty") * 20).otherwise(0)).alias("pay"))
+    stake, roi = F.col("n") * 100, F.col("pay") / (F.col("n") * 100)
+    flat = F.struct(roi.alias("roi"), F.col("n").alias("n_bets"))
+    nested = F.struct(F.struct(roi.alias("return"), F.col("n").alias("bets")).alias("metrics"), F.lit("done").alias("state"))
+    folds = F.struct(F.array(F.struct(F.col("pay"), stake.alias("stake")), F.struct(F.lit(0).cast("long").alias("pay"), F.lit(None).cast("long").alias("stake"))).alias("folds"), F.lit("failed").alias("state"))
+    text = F.when(F.col("flag") == "N", F.to_json(flat)).when(F.col("flag") == "R", F.to_json(nested)).otherwise(F.to_json(folds))
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    df.select("experiment", text.alias("value")).repartition("experiment").write.partitionBy("experiment").text(path)
+    return read_metrics(spark, path, "experiment")
+
+
+@query("a42_metric_file_leaves", msql("""SELECT experiment, path, round(number, 6) AS number, text FROM (
+ SELECT experiment, unnest(['roi', 'n_bets']) AS path, unnest([pay / stake, n]) AS number, NULL AS text FROM shapes WHERE flag = 'N'
+ UNION ALL SELECT experiment, unnest(['metrics.return', 'metrics.bets', 'state']), unnest([pay / stake, n, NULL]), unnest([NULL, NULL, 'done']) FROM shapes WHERE flag = 'R'
+ UNION ALL SELECT experiment, unnest(['folds[0].pay', 'folds[0].stake', 'folds[1].pay', 'state']), unnest([pay, stake, 0, NULL]), unnest([NULL, NULL, NULL, 'failed']) FROM shapes WHERE flag = 'A')""", BETS, SHAPES))
+def a42l(spark, sf):
+    return metric_files(spark, sf).select("experiment", "path", F.round("number", 6).alias("number"), F.when(F.col("number").isNull(), F.col("text")).alias("text"))
+
+
+@query("a42_metric_file_leaderboard", msql("""SELECT experiment, round(roi, 6) AS roi, bets, row_number() OVER (ORDER BY roi DESC NULLS LAST, experiment) AS place FROM (
+ SELECT experiment, CASE WHEN flag <> 'A' THEN pay / stake END AS roi, CASE WHEN flag <> 'A' THEN CAST(n AS DOUBLE) END AS bets FROM shapes)""", BETS, SHAPES))
+def a42b(spark, sf):
+    """Experiments by return, read from files that name and nest their measures differently."""
+    out = M.leaderboard(metric_files(spark, sf), "experiment", {"roi": ["roi", "metrics.return"], "bets": ["n_bets", "metrics.bets"]}, "roi")
+    return out.withColumn("roi", F.round("roi", 6))
+
+
 @query("x05_batch_scoring", msql(f"SELECT {K}, round(CAST(0.3 * qty + 0.7 * disc AS DOUBLE), 6) AS score FROM model"))
 def x05(spark, sf):
     """Any vectorised predictor over Arrow batches."""

@@ -202,3 +202,12 @@ def target_encoding(df: DataFrame, key: str, y: str, weight: float, folds: Colum
         s, n = F.col("__s"), F.col("__n")
     value = F.coalesce((s + F.lit(float(weight)) * F.col("__g")) / (n + F.lit(float(weight))), F.col("__g"))
     return out.withColumn(f"{key}_te", value).drop("__g", "__s", "__n", "__f", "__os", "__on")
+
+
+def leaderboard(leaves: DataFrame, name: str, measures: dict[str, list[str]], by: str) -> DataFrame:
+    """One row per experiment from the leaves of its metric files: every measure from the first of its paths that has a
+    number, and ``place`` by ``by``, the highest first, experiments without it last, ties by name."""
+    at = lambda path: F.max(F.when(F.col("path") == path, F.col("number")))
+    out = leaves.groupBy(name).agg(*[F.coalesce(*[at(p) for p in paths]).alias(m) for m, paths in measures.items()])
+    w = Window.partitionBy(F.lit(0)).orderBy(F.col(by).desc_nulls_last(), name)  # one row per experiment
+    return out.withColumn("place", F.row_number().over(w))

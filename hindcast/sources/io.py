@@ -57,3 +57,33 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", order: list | N
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     """Idempotent replacement of the key partitions present in ``df``."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def flatten_json(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """JSON documents of unknown and differing shape as one row per leaf: ``path`` ("metrics.roi", "folds[0].stake"),
+    ``number`` (NULL where it is none) and ``text``.
+
+    Documents are read as variants, so no schema is inferred or agreed on; one pass per level of nesting.  Text that is no
+    JSON is one leaf with an empty path and no value, a JSON null a leaf without a value; an empty object or array has none.
+    """
+    level = docs.select(*keys, F.lit("").alias("path"), F.try_parse_json(text).alias("v"))
+    leaves = []
+    while True:
+        kind = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
+        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        leaves.append(level.filter(~inner))
+        nested = level.filter(inner)
+        if nested.isEmpty():
+            break
+        parts = nested.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        dot = F.when(F.col("path") == "", "").otherwise(".")
+        name = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).otherwise(F.concat("path", dot, "key"))
+        level = parts.select(*keys, name.alias("path"), F.col("value").alias("v"))
+    out = reduce(lambda a, b: a.unionByName(b), leaves)
+    return out.select(*keys, "path", F.try_variant_get("v", "$", "double").alias("number"), F.try_variant_get("v", "$", "string").alias("text"))
+
+
+def read_metrics(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The leaves of all metric files below ``path``, one document a file, one folder ``name``=... an experiment."""
+    files = spark.read.text(path, wholetext=True)
+    return flatten_json(files, [name], "value")
