@@ -133,11 +133,14 @@ def day_cap(df: DataFrame, day: str, order: list[str], amount: str, cap: int, ra
         there = F.when(s["race"].eqNullSafe(name), s["there"]).otherwise(zero)
         ok = (s["spent"] + r["__a"] <= cap) & (there + r["__a"] <= limit)
         cost = F.when(ok, r["__a"]).otherwise(zero)
-        return F.struct((s["spent"] + cost).alias("spent"), name.alias("race"), (there + cost).alias("there"), F.array_append(s["ok"], ok.cast("int")).alias("ok"))
+        # Places of what is bought, at most cap / least amount of them: a step does not copy what came before it.
+        bought = F.when(ok, F.array_append(s["ok"], s["i"])).otherwise(s["ok"])
+        return F.struct((s["spent"] + cost).alias("spent"), name.alias("race"), (there + cost).alias("there"), bought.alias("ok"), (s["i"] + 1).alias("i"))
 
-    start = F.struct(zero.alias("spent"), F.lit(None).cast("string").alias("race"), zero.alias("there"), F.array().cast("array<int>").alias("ok"))
+    start = F.struct(zero.alias("spent"), F.lit(None).cast("string").alias("race"), zero.alias("there"), F.array().cast("array<int>").alias("ok"), F.lit(0).alias("i"))
     some = some.withColumn("__ok", F.aggregate("__all", start, step)["ok"])
-    some = some.select(F.explode(F.arrays_zip("__all", "__ok")).alias("z")).select("z.__all.__row.*", F.col("z.__ok").alias("bought"))
+    some = some.select("__ok", F.posexplode("__all").alias("__at", "__z"))
+    some = some.select("__z.__row.*", F.array_contains("__ok", F.col("__at")).cast("int").alias("bought"))
     return out.filter(~F.col("__can")).select(*columns, F.lit(0).alias("bought")).unionByName(some)
 
 

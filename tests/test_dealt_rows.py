@@ -38,3 +38,38 @@ def test_the_number_of_partitions_follows_the_stored_bytes(spark, tmp_path, monk
     # Groups stay where they were dealt to: what is done by group moves nothing again.
     by_group = large.groupBy("group_id").agg(F.max("outcome"))
     assert by_group.rdd.getNumPartitions() == 24
+
+
+def test_a_factor_deals_finer(spark, tmp_path, monkeypatch):
+    spark.range(1000).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(hot, "DEAL_FROM", 100)
+    monkeypatch.setattr(hot, "TASK_BYTES", hot.input_bytes(df) / 2.5)
+    assert [hot.deal(df, "id", factor=f).rdd.getNumPartitions() for f in (1, 4)] == [3, 12]
+
+
+def test_a_fold_takes_slices_of_its_own_size(spark, monkeypatch):
+    from hindcast.operators import sequential as Q
+
+    rows = [(i % 2, i // 4, i // 8, i % 13, i % 4 + 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "pool int, g int, day int, e int, o int")
+    take = lambda: sorted(tuple(r) for r in Q.ratings(df, "pool", "g", "e", "o", "day", ["e"]).collect())
+    whole = take()
+    monkeypatch.setattr(Q, "FOLD_ROWS", 30)
+    assert len(Q._slices(df, "pool", "day")) > 5 and take() == whole
+
+
+def test_a_capped_day_keeps_the_places_of_what_is_bought_only(spark):
+    from hindcast.operators.decide import day_cap
+
+    rows = [(d, g, (300, 400, 1000)[(g * 7 + d) % 3]) for d in range(2) for g in range(600)]
+    got = day_cap(spark.createDataFrame(rows, "day int, g int, amount int"), "day", ["g"], "amount", 4000, "g", 900)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" not in plan and "array_contains" in plan  # not an answer for every row, copied with each step
+    bought = {(r["day"], r["g"]) for r in got.collect() if r["bought"]}
+    for d in range(2):
+        spent = 0
+        for _, g, a in sorted(r for r in rows if r[0] == d):
+            ok = a <= 900 and spent + a <= 4000
+            spent += a if ok else 0
+            assert ((d, g) in bought) == ok
