@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import decide as D, metrics as M, pairs as P
 from ..operators.history import history, past
 from ..operators.relative import rank, totals
+from ..plans.hot import deal
 from ..plans.registry import query
 from ..sources.tables import entries, oracle
 from .aggregates import MODEL, model, msql
@@ -175,7 +176,7 @@ def d26(spark, sf):
     """Probabilities shuffled inside the group for 20 seeds at once; the return should collapse."""
     df = model(spark, sf).select(*KEY, "p_model", "y", F.when(F.col("y") == 1, F.col("qty") * 20).otherwise(0).alias("pay"))
     # Shuffled once by group; the 20 seeds are fanned out behind the exchange.
-    df = df.repartition("group_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("seed"))
+    df = deal(df.repartition("group_id"), "group_id", factor=4).select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("seed"))
     mixed = D.shuffled_within(df, ["group_id", "seed"], ["line", "entity", "person_a"], "p_model", F.col("seed"))
     best = rank(mixed, ["group_id", "seed"], "r", -F.col("p_model"), "first", TIES).filter("r = 1")
     per = best.groupBy("seed").agg((F.sum("pay") / (F.count(F.lit(1)) * 100)).alias("roi"))
