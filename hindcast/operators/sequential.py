@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.hot import cut_lineage, hot_row_limit
 
+#: Rows of a slice: whole rows as Python objects, of which the memory beside the JVM holds far fewer than a task does.
+FOLD_ROWS = 500_000
+
 START, STEP, SPREAD = 1500.0, 32.0, 400.0  # fixed values of the rating formula
 
 
 def _slices(df: DataFrame, key: str, order: str) -> list:
     """Cut points of ``order`` so that no (key, slice) exceeds the row limit, as far as
     equal-depth cuts of the largest key allow; empty when one slice is enough."""
-    limit = hot_row_limit(df)
+    limit = min(hot_row_limit(df), FOLD_ROWS)
     top = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc()).first()
     if top is None or top["n"] <= limit:
         return []
@@ -79,6 +82,7 @@ def ratings(df: DataFrame, pool: str, group: str, entity: str, outcome: str, tim
     if not cuts:
         return df.groupBy(pool).applyInPandas(lambda p: _fold_ratings(p, {}, cols), out_schema)
 
+    df = cut_lineage(df)  # every slice reads it
     spark = df.sparkSession
     state = spark.createDataFrame([], f"`{pool}` {ptype}, `{entity}` {etype}, rating double")
     done = None
@@ -149,6 +153,7 @@ def capped_equity(
     cuts = _slices(ledger, strategy, order[0])
     if not cuts:
         return ledger.groupBy(strategy).applyInPandas(lambda p: run(p, bankroll), schema)
+    ledger = cut_lineage(ledger)  # every slice reads it
     state, done = None, None
     bounds = [None, *cuts, None]
     for lo, hi in zip(bounds, bounds[1:]):
