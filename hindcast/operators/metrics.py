@@ -158,16 +158,20 @@ def bootstrap_ratio(df: DataFrame, row_id: list[str], num: str, den: str, resamp
     """
     b = F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")
     rows = df.select(*by, *row_id, num, den, b)
-    u = (F.pmod(F.xxhash64(*row_id, "b", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (F.xxhash64(*row_id, "b", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
     # Cumulative Poisson(1) probabilities.
     steps, term, cum = [], 0.36787944117144233, 0.0
     for k in range(0, 12):
         cum += term
         steps.append(cum)
         term /= k + 1
-    weight = F.lit(0)
-    for c in steps:
-        weight = weight + (u > c).cast("int")
+    # The hash is taken once a row and resample, below the comparisons; they end at the first probability it stays under.
+    rows = rows.withColumn("__u", u)
+    weight = F.lit(len(steps))
+    for k in reversed(range(len(steps))):
+        weight = F.when(F.col("__u") <= steps[k], F.lit(k)).otherwise(weight)
+    rows = rows.select(*by, "b", num, den, weight.alias("__w"))
+    weight = F.col("__w")
     sums = rows.groupBy(*by, "b").agg(F.sum(weight * F.col(num)).alias("x"), F.sum(weight * F.col(den)).alias("y"))
     r = F.try_divide("x", "y")
     return sums.groupBy(*by).agg(
