@@ -37,8 +37,8 @@ def input_bytes(df: DataFrame) -> float:
 
 #: Stored bytes of a table whose rows one task sorts and joins, and the size from which that is asked for: Spark joins
 #: small shuffle partitions up by their compressed bytes, which says little of what several sorts of a task hold.
-TASK_BYTES = 4 * 1024 * 1024
-DEAL_FROM = 64 * 1024 * 1024
+TASK_BYTES = 2 * 1024 * 1024
+DEAL_FROM = 16 * 1024 * 1024
 
 
 def deal(df: DataFrame, *keys: str, factor: int = 1) -> DataFrame:
