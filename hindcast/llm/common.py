@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..plans.hot import match, shared_folder as named_folder
+from ..plans.hot import freed, match, shared_folder as named_folder
 
 #: What counts as white space between words, in Java, Python and DuckDB patterns alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,7 +26,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table of the shared folder and read again: cuts the lineage,
     survives the loss of executors, and is computed once however often it is read."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
