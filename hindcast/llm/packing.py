@@ -34,7 +34,7 @@ def _cut(tokenizer: str, mode: str, end_id: int, capacity: int):
         import pyarrow as pa
 
         for batch in pieces(batches, "text", 2 << 20):
-            ids, width = Encoder.of(tokenizer, mode, MOST_CHUNKS).encode(batch.column("text").to_pylist())
+            ids, width = Encoder.of(tokenizer, mode, MOST_CHUNKS).encode(batch.column("text"))
             flat = np.insert(ids, np.cumsum(width), end_id).astype("<u4")
             width = width + 1
             first = np.cumsum(width) - width

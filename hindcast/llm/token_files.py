@@ -31,7 +31,7 @@ def _encode_sorted(tokenizer: str, mode: str, end_id: int):
         file, before = TaskContext.get().partitionId(), 0
         for batch in pieces(batches, "text", 2 << 20):
             encoder = Encoder.of(tokenizer, mode)
-            ids, width = encoder.encode(batch.column("text").to_pylist())
+            ids, width = encoder.encode(batch.column("text"))
             n = len(width)
             ends = np.cumsum(width)
             flat = np.insert(ids, ends, end_id).astype(np.int32)  # the end id after each document

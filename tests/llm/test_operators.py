@@ -165,6 +165,20 @@ def test_encoder_gives_the_ids_of_whole_texts(name, mode):
         assert list(g) == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name,mode", [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "words")])
+def test_a_word_is_learned_once_whatever_sign_follows(name, mode):
+    """Chunks end between a letter and an ASCII sign, never where ids may reach across: not after marks, U+0130 or other spaces."""
+    signs = [",", ".", "'s x", ".%%%", "\n\n x", " x", "-y", "\u0301,", "\u0338", "'", "''re", "_a"]
+    words = ["weorld", "né", "İ", "ŁĆ", "жук", "½", "x²", "ª", "中", "\u00a0", "\u2009", "\u3000", "\u1ea1", "…", "é\u0307", "Ⓐ", "\x1c", "7"]
+    texts = [f"a {w}{s}" for w in words for s in signs] + [f"{w}{s}" for w in words for s in signs]
+    e = Encoder(tokenizer_path(name), mode)
+    ids, width = e.encode(texts)
+    for t, g in zip(texts, np.split(ids, np.cumsum(width)[:-1])):
+        assert list(g) == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert {c for c in e.known if c.startswith(" weorld") and c.isascii()} == {" weorld"}
+    assert [x.tolist() for x in Encoder(tokenizer_path(name), mode).encode([None, ""])] == [[], [0, 0]]
+
+
 def test_removed_substrings(docs, none):
     df, rows = docs
     first, want = {}, []
