@@ -6,8 +6,8 @@ one part the sets differ in at most one shingle, so two of its three cells are t
 parts with one cell left out: linked sets share one, and two sets that share one agree on about seven shingles.
 
 * Equal sets are one set from the start (members keep a row each), so copies make no pairs.
-* Signatures travel as packed arrays by bucket, with the 40 bits that their bucket doesn't tell; a chance agreement is
-  only one candidate more.  A bucket returns the distinct lists of sets that share a signature.
+* Signatures travel as packed arrays by bucket, one for each task, with the 40 bits that their bucket doesn't tell; a chance
+  agreement is only one candidate more.  A set's id goes with all its signatures of a bucket, which are counted.  A bucket returns the distinct lists of sets that share a signature.
 * For each list the set with the most entries is the centre; a family is a centre and all sets of its lists.  Every
   candidate pair is inside a family.  First each set is compared exactly with its heaviest centre only.  Lists that lie in
   more than one component after that form families again: their sets outside the centre's component are compared with
@@ -128,16 +128,16 @@ def _packets(width: int, percent: int, buckets: int):
             ids = ids[first]
             sig, own = signatures(hashed[slices(at[first], size[first])], np.concatenate([[0], np.cumsum(size[first])]), percent)
             bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
+            by = np.lexsort((own, bucket))
             sig, own, bucket = sig[by], own[by], bucket[by]
             cut = np.flatnonzero(np.diff(bucket)) + 1
             rows = []
             for a, b in zip([0, *cut], [*cut, len(sig)]):
                 if b > a:
-                    some, index = np.unique(own[a:b], return_inverse=True)
-                    rows.append((int(bucket[a]), sig[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), index.astype(np.uint32).tobytes(), ids[some].tobytes()))
+                    some, count = np.unique(own[a:b], return_counts=True)
+                    rows.append((int(bucket[a]), sig[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), count.astype(np.uint32).tobytes(), ids[some].tobytes()))
             if rows:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "sig", "index", "ids"])
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "sig", "count", "ids"])
 
     return run
 
@@ -148,11 +148,11 @@ def _lists(batches) -> Iterator:
 
     sigs, ids = [], []
     for batch in batches:
-        for bucket, sig, index, known in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sig", "index", "ids"))):
+        for bucket, sig, count, known in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sig", "count", "ids"))):
             wide = np.zeros((len(sig) // 5, 8), np.uint8)
             wide[:, :5] = np.frombuffer(sig, np.uint8).reshape(-1, 5)
             sigs.append(wide.view("<u8").ravel() | np.uint64(bucket << 40))
-            ids.append(np.frombuffer(known, np.int64)[np.frombuffer(index, np.uint32)])
+            ids.append(np.repeat(np.frombuffer(known, np.int64), np.frombuffer(count, np.uint32)))
     if not sigs:
         return
     sig, own = np.concatenate(sigs), np.concatenate(ids)
@@ -342,8 +342,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, key
     sets = members.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("rep_hash"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     sets = stored(sets, f"{name}-sets")
     parts = shuffle_partitions(spark)
-    packets = rows.filter(F.col("text").isNotNull()).mapInArrow(_packets(shingle, percent, 4 * parts), "bucket int, sig binary, index binary, ids binary")
-    lists = stored(packets.repartition(parts, "bucket").mapInArrow(_lists, "list long, set_id long").distinct(), f"{name}-lists")
+    packets = rows.filter(F.col("text").isNotNull()).mapInArrow(_packets(shingle, percent, parts), "bucket int, sig binary, count binary, ids binary")
+    lists = stored(packets.repartitionById(parts, F.col("bucket")).mapInArrow(_lists, "list long, set_id long").distinct(), f"{name}-lists")
     weight = lists.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
     weighed = lists.join(weight, "set_id")
     heaviest = weighed.groupBy("list").agg(F.max(F.struct("n", "set_id")).alias("centre"))

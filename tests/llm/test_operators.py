@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hindcast.llm import pii, tagger
+from hindcast.llm import jaccard_join, pii, tagger
+from hindcast.llm.common import utf8
 from hindcast.llm.components import components
 from hindcast.llm.jaccard_join import bands, jaccard_components, near_duplicates
 from hindcast.llm.mixing import mix, mix_documents
@@ -20,6 +21,7 @@ from hindcast.llm.packing import cut_documents, pack, plan
 from hindcast.llm.perplexity import discounts, entropy, quality, shards, train
 from hindcast.llm.queries import tokenizer_path
 from hindcast.llm.sharding import shard
+from hindcast.llm.shingles import set_ids, shingle_sets
 from hindcast.llm.substrings import repeated_substrings
 from hindcast.llm.suffixes import BlindTrie, anchors, deep_shallow
 from hindcast.llm.token_files import ids_crc32, read_token_files, write_token_files
@@ -179,6 +181,26 @@ def test_a_word_is_learned_once_whatever_sign_follows(name, mode):
     assert [x.tolist() for x in Encoder(tokenizer_path(name), mode).encode([None, ""])] == [[], [0, 0]]
 
 
+def test_packets_name_a_set_once_in_a_bucket():
+    """What travels is five bytes a signature and twelve for each set and bucket; all signatures arrive."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [prose(rng, 300, 4000) for _ in range(20)]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    (out,) = jaccard_join._packets(4, 85, 3)(iter([batch]))
+    hashed, at = shingle_sets(*utf8(batch.column("text")), 4)
+    sig, own = jaccard_join.signatures(hashed, at, 85)
+    got = []
+    for bucket, low, count, ids in zip(*(c.to_pylist() for c in out.columns)):
+        n = np.frombuffer(count, np.uint32)
+        assert len(ids) == 8 * len(n) <= 8 * 20 and 5 * n.sum() == len(low)
+        whose = np.repeat(np.frombuffer(ids, np.int64), n)
+        got += [(bucket, low[5 * k : 5 * k + 5], w) for k, w in enumerate(whose)]
+    names = set_ids(hashed, at)
+    assert sorted(got) == sorted(((int(s) >> 32) * 3 >> 32, int(s).to_bytes(8, "little")[:5], names[o]) for s, o in zip(sig, own))
+
+
 def test_removed_substrings(docs, none):
     df, rows = docs
     first, want = {}, []
