@@ -72,13 +72,14 @@ def _trailing_collapsed(df: DataFrame, keys, day, measures, tags) -> DataFrame:
     return attach(df, daily.select(*keys, day, *sums), [*keys, day])
 
 
-def global_before(df: DataFrame, day: str, measures: dict[str, Column]) -> DataFrame:
+def global_before(df: DataFrame, day: str, measures: dict[str, Column], cells: DataFrame | None = None) -> DataFrame:
     """Add ``<measure>_before``: totals over all rows of earlier days.
 
-    The ordered part is one row per calendar day and is broadcast back.
+    The ordered part is one row per calendar day and is broadcast back.  With ``cells``, partial sums that have the
+    day, the measures are taken from these.
     """
     copies = own_keys(df, [])
-    daily = collapse(df, [day, *copies], measures)
+    daily = collapse(df if cells is None else cells, [day, *copies], measures)
     w = Window.partitionBy(F.lit(0), *copies).orderBy(day).rowsBetween(FIRST, -1)
     side = daily.select(day, *copies, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"{n}_before") for n in measures])
     return df.join(F.broadcast(side), [day, *copies], "left")

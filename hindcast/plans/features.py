@@ -23,6 +23,7 @@ from ..operators.history import COPY, ewm, ewm_recursive, history, lag, last_k,
 from ..operators.metrics import entropy
 from ..operators.quantiles import expanding_mode
 from ..operators.relative import kernel_sum, rank, standing, totals
+from ..operators.slices import day_cells, last_rows, totals_before_group
 
 KEYS = ["group_id", "line", "entity", "person_a"]
 ENTITY_ORDER = ["day_no", "group_id", "line", "person_a"]
@@ -73,6 +74,18 @@ def _rate(hits: str, n: str) -> Column:
     return F.coalesce(F.try_divide(hits, n), F.lit(0.0))
 
 
+def _flag_std(hits: str, n: str) -> Column:
+    """Sample deviation of n flags, from how many are 1."""
+    s, n = F.col(hits).cast("double"), F.col(n)
+    return F.sqrt(F.try_divide(F.greatest(s - F.try_divide(s * s, n), F.lit(0.0)), n - 1))
+
+
+def _flag_quantile(hits: str, n: str, q: float) -> Column:
+    """Interpolated quantile of n flags, from how many are 1."""
+    at, zeros = (F.col(n) - 1) * F.lit(q), F.col(n) - F.col(hits)
+    return F.when(F.floor(at) >= zeros, 1.0).when(F.ceil(at) < zeros, 0.0).otherwise(at - F.floor(at))
+
+
 def _keyed_rates(df: DataFrame, keys: list[str], **names: Column) -> DataFrame:
     """Expanding means of conditions per (entity-like) keys, 0 without history."""
     out = history(df, keys, ENTITY_ORDER if "entity" in keys else ROW_ORDER, **{n: past("mean", c, default=0.0) for n, c in names.items()})
@@ -503,9 +516,14 @@ def bloodline_detail(df):
     df = df.withColumn("__bin", S.step_bin("distance", 400)).withColumn("__heavy", (F.col("going") >= 3).cast("int"))
     m = {"__n": F.lit(1), "__w": win(), "__t": top3()}
     ctx = ["surface", "__bin", "__heavy"]
-    for keys, tag in ((["parent", "parent2"], "nicks"), (["parent2"], "bms"), (["parent", "parent2", *ctx], "nctx"), (["parent", *ctx], "sctx"), (["parent2", *ctx], "bctx")):
-        df = before_group(df, keys, "group_id", "day", m).withColumnsRenamed({f"{k}_before": f"{k}_{tag}" for k in m})
-    df = global_before(df, "day", {"__gn": F.lit(1), "__gw": win(), "__gt": top3()})
+    keysets = {"nicks": ["parent", "parent2"], "nctx": ["parent", "parent2", *ctx], "bms": ["parent2"], "sctx": ["parent", *ctx], "bctx": ["parent2", *ctx]}
+    cells = day_cells(df, ["day", "day_no"], keysets["nctx"], m)
+    if cells is None:
+        for tag, keys in keysets.items():
+            df = before_group(df, keys, "group_id", "day", m).withColumnsRenamed({f"{k}_before": f"{k}_{tag}" for k in m})
+    else:
+        df = totals_before_group(df, cells, keysets, "group_id", "day", m)
+    df = global_before(df, "day", {f"__g{k[2:]}": c if cells is None else F.col(k) for k, c in m.items()}, cells)
     for tag in ("nicks", "bms"):
         df = df.withColumn(f"{tag}_count", F.col(f"__n_{tag}")).withColumn(f"{tag}_win_rate", _rate(f"__w_{tag}", f"__n_{tag}")).withColumn(f"{tag}_top3_rate", _rate(f"__t_{tag}", f"__n_{tag}"))
     df = df.withColumn("nicks_ctx_count", F.col("__n_nctx"))
@@ -513,8 +531,11 @@ def bloodline_detail(df):
         g = F.coalesce(F.try_divide(f"__g{k}_before", "__gn_before"), F.lit(d))
         top = F.col(f"__{k}_nctx") + 3.0 * _rate(f"__{k}_sctx", "__n_sctx") + 2.0 * _rate(f"__{k}_bctx", "__n_bctx") + 8.0 * g
         df = df.withColumn(f"nicks_ctx_{name}_rate_hier", top / (F.col("__n_nctx") + 13.0))
-    df = history(df, "parent", ROW_ORDER, sire_top3_std_50=last_k("std", top3(), 50, min_n=5, default=0.0), __q3=last_k("quantile", top3(), 50, min_n=8, q=0.75), __q1=last_k("quantile", top3(), 50, min_n=8, q=0.25))
-    out = df.withColumn("sire_top3_iqr_50", F.coalesce(F.col("__q3") - F.col("__q1"), F.lit(0.0)))
+    last = {"__n50": last_k("count", top3(), 50, default=0), "__s50": last_k("sum", top3(), 50, default=0)}
+    df = history(df, "parent", ROW_ORDER, **last) if cells is None else last_rows(df, cells, "parent", ROW_ORDER, 50, **last)
+    df = df.withColumn("sire_top3_std_50", F.when(F.col("__n50") >= 5, _flag_std("__s50", "__n50")).otherwise(F.lit(0.0)))
+    spread = _flag_quantile("__s50", "__n50", 0.75) - _flag_quantile("__s50", "__n50", 0.25)
+    out = df.withColumn("sire_top3_iqr_50", F.when(F.col("__n50") >= 8, spread).otherwise(F.lit(0.0)))
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
