@@ -133,6 +133,19 @@ def slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
 
 
+def give_back():
+    """Gives what a worker has freed back to the system: workers outlive their tasks, and what they hold is an executor's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches, column: str, most: int = 8 << 20):
     """Cuts Arrow batches so that each holds about ``most`` bytes of text: a document stays whole, however long."""
     import pyarrow as pa
@@ -146,6 +159,7 @@ def pieces(batches, column: str, most: int = 8 << 20):
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def runs(batches, names: list[str]):

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import mix, pieces, runs, shuffle_partitions, slices, stored, utf8
 from .components import components
 from .shingles import set_ids, shingle_sets
+from .tokens import Encoder
 
 #: Sets of one family that a task compares at a time.
 BLOCK_SETS = 2000
@@ -107,6 +108,7 @@ def _members(width: int, percent: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        Encoder.forget()
         for batch in pieces(batches, "text", PIECE):
             body, offsets = utf8(batch.column("text"))
             hashed, at = shingle_sets(body, offsets, width)
@@ -119,6 +121,7 @@ def _packets(width: int, percent: int, buckets: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        Encoder.forget()
         for batch in pieces(batches, "text", PIECE):
             body, offsets = utf8(batch.column("text"))
             hashed, at = shingle_sets(body, offsets, width)

@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import pieces, stored, utf8
+from .tokens import Encoder
 
 ORDER = 5
 #: Bytes of text looked at together; a worker holds about forty times as much.
@@ -57,6 +58,7 @@ def _count(order: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        Encoder.forget()
         kept: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged():
@@ -205,6 +207,7 @@ def _score(mine: np.ndarray, arrays, order: int, text: str):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        Encoder.forget()
         for batch in pieces(batches, text, PIECE):
             body, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
             fold = batch.column(batch.schema.get_field_index("__fold")).to_numpy()
@@ -219,6 +222,7 @@ def _parts_of(mine: np.ndarray, arrays, order: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        Encoder.forget()
         for batch in pieces(batches, "text", PIECE):
             body, offsets = utf8(batch.column("text"))
             bits = _bits(body, offsets, mine, arrays.value, order, batch.column("__fold").to_numpy()).astype(np.float32)

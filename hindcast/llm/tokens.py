@@ -13,7 +13,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-from .common import slices, utf8
+from .common import give_back, slices, utf8
 
 #: Chunks of which a worker keeps the ids; when full it forgets the rarer half.
 MOST_CHUNKS = 800_000
@@ -92,7 +92,9 @@ class Encoder:
     @classmethod
     def forget(cls):
         """Frees the memory of a worker that goes on with other work."""
-        cls._made.clear()
+        if cls._made:
+            cls._made.clear()
+            give_back()
 
     def clear(self):
         self.known: dict[str, int] = {}
