@@ -421,7 +421,8 @@ register("corner_features", sql("cf", _CF, {"horse_total_makuri": "CAST(coalesce
 
 @query("b_rating_elo")
 def rating_elo(spark, sf):
-    df = runs(spark, sf).withColumn("surface_pool", F.concat_ws("_", "surface", "venue"))
+    # All columns would go to the fold and back.
+    df = runs(spark, sf).select(*KEY, "day_no", "outcome", F.concat_ws("_", "surface", "venue").alias("surface_pool"))
     return finish(B.build(df, ["rating_elo"]), ["rating", "field_elo_mean", "elo_gap_to_top"])
 
 
