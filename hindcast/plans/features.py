@@ -24,6 +24,7 @@ from ..operators.metrics import entropy
 from ..operators.quantiles import expanding_mode
 from ..operators.relative import kernel_sum, rank, standing, totals
 from ..operators.slices import day_cells, last_rows, totals_before_group
+from ..plans.hot import deal
 
 KEYS = ["group_id", "line", "entity", "person_a"]
 ENTITY_ORDER = ["day_no", "group_id", "line", "person_a"]
@@ -332,13 +333,22 @@ def course_aptitude(df):
 
 @block
 def extended_aptitude(df):
-    df = _venue_kinds(df)
-    for key, name in (("parent", "sire"), ("person_a", "jockey")):
-        for k in ("rot", "str", "slp"):
-            df = before_group(df, [key, f"__{k}"], "group_id", "day", {"__n": F.lit(1), "__w": win(), "__t": top3()})
-            df = df.withColumn(f"{name}_apt_{k}", _rate("__w_before", "__n_before")).withColumn(f"{name}_apt_{k}_top3", _rate("__t_before", "__n_before"))
-            df = df.drop("__n_before", "__w_before", "__t_before")
-    return df.drop("__rot", "__str", "__slp")
+    """Six sets of keys and two exchanges: parents are few and are dealt by stretches of days, persons are dealt once."""
+    columns, kinds = df.columns, ("rot", "str", "slp")
+    df, measures = _venue_kinds(df), {"__n": F.lit(1), "__w": win(), "__t": top3()}
+    cells = day_cells(df, ["day"], ["parent", *[f"__{k}" for k in kinds]], measures)
+    if cells is None:
+        for k in kinds:
+            df = before_group(df, ["parent", f"__{k}"], "group_id", "day", measures)
+            df = df.withColumnsRenamed({f"{m}_before": f"{m}_sire_{k}" for m in measures})
+    else:
+        df = totals_before_group(df, cells, {f"sire_{k}": ["parent", f"__{k}"] for k in kinds}, "group_id", "day", measures)
+        df = deal(df, *own_keys(df, ["person_a"]))
+    for k in kinds:
+        df = before_group(df, ["person_a", f"__{k}"], "group_id", "day", measures)
+        df = df.withColumnsRenamed({f"{m}_before": f"{m}_jockey_{k}" for m in measures})
+    rates = [(name, k, m, end) for name in ("sire", "jockey") for k in kinds for m, end in (("__w", ""), ("__t", "_top3"))]
+    return df.select(*columns, *[_rate(f"{m}_{name}_{k}", f"__n_{name}_{k}").alias(f"{name}_apt_{k}{end}") for name, k, m, end in rates])
 
 
 @block
